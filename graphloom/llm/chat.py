@@ -73,14 +73,15 @@ def chosen_paths(tree: DataFrame) -> DataFrame:
     scored = ladder[-1].join(leaves, ["conv_id", "node"]).withColumn("mean", F.round(F.col("gained") / F.col("depth"), 9))
     best = scored.groupBy("conv_id").agg(F.max(F.struct("mean", "depth", (-F.col("node")).alias("less"))).alias("b"))
     reached, _ = save(best.select("conv_id", (-F.col("b.less")).alias("node"), F.col("b.depth").alias("depth")), "leaves")
-    # Back down the ladder, by the longest jumps first: each one doubles the part of the path that is known.
+    # Back down the ladder, by the longest jumps first: each one doubles the part of the path that is known. A step refers to
+    # the part known so far twice, so that part is written and read again.
     for step in reversed(ladder[:-1]):
         hops = step.filter("up IS NOT NULL").select("conv_id", "node", "up", F.col("depth").alias("by"))
         more = reached.join(hops, ["conv_id", "node"]).select("conv_id", F.col("up").alias("node"), (F.col("depth") - F.col("by")).alias("depth"))
-        reached = reached.unionByName(more)
-    found, _ = save(reached.distinct(), "paths")
-    discard(tree.sparkSession, base, *paths)
-    return found
+        reached, path = save(reached.unionByName(more).distinct(), "reached")
+        paths.append(path)
+    discard(tree.sparkSession, base, *paths[:-1])
+    return reached
 
 
 def format_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:
