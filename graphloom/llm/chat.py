@@ -64,10 +64,9 @@ def chosen_paths(tree: DataFrame) -> DataFrame:
     while ladder[-1].filter("up IS NOT NULL").limit(1).count():
         now = ladder[-1]
         above = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("gained").alias("gained2"))
-        step = now.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("gained") + F.coalesce("gained2", F.lit(0.0))).alias("gained")
-        )
-        step, path = save(step, "jumps")
+        # Nodes whose jump has come to the root take no further part.
+        step = now.filter("up IS NOT NULL").join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("gained") + F.col("gained2")).alias("gained"))
+        step, path = save(now.filter("up IS NULL").select("conv_id", "node", "up", "depth", "gained").unionByName(step), "jumps")
         ladder.append(step)
         paths.append(path)
     scored = ladder[-1].join(leaves, ["conv_id", "node"]).withColumn("mean", F.round(F.col("gained") / F.col("depth"), 9))
