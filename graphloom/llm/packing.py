@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, discard, save
-from .tokens import encoder, with_end
+from .tokens import TOKEN_BLOCK, encoder, with_end
 
 CAPACITY = 2048
 #: A round that places less than this share of the items left is followed by opening sequences.
@@ -185,7 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 
     def cut(batches):
         words = encoder(tokenizer)
-        for block in blocks(batches, limit=1 << 20):
+        for block in blocks(batches, limit=TOKEN_BLOCK):
             ids, bounds = with_end(*words.encode(block.column("text").combine_chunks()), end_id)
             n = np.diff(bounds)
             count = -(-n // capacity)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, new_path
-from .tokens import encoder, with_end
+from .tokens import TOKEN_BLOCK, encoder, with_end
 
 MAGIC = b"GLBP"
 HEAD = struct.Struct("<4sHHIIQ")
@@ -123,7 +123,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, *, segment_tokens: in
             kinds = [pa.int64()] * 5 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["segment_id", "first_doc_id", "last_doc_id", "n_docs", "n_tokens", "image"])
 
-        for block in blocks(batches):
+        for block in blocks(batches, limit=TOKEN_BLOCK):
             doc_ids = block.column("doc_id").combine_chunks().fill_null(NULL_ID).to_numpy()
             ids, bounds = with_end(*words.encode(block.column("text").combine_chunks()), end_id)
             cut = 0

@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct chunks a worker remembers before it starts afresh (about 150 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Bytes of text encoded together: more of them repeat their words.
+TOKEN_BLOCK = 8 << 20
 
 
 class ChunkEncoder:
