@@ -1,11 +1,13 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and the SQL they are compared with."""
 
 from __future__ import annotations
 
+from . import graph, records
+
 
 def queries() -> dict:
-    return {}
+    return graph.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return graph.SQL | records.SQL
