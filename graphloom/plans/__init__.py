@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import graph, records
+from . import graph, linking, records, reports
+
+PARTS = (graph, linking, records, reports)
 
 
 def queries() -> dict:
-    return graph.QUERIES | records.QUERIES
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return graph.SQL | records.SQL
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
