@@ -47,7 +47,7 @@ def unify(entities: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """(primary, secondary, confidence) of entities from different sources that share a name variant. Inputs: id, label, source_type.
 
     The confidence is the number of shared variants by the smaller number of variants; the source with the smaller rank is primary (unknown
-    sources: 10), on a tie the smaller id. Equal (label, source) rows stand for one group, so a hot label joins once and its members follow.
+    sources: 10), on a tie the smaller id. Of equal (label, source) rows the one with the smallest id takes part, so a hot label joins once.
     """
     named = entities.groupBy("label", "source_type").agg(F.min("id").alias("id")).withColumn("variants", name_variants(F.col("label")))
     keyed = named.select("id", "source_type", F.size("variants").alias("n"), F.explode("variants").alias("variant"))

@@ -136,3 +136,14 @@ def alignment(pairs: DataFrame, tiers: list[tuple[str, float]]) -> DataFrame:
         counts.append(F.count_if(reached).alias(name))
         bounds = bounds | (F.col("score") >= least)
     return pairs.agg(F.count("score").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", 0.5), 6).alias("median"), F.round(F.stddev_pop("score"), 6).alias("sd"), *counts)
+
+
+def step_profile(steps: DataFrame, key: str, order: list[str], size: str, kind: str) -> DataFrame:
+    """Each run's steps, total and largest size, its bottleneck (the first step of the largest size) and the kind of its last step."""
+    return steps.groupBy(key).agg(
+        F.count("*").alias("steps"),
+        F.sum(size).alias("total"),
+        F.max(size).alias("largest"),
+        F.min_by(order[0], F.struct((-F.col(size)).alias("x"), *order)).alias("bottleneck"),
+        F.max_by(kind, F.struct(*order, kind)).alias("last_kind"),
+    )

@@ -197,3 +197,10 @@ def graph_delta(spark, sf_dir):
 def upsert_nodes(spark, sf_dir):
     old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return relations.merge_maps(old, old.filter("id % 5 = 0").withColumn("name", F.upper("name")), "id")
+
+
+@query("WITH n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0) SELECT 'nation:' || k AS id, 1 AS depth FROM n UNION ALL SELECT 'customer:' || c_custkey, 2 FROM customer JOIN n ON c_nationkey = k UNION ALL SELECT 'supplier:' || s_suppkey, 2 FROM supplier JOIN n ON s_nationkey = k WHERE s_suppkey % 2 = 1")
+def cascade_failures(spark, sf_dir):
+    needs = geo_edges(spark, sf_dir).select(F.col("src").alias("id"), F.col("dst").alias("before"))
+    settled = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    return traverse.cascade_failures(needs, one(spark, "region:0"), settled, 5).select("id", F.col("depth").cast("int").alias("depth"))

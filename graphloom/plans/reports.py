@@ -172,3 +172,9 @@ def taint_max(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("level", level)
     most = rows.groupBy("user_id", "day").agg(F.max("level").alias("level"))
     return rows.join(most, ["user_id", "day", "level"], "left_semi").select("user_id", "event_id", "event_type")
+
+
+@query("WITH s AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS size FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY size DESC, turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS z FROM s) SELECT conv_id, count(*) AS steps, CAST(sum(size) AS BIGINT) AS total, CAST(max(size) AS BIGINT) AS largest, max(CASE WHEN a = 1 THEN turn END) AS bottleneck, max(CASE WHEN z = 1 THEN role END) AS last_kind FROM r GROUP BY conv_id")
+def profile_summary(spark, sf_dir):
+    steps = table(spark, sf_dir, "conversations").withColumn("size", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return reports.step_profile(steps, "conv_id", ["turn"], "size", "role")
