@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, linking, records, reports, retrieval
+from . import files, graph, linking, records, reports, retrieval
 
-PARTS = (graph, linking, records, reports, retrieval)
+PARTS = (files, graph, linking, records, reports, retrieval)
 
 
 def queries() -> dict:
