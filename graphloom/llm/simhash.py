@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -268,58 +268,141 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Signature of the similarity stage: words of a shingle, 64-bit parts, and differing bits of all parts together.
-#: Texts with a Jaccard similarity of 0.8 in five-word shingles differ in 39 of 256 bits on average (0.15 of them); 46 finds nine tenths of these and nearly all above.
-WIDE_SHINGLE, WIDE_PARTS, WIDE_BITS = 5, 4, 46
-#: Seeds of the word SimHashes; texts meet if either is within four bits.
-WORD_SEEDS = (42, 43)
+#: The similarity stage: words of a shingle, and the least Jaccard similarity of two documents' shingles as a fraction.
+WIDE_SHINGLE, LEAST = 5, (4, 5)
+#: Documents meet if all smallest hashes of a band agree. At a similarity of s a pair is missed with a chance of (1 - s ** rows) ** bands: 0.0002 at 0.8.
+BAND_ROWS, BANDS = 4, 16
+#: Members of a bucket of which all pairs are compared; larger ones are compared with one member first.
+CLOSE = 8
+_rng = np.random.default_rng(42)
+_TURN = _rng.integers(0, 2**64, BAND_ROWS * BANDS, np.uint64)
+_TIMES = _rng.integers(0, 2**64, BAND_ROWS * BANDS, np.uint64) | np.uint64(1)
 
 
-def wide_signature(text: str | None) -> list[int]:
-    """Word SimHashes, then the parts of a SimHash over five-word shingles (each once)."""
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's five-word shingles; a shorter text is one shingle, a text without words has none."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return [0] * (len(WORD_SEEDS) + WIDE_PARTS)
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
     n = min(WIDE_SHINGLE, len(words))
-    shingles = {b" ".join(words[k : k + n]) for k in range(len(words) - n + 1)}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
-    out = [fingerprint(text, 1, seed) for seed in WORD_SEEDS]
-    for part in range(WIDE_PARTS):
-        mixed = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * part)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        counts = np.zeros(64, np.int64)
-        for k in range(0, len(mixed), 65536):
-            counts += np.unpackbits(mixed[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(mixed), bitorder="little").view("<u8")[0]))
-    return out
-
-
-def similar_documents(docs: DataFrame, limit: int = WIDE_BITS, group: int = GROUP) -> DataFrame:
-    """doc_id and component_id of documents whose five-word shingles are about 0.8 similar or more.
-
-    The index runs over two SimHashes of single words, of which one at least stays within four bits for such texts, and links what also agrees in the wide signature.
-    Null and empty texts form one component; rows that share a doc_id are one document if their signatures are equal.
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist())], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A hash of each band of smallest hashes; a document without shingles has none."""
+    if not len(hashes):
+        return []
+    least = np.full(BAND_ROWS * BANDS, ~np.uint64(0))
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[k : k + 1024, None] ^ _TURN) * _TIMES).min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)]
+
+
+def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the number of shingles in both and in either."""
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    return full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
+
+
+def alike() -> Column:
+    return LEAST[1] * F.col("both") >= LEAST[0] * F.col("either")
+
+
+def bucket_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket whose numbers of shingles allow the similarity."""
+    a, b = (members.select("h", F.col("rep").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    return a.join(b, "h").filter((F.col("a") < F.col("b")) & (LEAST[1] * F.least("na", "nb") >= LEAST[0] * F.greatest("na", "nb"))).select("a", "b")
+
+
+def similar_links(members: DataFrame, sets: DataFrame, close: int = CLOSE) -> DataFrame:
+    """Links (a, b) that join the members of each bucket into the components that comparing all its pairs would give.
+
+    ``members``: bucket ``h``, ``rep``, number of shingles ``n``; ``sets``: ``rep`` and its shingles. In a large bucket all members are
+    compared with the smallest. Those alike are linked to it and done with. One minus the similarity is a distance, so another member can be
+    alike to one of them only if its own distance from the smallest is within one fifth of theirs: those pairs are compared too. The
+    rest goes on as a smaller bucket. Where that settles less than half of what is left, all pairs of the rest are compared: no pair is given up.
     """
-    bounded_batches(docs.sparkSession)
-    prints_of = [f"fp{k}" for k in range(len(WORD_SEEDS))]
-    parts = [f"w{k}" for k in range(WIDE_PARTS)]
-    columns = [*prints_of, *parts]
+    links, candidates, slow = [], [], False
+    far = F.col("either") - F.col("both")
+    distance = far / F.col("either")
+    step = 1 - LEAST[0] / LEAST[1] + 1e-9
+    while True:
+        sizes = members.groupBy("h").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"))
+        placed, _ = save(members.join(sizes, "h"), "buckets")
+        candidates.append(bucket_pairs(placed if slow else placed.filter(F.col("size") <= close)))
+        large = placed.filter(F.col("size") > close)
+        left = 0 if slow else large.count()
+        if not left:
+            break
+        measured, _ = save(overlap(large.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets), "measured")
+        links.append(measured.filter(alike()).select("a", "b"))
+        around = large.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), alike().alias("near"), distance.alias("d")), ["pivot", "rep"])
+        rest = around.filter("NOT near")
+        inside = around.filter("near").select("h", F.col("rep").alias("b"), F.col("d").alias("e"))
+        edge = rest.filter(F.col("d") <= 2 * step).select("h", F.col("rep").alias("a"), "d")
+        candidates.append(edge.join(inside, "h").filter(F.col("e") >= F.col("d") - step).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        members, _ = save(rest.select("h", "rep", "n"), "rest")
+        slow = 2 * members.count() > left
+    asked = candidates[0]
+    for more in candidates[1:]:
+        asked = asked.union(more)
+    asked, _ = save(asked.distinct(), "asked")
+    out = overlap(asked, sets).filter(alike()).select("a", "b")
+    for more in links:
+        out = out.union(more)
+    return save(out.distinct(), "similar")[0]
 
-    def run(batches):
+
+def similar_rows(rows: DataFrame, close: int = CLOSE) -> DataFrame:
+    """key, doc_id and component of stored ``rows`` (unique long ``key``, ``doc_id``, ``text``): the smallest key that links lead to.
+
+    Rows with equal sets of shingles are one class, so copies cost nothing; rows without shingles are a class too. Classes that share
+    a band are candidates, and are linked if the exact Jaccard similarity of their shingles is 0.8 or more.
+    """
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    schema = "key long, doc_id long, c1 long, c2 long, n int, bands array<long>"
+
+    def sign(batches):
         for block in blocks(batches):
-            got = np.array([wide_signature(t) for t in block.column("text").to_pylist()], np.uint64).reshape(-1, len(columns)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], names=["doc_id", *columns])
-
-    prints, _ = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in columns)])), "signatures")
-    classes, _ = save(prints.groupBy(*columns).agg(F.min("doc_id").alias("rep")), "signature-classes")
-    links = None
-    for name in prints_of:
-        found = hamming_links(classes.select(F.col(name).alias("fp"), "rep", *parts), MAX_BITS, group, limit)
-        links = found if links is None else links.union(found)
-    joined = connected_components(links)
-    roots = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*columns, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(roots, columns).select("doc_id", "component_id")
+            sets = [shingles(t) for t in block.column("text").to_pylist()]
+            classes = np.array([list(xxhash.xxh128_digest(s.tobytes())) for s in sets], np.uint8).reshape(-1, 16).view(np.int64)
+            columns = [block.column(c).combine_chunks() for c in ("key", "doc_id")]
+            columns += [pa.array(np.ascontiguousarray(c)) for c in classes.T]
+            columns += [pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "c1", "c2", "n", "bands"])
+
+    def spell(batches):
+        for block in blocks(batches):
+            sets = [shingles(t).view(np.int64) for t in block.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column("key").combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
+
+    prints, _ = save(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema), "signatures")
+    classes, _ = save(prints.groupBy("c1", "c2").agg(F.min("key").alias("rep")), "signature-classes")
+    posted = prints.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "n", F.explode("bands").alias("h"))
+    shared = posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h")
+    members, _ = save(posted.join(shared, "h"), "members")
+    # Only classes that meet another one are spelled out.
+    asked = members.select(F.col("rep").alias("key")).distinct()
+    sets, _ = save(rows.select("key", "text").join(asked, "key", "left_semi").mapInArrow(spell, "rep long, set array<long>"), "shingles")
+    joined = connected_components(similar_links(members, sets, close))
+    roots = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    return prints.join(roots, ["c1", "c2"]).select("key", "doc_id", "component")
+
+
+def similar_documents(docs: DataFrame, close: int = CLOSE) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id) of documents, joined wherever two have a Jaccard similarity of 0.8 or more in five-word shingles.
+
+    Null and empty texts form one component.
+    """
+    rows, _ = save(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    found, _ = save(similar_rows(rows, close), "similar-rows")
+    return found.join(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
 
 
 def op5_simhash(docs: DataFrame) -> DataFrame:

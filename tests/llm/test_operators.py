@@ -319,6 +319,56 @@ def test_similar_documents(spark):
     assert all(got[3 * k + 2] == 3 * k + 2 for k in range(30))
 
 
+def edited(rng, words, contiguous):
+    """A text of 300 words and a near copy at a similarity of 0.80 to 0.82."""
+    base = [str(w) for w in rng.choice(words, 300)]
+    copy = list(base)
+    start = int(rng.integers(5, 250))
+    for at in range(start, start + 28) if contiguous else rng.choice(29, 6, replace=False) * 10 + 6:
+        copy[at] = f"new{int(rng.integers(1 << 30))}"
+    return " ".join(base), " ".join(copy)
+
+
+def plain_jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("contiguous", [True, False])
+def test_similar_documents_recall_at_the_threshold(spark, contiguous):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(20000)]
+    pairs = [edited(rng, words, contiguous) for _ in range(300)]
+    assert all(0.8 <= plain_jaccard(a, b) < 0.83 for a, b in pairs)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 297
+
+
+def test_similar_documents_below_the_threshold_stay_apart(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{k}" for k in range(20000)]
+    rows = []
+    for k in range(200):
+        base = [str(w) for w in rng.choice(words, 300)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:260], *(f"x{k}_{j}" for j in range(40))]))]
+    assert all(0.7 < plain_jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(0, 400, 2))
+    assert all(r["doc_id"] == r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_similar_documents_in_large_buckets_against_all_pairs(spark):
+    rng = np.random.default_rng(14)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(90):  # one template, changed in up to thirty words in a row
+        copy, start, n = list(base), int(rng.integers(0, 90)), int(rng.integers(0, 30))
+        copy[start : start + n] = [f"x{k}_{j}" for j in range(n)]
+        rows.append((k, " ".join(copy)))
+    want = plain_components([i for i, _ in rows], [t for _, t in rows], lambda a, b: plain_jaccard(a, b) >= 0.8)
+    for close in (2, 8, 1000):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), close).collect()}
+        assert [got[k] for k in range(90)] == want
+
+
 # 6
 
 
