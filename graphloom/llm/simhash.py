@@ -71,6 +71,11 @@ def submasks(fixed: int, max_bits: int = MAX_BITS) -> list[int]:
     return [fixed | sum(1 << b for k in pair for b in parts[k]) for pair in combinations(range(n), 2)]
 
 
+def parts_further(mask: int, max_bits: int = MAX_BITS) -> bool:
+    """Whether each block of open bits has a bit left to fix; otherwise a group has at most 2 ** (max_bits + 1) distinct members."""
+    return 64 - (mask % (1 << 64)).bit_count() >= max_bits + 2
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -103,15 +108,8 @@ class Labels:
                 self.of = up
 
 
-def agree(wide: np.ndarray | None, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray | slice:
-    """Which pairs also differ in ``limit`` or fewer bits of their wide signatures."""
-    if wide is None:
-        return slice(None)
-    return np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= limit
-
-
-def search_group(codes: np.ndarray, max_bits: int, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
-    """Component labels of codes in Gray order, linked at ``max_bits`` or fewer differing bits (and ``limit`` of the wide signatures)."""
+def search_group(codes: np.ndarray, max_bits: int) -> np.ndarray:
+    """Component labels of codes in Gray order, linked at ``max_bits`` or fewer differing bits."""
     n = len(codes)
     labels = Labels(n)
     levels = [(codes, np.full(n, ~np.uint64(0)))]
@@ -148,9 +146,7 @@ def search_group(codes: np.ndarray, max_bits: int, wide: np.ndarray | None = Non
         i, j, spent, counted = pruned(level, i, j, spent, counted)
         if level == 0:
             real = i < j
-            i, j = i[real], j[real]
-            good = agree(wide, i, j, limit)
-            labels.join(i[good], j[good])
+            labels.join(i[real], j[real])
             return
         if level == 1:  # leaves whose members are all in one component have nothing to add
             leaf = np.arange(0, n, FANOUT)
@@ -164,7 +160,7 @@ def search_group(codes: np.ndarray, max_bits: int, wide: np.ndarray | None = Non
     return labels.of
 
 
-def search_runs(codes: np.ndarray, starts: np.ndarray, max_bits: int, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
+def search_runs(codes: np.ndarray, starts: np.ndarray, max_bits: int) -> np.ndarray:
     """Labels (positions) of all codes; a run of equal keys begins at each of ``starts``."""
     sizes = np.diff([*starts, len(codes)])
     labels = Labels(len(codes))
@@ -175,18 +171,17 @@ def search_runs(codes: np.ndarray, starts: np.ndarray, max_bits: int, wide: np.n
             a = np.flatnonzero(run[:-d] == run[d:]) if d < len(codes) else np.zeros(0, np.int64)
             a = a[small[run[a]]]
             near = a[np.bitwise_count(codes[a] ^ codes[a + d]) <= max_bits]
-            near = near[agree(wide, near, near + d, limit)]
             labels.join(near, near + d)
     for k in np.flatnonzero(~small):
         lo, hi = starts[k], starts[k] + sizes[k]
-        found = search_group(codes[lo:hi], max_bits, None if wide is None else wide[lo:hi], limit)
+        found = search_group(codes[lo:hi], max_bits)
         labels.join(np.arange(lo, hi), lo + found)
     return labels.of
 
 
-def _search(group: int, max_bits: int, limit: int, extra: list[str]):
+def _search(group: int, max_bits: int):
     """Rows sorted by (mask, value, Gray rank) to links (kind 0: two class ids) and members of groups that are too large (kind 1: fp, class id, mask)."""
-    names = ["mask", "value", "fp", "rep", *extra]
+    names = ["mask", "value", "fp", "rep"]
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -197,7 +192,7 @@ def _search(group: int, max_bits: int, limit: int, extra: list[str]):
                 more = (new[0] == too_large[0]) & (new[1] == too_large[1])
                 n = len(more) if more.all() else int(np.argmin(more))
                 if n:
-                    yield out(1, *[x[:n] for x in (new[2], new[3], new[0], *new[4:])])
+                    yield out(1, *[x[:n] for x in (new[2], new[3], new[0])])
                     new = [x[n:] for x in new]
                 if not len(new[0]):
                     continue
@@ -207,23 +202,22 @@ def _search(group: int, max_bits: int, limit: int, extra: list[str]):
             last = int(change[-1]) if len(change) else 0
             yield from finished([x[:last] for x in rows])
             held = [x[last:] for x in rows]
-            if len(held[0]) > group and held[0][0] != -1:
+            if len(held[0]) > group and parts_further(int(held[0][0]), max_bits):
                 too_large = (held[0][0], held[1][0])
-                yield out(1, held[2], held[3], held[0], *held[4:])
+                yield out(1, held[2], held[3], held[0])
                 held = None
         if held is not None:
             yield from finished(held)
 
     def out(kind: int, *columns):
-        full = [*columns, *[np.zeros(len(columns[0]), np.int64)] * (3 + len(extra) - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(full[0]), kind, np.int32)), *map(pa.array, full)], names=["kind", "a", "b", "mask", *extra])
+        full = [*columns, *[np.zeros(len(columns[0]), np.int64)] * (3 - len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(full[0]), kind, np.int32)), *map(pa.array, full)], names=["kind", "a", "b", "mask"])
 
     def finished(rows):
         if len(rows[0]) < 2:
             return
         starts = np.concatenate([[0], np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1])
-        wide = np.stack(rows[4:], axis=1).view(np.uint64) if extra else None
-        of = search_runs(np.ascontiguousarray(rows[2]).view(np.uint64), starts, max_bits, wide, limit)
+        of = search_runs(np.ascontiguousarray(rows[2]).view(np.uint64), starts, max_bits)
         linked = np.flatnonzero(of != np.arange(len(of)))
         if len(linked):
             yield out(0, rows[3][linked], rows[3][of[linked]])
@@ -231,25 +225,25 @@ def _search(group: int, max_bits: int, limit: int, extra: list[str]):
     return run
 
 
-def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP, limit: int = 0) -> DataFrame:
+def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
     """Links (a, b) between class ids that join all fingerprints within ``max_bits`` of each other into components.
 
-    ``classes``: distinct ``fp`` and its ``rep``; further long columns are a wide signature, in which linked classes must differ in
-    ``limit`` or fewer bits too. In each group a member is linked to one other of its component, so there are no more links than rows.
+    ``classes``: distinct ``fp`` and its ``rep``; rows with equal ``fp`` are linked to one of them first, so only distinct ones are parted.
+    In each group a member is linked to one other of its component, so there are no more links than rows.
     """
-    extra = [c for c in classes.columns if c not in ("fp", "rep")]
     spark = classes.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    todo = classes.select("fp", "rep", F.lit(0).cast("long").alias("mask"), *extra)
-    masks, links = [0], []
+    first = classes.groupBy("fp").agg(F.min("rep").alias("first"))
+    todo = first.select("fp", F.col("first").alias("rep"), F.lit(0).cast("long").alias("mask"))
+    masks, links = [0], [classes.join(first, "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))]
     while masks:
         # At most 15 masks to the power of the depth, and the depth is bounded by the 64 bits.
         finer = spark.createDataFrame([(signed(m), signed(s)) for m in masks for s in dict.fromkeys(submasks(m, max_bits))], "mask long, finer long")
-        rows = todo.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"), "fp", "rep", *extra)
+        rows = todo.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"), "fp", "rep")
         ordered = rows.withColumn("gray", gray_rank(F.col("fp"))).repartition("mask", "value").sortWithinPartitions("mask", "value", "gray").drop("gray")
-        found, _ = save(ordered.mapInArrow(_search(group, max_bits, limit, extra), ", ".join(["kind int, a long, b long, mask long", *(f"{c} long" for c in extra)])), "links")
+        found, _ = save(ordered.mapInArrow(_search(group, max_bits), "kind int, a long, b long, mask long"), "links")
         links.append(found.filter("kind = 0").select("a", "b"))
-        todo = found.filter("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "mask", *extra)
+        todo = found.filter("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "mask")
         masks = [r["mask"] % (1 << 64) for r in todo.select("mask").distinct().collect()]
     out = links[0]
     for more in links[1:]:

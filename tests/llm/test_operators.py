@@ -304,6 +304,20 @@ def test_simhash_index_against_all_pairs(spark, group):
     assert [found.get(k, k) for k in range(len(codes))] == want
 
 
+def test_simhash_index_ends_with_equal_and_dense_fingerprints(spark):
+    rows = [(simhash.signed(5 << 40), k) for k in range(50)] + [(c, 100 + c) for c in range(64)]
+    links = simhash.hamming_links(spark.createDataFrame(rows, "fp long, rep long"), 4, 10)
+    found = {r["node"]: r["component"] for r in simhash.connected_components(links).collect()}
+    assert {found[k] for _, k in rows} == {0}
+
+
+def test_similar_documents_with_many_variants_of_one_template(spark):
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[:150], f"number{k}", *base[150:]])) for k in range(400)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 400 and {r["component_id"] for r in got} == {0}
+
+
 def test_similar_documents(spark):
     rng = np.random.default_rng(8)
     words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
