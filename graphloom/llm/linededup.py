@@ -85,7 +85,6 @@ def repeated(hashes: np.ndarray, words: np.ndarray, other: np.ndarray, pairs: li
             hi += 1
         done[here - there] = hi
         if same:  # above in the same document: what it is a copy of must not overlap it
-            lo = max(lo, here)
             hi = min(hi, lo - shift)
         if int(words[lo:hi].sum()) >= least:
             out.update(range(lo, hi))

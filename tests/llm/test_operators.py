@@ -247,6 +247,20 @@ def test_line_dedup_finds_planted_runs(spark):
     assert linededup.dedup_lines(spark.createDataFrame([(9, repeat)], "doc_id long, text string")).first()["text"] == "\n".join(repeat.split("\n")[:2])
 
 
+def test_line_dedup_deletes_whole_passages_repeated_in_one_document(spark):
+    rows = []
+    for k in range(60):  # passages of 50 to 75 words in lines of 3 to 8 words
+        rng = np.random.default_rng(k)
+        line = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, n))  # noqa: E731, B023
+        passage = [line(int(n)) for n in rng.integers(3, 9, 30)]
+        total = np.cumsum([len(x.split()) for x in passage])
+        passage = passage[: int(np.searchsorted(total, 50 + k % 20)) + 1]
+        rows.append((k, [line(30), *passage, line(40), *passage, line(20)], len(passage)))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame([(k, "\n".join(x)) for k, x, _ in rows], "doc_id long, text string")).collect()}
+    for k, x, n in rows:
+        assert got[k] == "\n".join([*x[: n + 2], x[-1]])
+
+
 # 5
 
 
