@@ -2,16 +2,15 @@
 
 A document is its list of lines. From each line on, the fewest lines that reach ``GRAM`` words form a gram; among the grams
 that begin within ``GRAM`` words of each other, the one with the smallest hash is selected as a fingerprint. Two documents that share a run
-of lines with ``2 * GRAM`` words or more therefore share a fingerprint in it. Positions are joined to the first place where the
-fingerprint occurs, to the first where the line before is equal too, and to the first where the line after is; each match is
-extended both ways over equal lines. Runs of ``2 * GRAM`` words or more that stand earlier - in a document with a smaller id, or above in the same one - are
-deleted.
+of lines with ``2 * GRAM`` words or more therefore share a fingerprint in it. Around fingerprints that occur more than once, the shortest
+runs of lines that reach ``2 * GRAM`` words are hashed, from every line on and up to every line; a run that stands earlier - in a document with a smaller id, or above in the same one without overlap - is
+deleted. Longer repeats are unions of such runs, so the first place of each run decides, whichever copies the repeat is made of.
 
 Joins carry hashes, not texts; first places are minima, which Spark combines before the shuffle, so a line in
 a third of all documents costs a row for each task.
 
 Defined results: null text stays null; an empty text has one empty line and stays; blank lines count as lines without words; a document all of whose words are deleted has an
-empty text; rows with equal ids and texts are treated alike (none is the other's earlier copy); other columns are kept.
+empty text; rows with equal ids are treated alike (none is the other's earlier copy); null ids come last; other columns are kept.
 """
 
 from __future__ import annotations
@@ -91,57 +90,80 @@ def repeated(hashes: np.ndarray, words: np.ndarray, other: np.ndarray, pairs: li
     return out
 
 
+def minimal_runs(hashes: list[int], words: list[int], marks: list[tuple[int, int]], least: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Runs (hash, first line, lines) that hold one of ``marks`` (first line, lines), and the lines that an own earlier run repeats.
+
+    A run is the fewest lines from a line on, or up to a line, that reach ``least`` words. Every line of a longer run is in one of the
+    runs within it, so a line is part of a repeat exactly if one of its runs is.
+    """
+    n = len(hashes)
+    before = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(before, before[:-1] + least)
+    starts = np.searchsorted(before, before[1:] - least, side="right") - 1
+    runs = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(b), j + 1) for j, b in enumerate(starts) if b >= 0}
+    # The smallest end of a mark that begins at or after each line.
+    nearest = np.full(n + 1, n + 1)
+    for at, size in marks:
+        nearest[at] = min(nearest[at], at + size)
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]
+    packed = np.array(hashes, np.int64)
+    out, own, seen = [], set(), {}
+    for i, e in sorted(runs):
+        if nearest[i] > e:
+            continue
+        key = xxhash.xxh64_intdigest(packed[i:e].tobytes(), 13)
+        out.append((key - (1 << 64) if key >> 63 else key, i, e - i))
+        if seen.setdefault(key, i) + e - i <= i:
+            own.update(range(i, e))
+    return out, sorted(own)
+
+
+#: What tells documents apart: null ids come last and are equal to each other.
+KEY = ["__null", "__id", "__text_hash"]
+
+
 def document_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text_hash", F.xxhash64("text"))
+    known = F.col("doc_id").cast("long")
+    return docs.withColumn("__null", known.isNull()).withColumn("__id", F.coalesce(known, F.lit(0))).withColumn("__text_hash", F.xxhash64("text"))
 
 
 def deletions(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(__id, __text_hash, lines): the line numbers to delete, for documents that have any."""
+    """(__null, __id, __text_hash, lines): the line numbers to delete, for documents that have any."""
     spark = docs.sparkSession
     bounded_batches(spark)
     least = 2 * gram
+    marked = pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))
+    run = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))
 
     def hashed(batches):
         for block in blocks(batches):
             got = [line_hashes(t) for t in block.column("text").to_pylist()]
-            chosen = [select(h, w, gram) for h, w in got]
-            marks = pa.array([[{"g": g, "at": i, "n": n, "before": h[i - 1] if i else 0, "after": h[i + n] if i + n < len(h) else 0} for g, i, n in c] for c, (h, _) in zip(chosen, got)], MARKS)
-            yield pa.RecordBatch.from_arrays(
-                [block.column("__id").combine_chunks(), block.column("__text_hash").combine_chunks(), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), marks],
-                names=["__id", "__text_hash", "hashes", "words", "marks"],
-            )
-
-    MARKS = pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("before", pa.int64()), ("after", pa.int64())]))
-    schema = "__id long, __text_hash long, hashes array<long>, words array<int>, marks array<struct<g:long,at:int,n:int,before:long,after:long>>"
-    keyed = document_key(docs.select("doc_id", "text")).filter("text IS NOT NULL").select("__id", "__text_hash", "text")
-    lines, _ = save(keyed.mapInArrow(hashed, schema), "lines")
-    marks = lines.select("__id", "__text_hash", F.inline("marks"))
-    place = F.struct("__id", "at", "__text_hash")
-    # Only fingerprints that occur more than once are asked about.
-    often = marks.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
-    marks, _ = save(marks.join(often.hint("merge"), "g"), "marks")
-    # Three questions of every fingerprint in one table: where is it first; where with this line before; where with this line after?
-    asked = marks.select(
-        "__id", "__text_hash", "at", "n", "g", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("side")), F.struct(F.lit(1).alias("kind"), F.col("before").alias("side")), F.struct(F.lit(2).alias("kind"), F.col("after").alias("side")))).alias("q")
-    ).select("__id", "__text_hash", "at", "n", "g", "q.*")
-    first = asked.groupBy("g", "kind", "side").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    found = asked.join(first, ["g", "kind", "side"]).filter((F.col("first.__id") < F.col("__id")) | ((F.col("first.__id") == F.col("__id")) & (F.col("first.__text_hash") == F.col("__text_hash")) & (F.col("first.at") < F.col("at"))))
-    matched = found.groupBy("__id", "__text_hash", F.col("first.__id").alias("src"), F.col("first.__text_hash").alias("src_hash")).agg(F.collect_set(F.struct("at", F.col("first.at").alias("there"), "n")).alias("pairs"))
-    matched, _ = save(matched, "matches")
-    once = lines.select("__id", "__text_hash", "hashes", "words").dropDuplicates(["__id", "__text_hash"])
-    both = matched.join(once, ["__id", "__text_hash"]).join(once.select(F.col("__id").alias("src"), F.col("__text_hash").alias("src_hash"), F.col("hashes").alias("other")), ["src", "src_hash"])
-
-    def extend(batches):
-        for batch in batches:
-            keys = [batch.column(c).to_pylist() for c in ("__id", "__text_hash", "src", "src_hash", "pairs")]
-            out = []
-            for k, (a, ah, b, bh, pairs) in enumerate(zip(*keys)):
-                h, w, o = (np.asarray(batch.column(c)[k].values) for c in ("hashes", "words", "other"))
-                out.append(sorted(repeated(h, w, o, [(p["at"], p["there"], p["n"]) for p in pairs], least, (a, ah) == (b, bh))))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__text_hash"), pa.array(out, pa.list_(pa.int32()))], names=["__id", "__text_hash", "lines"])
+            marks = pa.array([[{"g": g, "at": i, "n": n} for g, i, n in select(h, w, gram)] for h, w in got], marked)
+            columns = [pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int32())), marks]
+            yield pa.RecordBatch.from_arrays([*(block.column(c).combine_chunks() for c in KEY), *columns], names=[*KEY, "hashes", "words", "marks"])
 
-    runs = both.select("__id", "__text_hash", "src", "src_hash", "pairs", "hashes", "words", "other").mapInArrow(extend, "__id long, __text_hash long, lines array<int>")
-    return runs.filter(F.size("lines") > 0).groupBy("__id", "__text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    def runs_of(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("hashes", "words", "often")))
+            got = [minimal_runs(h, w, [(m["at"], m["n"]) for m in often], least) for h, w, often in rows]
+            columns = [pa.array([[{"h": h, "at": i, "n": n} for h, i, n in runs] for runs, _ in got], run), pa.array([own for _, own in got], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), *columns], names=[*KEY, "runs", "own"])
+
+    key = "__null boolean, __id long, __text_hash long"
+    keyed = document_key(docs.select("doc_id", "text")).filter("text IS NOT NULL").select(*KEY, "text")
+    lines, _ = save(keyed.mapInArrow(hashed, f"{key}, hashes array<long>, words array<int>, marks array<struct<g:long,at:int,n:int>>"), "lines")
+    marks = lines.select(*KEY, F.inline("marks"))
+    # Equal runs share a fingerprint, so only runs that hold one that occurs more than once are asked about.
+    often = marks.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
+    meeting = marks.join(often.hint("merge"), "g").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("often"))
+    once = lines.select(*KEY, "hashes", "words").join(meeting, KEY).dropDuplicates(KEY)
+    runs, _ = save(once.mapInArrow(runs_of, f"{key}, runs array<struct<h:long,at:int,n:int>>, own array<int>"), "runs")
+    asked = runs.select(*KEY, F.inline("runs"))
+    place = F.struct("__null", "__id")
+    first = asked.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
+    found = asked.join(first, "h").filter(F.col("first") < place).select(*KEY, F.sequence("at", F.col("at") + F.col("n") - 1).alias("lines"))
+    gone = found.union(runs.filter(F.size("own") > 0).select(*KEY, F.col("own").alias("lines")))
+    return gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -149,7 +171,7 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     gone, _ = save(deletions(docs, gram), "deletions")
     keyed = document_key(docs.drop("deleted_lines"))
     # Deletions grow with the input, so they are never broadcast.
-    marked = keyed.join(gone.hint("merge"), ["__id", "__text_hash"], "left")
+    marked = keyed.join(gone.hint("merge"), KEY, "left")
     # Both lists are in order of line numbers: a fold that copies the stretches between deleted lines would need no search, but lists of deleted lines are short.
     numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), F.array_contains("lines", k).alias("gone")))
     rest = F.transform(F.filter(numbered, lambda z: ~z["gone"]), lambda z: z["x"])

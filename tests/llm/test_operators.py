@@ -261,6 +261,42 @@ def test_line_dedup_deletes_whole_passages_repeated_in_one_document(spark):
         assert got[k] == "\n".join([*x[: n + 2], x[-1]])
 
 
+def brute_dedup(rows, least):
+    """Lines in any run of ``least`` words that stands earlier, by comparing all pairs of places."""
+    split = [(i, t.split("\n")) for i, t in rows]
+    out = []
+    for k, (i, x) in enumerate(split):
+        gone = set()
+        for m, (j, y) in enumerate(split):
+            for a in range(len(x)):
+                for b in range(len(y)):
+                    if not (j < i or (m == k and b < a)):
+                        continue
+                    n = 0
+                    while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n] and (m != k or b + n < a):
+                        n += 1
+                    if sum(len(v.split()) for v in x[a : a + n]) >= least:
+                        gone.update(range(a, a + n))
+        out.append((i, "\n".join(v for p, v in enumerate(x) if p not in gone)))
+    return out
+
+
+def test_line_dedup_finds_runs_made_of_parts_that_occur_apart(spark):
+    p1, p2, p3 = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(1, f"{p3}\n\n{p1}\n\nx y"), (2, f"q\n\n{p2}\n\n{p3}"), (3, f"r\n\n{p1}\n\n{p2}\n\ns"), (4, f"t\n\n{p1}\n\n{p2}\n\nu")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == rows[2][1] and p1 not in got[4] and p2 not in got[4]
+    assert sorted(got.items()) == brute_dedup(rows, 50)
+
+
+def test_line_dedup_against_all_pairs_of_places(spark):
+    rng = np.random.default_rng(21)
+    pool = ["", "", *(" ".join(f"{k}_{j}" for j in range(int(rng.integers(1, 40)))) for k in range(9))]
+    rows = [(k // 2, "\n".join(pool[int(x)] for x in rng.integers(0, len(pool), int(rng.integers(1, 25))))) for k in range(80)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_dedup(rows, 50))
+
+
 # 5
 
 
