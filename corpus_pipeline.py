@@ -33,9 +33,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: the one with the smallest id (of rows that share it, one)."""
-    groups = simhash.similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of similar ones stays: the one with the smallest id (null ids last, of equal ids one row)."""
+    rows, _ = save(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = simhash.similar_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text"))
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    return rows.join(chosen, "__key", "left_semi").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,21 @@ def test_near_copies_stage_drops_exact_copies_only_once(spark, sf):
     assert len(out) >= 0.7 * docs.count()
 
 
+def test_near_copies_stage_keeps_null_and_shared_ids(spark):
+    texts = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcd"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (5, texts["c"]), (7, texts["d"]), (7, texts["d"] + " more"), (7, "other " * 9)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter((r["doc_id"], r["text"][:2]) for r in cp.drop_near_copies(spark, frame, "").collect())
+    assert out == Counter([(None, "a0"), (None, "b0"), (5, "c0"), (7, "d0"), (7, "ot")])
+
+
+def test_lines_stage_with_null_ids(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, f"a\n{passage}"), (3, f"b\n{passage}"), (4, f"c\n{passage}")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in cp.drop_repeated_lines(spark, frame, "").collect()} == {None: "a", 3: f"b\n{passage}", 4: "c"}
+
+
 def test_run_packs_everything_that_is_left(spark, sf):
     out = cp.run(spark, sf)
     used = {}
