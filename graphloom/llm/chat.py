@@ -130,12 +130,14 @@ def op6_chat(turns: DataFrame) -> DataFrame:
     said = f"{END}{START}assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
+    # Joins compare ids by equality, so a null one is carried as a value.
+    rows = rows.withColumn("conv_id", F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id")))
     tree, _ = save(linear_tree(rows), "turns")
     out = format_paths(tree, chosen_paths(tree))
     back = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said_back = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return back.select(
-        "conv_id",
+        F.when(~F.col("conv_id.none"), F.col("conv_id.id")).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said_back, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),

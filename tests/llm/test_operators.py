@@ -453,6 +453,12 @@ def test_chat_against_plain(spark, sf):
     assert got == want
 
 
+def test_chat_keeps_null_conversation(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "answer"), (0, 0, "user", "other")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op6_chat(turns).collect()}
+    assert got == {None: (2, 6), 0: (1, 0), -1: (2, got[-1][1])}
+
+
 def test_chat_tree_takes_best_branch(spark):
     tree = spark.createDataFrame([(1, 1, None, "user", "q", 0.5), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.6), (2, 1, 99, "user", "lost parent", 1.0)], "conv_id long, node long, parent long, role string, text string, score double")
     got = {r["conv_id"]: [t["text"] for t in r["t"]] for r in chat.format_paths(tree, chat.chosen_paths(tree)).select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
