@@ -134,10 +134,11 @@ def zscores(hits: DataFrame, group: str, score: str) -> DataFrame:
     return hits.join(stats, group).withColumn("z", F.when(F.col("sd") > 0, (F.col(score) - F.col("m")) / F.col("sd")).otherwise(F.lit(0.0))).drop("m", "sd")
 
 
-def reciprocal_ranks(hits: DataFrame, group: str, item: str, score: str, k: int = 60, depth: int = 100) -> DataFrame:
-    """Reciprocal rank fusion of each group's best ``depth`` items, ranks from 0."""
+def reciprocal_ranks(hits: DataFrame, group: str, item: str, score: str, k: int = 60, depth: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of all items of each group, or of its best ``depth``; ranks from 0."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), item)) - 1
-    top = hits.withColumn("place", place).filter(F.col("place") < depth)
+    top = hits.withColumn("place", place)
+    top = top if depth is None else top.filter(F.col("place") < depth)
     return top.groupBy(item).agg(F.round(F.sum(1.0 / (k + F.col("place"))), 9).alias("fused"))
 
 

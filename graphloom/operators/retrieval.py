@@ -224,16 +224,16 @@ def bag_vectors(records: DataFrame, key: str, text: str, dim: int = 128) -> Data
     return sums.select(key, "dim", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("value"))
 
 
-def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, least_share: float = 0.1, depth: int = 100) -> DataFrame:
+def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, least_share: float = 0.1) -> DataFrame:
     """Federated hits of each query, fused: z-score in a graph, reciprocal rank, authority, near-duplicates of other graphs
     dropped, conflicts flagged, rare graphs raised, ranks from 0.
 
-    ``hits``: query_id, kg_id, node_id, node_type, description, embedding (may be null), score. ``depth`` is what a graph may
-    return for a query, as in any federated search, so the hits of one query are bounded and are compared in one place.
+    ``hits``: query_id, kg_id, node_id, node_type, description, embedding (may be null), score. All hits take part. A hit goes or
+    stays by what better ones of its query stayed, so the hits of one query are compared in one place.
     A null score counts as 0; z-scores may be negative, and are multiplied as they are. Ties go to the smaller graph and node.
     """
     by_graph = Window.partitionBy("query_id", "kg_id")
-    placed = hits.withColumn("score", F.coalesce("score", F.lit(0.0)).cast(DOUBLE)).withColumn("place", F.row_number().over(by_graph.orderBy(F.desc("score"), "node_id")) - 1).filter(F.col("place") < depth)
+    placed = hits.withColumn("score", F.coalesce("score", F.lit(0.0)).cast(DOUBLE)).withColumn("place", F.row_number().over(by_graph.orderBy(F.desc("score"), "node_id")) - 1)
     spread = F.stddev_pop("score").over(by_graph)
     z = (F.col("score") - F.avg("score").over(by_graph)) / F.when(spread < 1e-8, 1.0).otherwise(spread)
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in authority.items() for x in pair]), F.col("kg_id")), F.lit(1.0)) if authority else F.lit(1.0)
@@ -250,16 +250,19 @@ def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, l
 def _survivors(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Best first, drop a hit whose cosine with a kept one of another graph reaches the threshold."""
     rows = rows.sort_values(["score", "kg_id", "node_id"], ascending=[False, True, True])
-    units, graphs, keep = [], [], []
+    units: dict[str, np.ndarray] = {}  # kept ones of each graph, in arrays that double
+    sizes: dict[str, int] = {}
+    keep = []
     for vector, graph in zip(rows["embedding"], rows["kg_id"]):
-        unit = None
         if vector is not None and np.linalg.norm(vector) > 0:
             unit = np.asarray(vector, float) / np.linalg.norm(vector)
-            if any(g != graph and float(u @ unit) >= threshold for u, g in zip(units, graphs)):
+            if any(g != graph and (u[: sizes[g]] @ unit >= threshold).any() for g, u in units.items()):
                 keep.append(False)
                 continue
-            units.append(unit)
-            graphs.append(graph)
+            n = sizes.get(graph, 0)
+            if n == len(units.get(graph, ())):
+                units[graph] = np.concatenate([units[graph], np.zeros_like(units[graph])]) if n else np.zeros((16, len(unit)))
+            units[graph][n], sizes[graph] = unit, n + 1
         keep.append(True)
     return rows[keep]
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from graphloom.operators import retrieval
+from graphloom.operators import relations, retrieval
 
 
 def test_project_links_with_a_very_common_type_and_label(spark):
@@ -93,6 +93,16 @@ def test_fusion_equals_a_plain_version(spark):
     assert retrieval.fuse(frame.filter("query_id > 9"), {}, 0.9).count() == 0
 
 
+def test_fusion_keeps_hits_beyond_the_best_hundred(spark):
+    rng = random.Random(12)
+    hits = [(0, f"kg{i % 2}", f"n{i:03d}", "A", "x" * 60, [rng.gauss(0, 1) for _ in range(8)], rng.random()) for i in range(320)]
+    frame = spark.createDataFrame(hits, "query_id int, kg_id string, node_id string, node_type string, description string, embedding array<double>, score double")
+    got = sorted((r.query_id, r.kg_id, r.node_id, round(r.score, 8), r.conflict, r.rank) for r in retrieval.fuse(frame, {"kg1": 1.5}, 0.9).collect())
+    assert len(got) > 200 and got == fused(hits, {"kg1": 1.5}, 0.9, 0.1)
+    ranks = relations.reciprocal_ranks(frame, "kg_id", "node_id", "score")
+    assert ranks.count() == 320
+
+
 def test_alignment(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=(200, 6))
