@@ -37,6 +37,11 @@ def exact_bridge(left: DataFrame, right: DataFrame, key: Column, confidence: flo
     return a.join(b, "k").select("left_id", "right_id", F.lit(confidence).alias("confidence"))
 
 
+def unmatched(left: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Rows of ``left`` (id) without an accepted exact match (left_id): those that token overlap asks about."""
+    return left.join(accepted.select(F.col("left_id").alias("id")), "id", "left_anti")
+
+
 def reconcile(candidates: DataFrame, key: str, confidence: str, priority: str, source: str) -> DataFrame:
     """The best candidate of each key: largest confidence, then smallest priority, then smallest source. One aggregation, no sort."""
     order = F.struct((-F.col(confidence)).alias("c"), F.col(priority).alias("p"), F.col(source).alias("s"))
@@ -63,6 +68,12 @@ def unify(entities: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return shared.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("primary"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("secondary"), F.round(F.col("n") / F.least("na", "nb"), 4).alias("confidence"))
 
 
+def copies(entities: DataFrame) -> DataFrame:
+    """(representative, id) of each further entity of a (label, source): what ``unify`` says of the representative holds for it."""
+    first = entities.groupBy("label", "source_type").agg(F.min("id").alias("representative"))
+    return entities.filter("label IS NOT NULL").join(first, ["label", "source_type"]).filter("id <> representative").select("representative", "id")
+
+
 def contradictions(facts: DataFrame, longest: int = 100) -> DataFrame:
     """Different values of one property under one label in two source types. Inputs: label, source_type, key, value (strings).
 

@@ -73,7 +73,7 @@ def degree_centrality(spark, sf_dir):
 
 @query()
 def pagerank(spark, sf_dir):
-    return traverse.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir), rounds=10).select("id", F.round("rank", 9).alias("rank"))
+    return traverse.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir), rounds=20).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query()

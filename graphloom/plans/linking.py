@@ -41,10 +41,13 @@ def bridge_reconcile(spark, sf_dir):
 
 @query()
 def entity_unify(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    code = names.select(F.concat(F.lit("code:"), "p_name").alias("id"), F.regexp_replace("p_name", " ", "_").alias("label"), F.lit("code").alias("source_type"))
-    docs = names.select(F.concat(F.lit("doc:"), "p_name").alias("id"), F.initcap("p_name").alias("label"), F.lit("document").alias("source_type"))
-    return linking.unify(code.unionByName(docs), {"code": 1, "document": 2})
+    parts = table(spark, sf_dir, "part")
+    code = parts.select(F.concat(F.lit("code:"), "p_partkey").alias("id"), F.regexp_replace("p_name", " ", "_").alias("label"), F.lit("code").alias("source_type"))
+    docs = parts.select(F.concat(F.lit("doc:"), "p_partkey").alias("id"), F.initcap("p_name").alias("label"), F.lit("document").alias("source_type"))
+    entities = code.unionByName(docs)
+    pairs = linking.unify(entities, {"code": 1, "document": 2}).withColumn("kind", F.lit("pair"))
+    copies = linking.copies(entities).select(F.col("representative").alias("primary"), F.col("id").alias("secondary"), F.lit(1.0).alias("confidence"), F.lit("copy").alias("kind"))
+    return pairs.unionByName(copies)
 
 
 @query(

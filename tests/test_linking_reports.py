@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import linking, reports, texts
+from graphloom import plans
+from graphloom.graphview import table
+from graphloom.operators import linking, relations, reports, texts
 from graphloom.streaming import guards
 
 
@@ -20,6 +22,22 @@ def test_name_variants(spark):
     assert got["x"] == [] and not got[None]
 
 
+def test_unify_copies_and_reference_thresholds(spark, sf, tmp_path):
+    df = spark.createDataFrame([("c1", "a b", "code"), ("c2", "a b", "code"), ("d1", "a b", "doc"), ("n", None, "code"), ("m", None, "code")], "id string, label string, source_type string")
+    assert rows(linking.copies(df)) == [("c1", "c2")]
+    known = plans.queries()
+    parts = table(spark, sf, "part").count()
+    whole = known["entity_unify"](spark, sf)
+    named = whole.select("primary").union(whole.select("secondary")).distinct()
+    assert named.count() == 2 * parts
+    spark.createDataFrame([(2, "one two three"), (3, "two three four five")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert rows(known["bridge_token_overlap"](spark, str(tmp_path))) == [(2, 3, 0.4)]
+    left = spark.createDataFrame([(1, "Same Name"), (2, "one two three")], "id int, text string")
+    right = spark.createDataFrame([(3, "same_name"), (4, "two three four five")], "id int, text string")
+    exact = linking.exact_bridge(left, right, linking.normalised(F.col("text")))
+    assert rows(relations.jaccard_pairs(linking.unmatched(left, exact), right, 0.35)) == [(2, 4, 0.4)]
+
+
 def test_unify_takes_other_sources_alone(spark):
     df = spark.createDataFrame([("c1", "user_profile", "code"), ("d1", "User Profile", "doc"), ("d2", "user profile", "doc"), ("z", "other", "doc"), ("n", None, "code")], "id string, label string, source_type string")
     found = rows(linking.unify(df, {"code": 1, "doc": 2}))
