@@ -10,26 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python: long texts stay far below a worker's memory.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch sent to Python (at least one row): long texts stay far below a worker's memory.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a Python worker treats as one block.
 BLOCK_BYTES = 4 << 20
 
+#: Scratch tables of this process that have not been deleted yet.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, local sessions get a temporary one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graphloom-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -47,11 +54,23 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def scratch_mark() -> int:
+    """A place in the list of scratch tables, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, mark: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove the scratch tables written since ``mark`` but those in ``keep``: for callers that have stored what they got from an operator."""
+    discard(spark, *[path for path in _WRITTEN[mark:] if path not in keep])
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by their bytes, as one text may be very long. All operators set the same value, so that their order doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +101,5 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Documents that no model learns from: crc32 of the id as text leaves 2 on division by 4."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """Documents that no model learns from: crc32 of the id as text leaves 2 on division by 4. A null id is none of them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
