@@ -1,174 +1,179 @@
 """Operator 2, best-fit packing in bulk-synchronous rounds.
 
-Items (documents or their last pieces) and gaps (room left in open sequences) are distributed tables. Items are
-range-sorted by length once, which gives each its rank among items of equal length; gaps carry the same kind of
-rank. A round then
-
-1. sweeps the lengths from long to short: a gap is put on a stack, an item takes the nearest gap above it that is
-   still free - its successor. The sweep needs only how many items and gaps there are of each length, so at most
-   ``2 * capacity`` numbers, whatever the input. It yields *flows*: the items of one length with ranks q0..q1 go to
-   the gaps of one size with ranks from r0 on, ``times`` items to a gap where items are plentiful. A conflict - many
-   items with one successor - is thereby resolved by rank;
-2. joins items to gaps on (gap, rank), which places the items;
-3. updates the gaps' sizes and ranks by the same flows, and opens new sequences with the longest items left once
-   few items find a gap.
-
-Rounds go on until no item is left. Each round's tables are written to the shared folder.
+Items (documents or their last pieces) and gaps (room left in open sequences) are distributed tables. A round
+
+1. range-sorts items and gaps together by size, long before short and gaps before items of their size. Each sorted part is swept once: a gap that
+   the sweep meets goes on a stack, an item takes the gap on top - its successor, the smallest that holds it - and what is left of the gap
+   comes back once the sweep has come down to its size;
+2. where parts place few of their items, matches across parts: each part has so many items that found no gap and so many gaps that it can hand
+   on, and a gap that is handed on holds any item of a later part. Parts take from the nearest part before them, and conflicts - many items
+   with one successor - are resolved by rank: the items' ranks in their part are joined to the gaps' ranks in theirs. The plan of this
+   has two rows for each part;
+3. opens new sequences with the longest items left, if even so few items found a gap;
+4. updates the gaps by what they took in.
+
+Rounds go on until no item is left, and each one's tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, discard, save
 from .tokens import TOKEN_BLOCK, encoder, with_end
 
 CAPACITY = 2048
-#: A round that places less than this share of the items left is followed by opening sequences.
+#: Parts that place less than this share of the items left are followed by matches across parts, and these by opening sequences.
 FEW = 0.1
-NO_END = 1 << 62
-
-
-@dataclass
-class Round:
-    """What one round does, by length. ``items``: length, q0, q1, gap, r0, times. ``gaps``: gap, lo, hi, new gap, new rank less old. ``opened``: length, q0, q1, new rank less old."""
-
-    items: list[tuple] = field(default_factory=list)
-    gaps: list[tuple] = field(default_factory=list)
-    opened: list[tuple] = field(default_factory=list)
-
-
-def sweep_plan(lengths: dict[int, int], capacity: int, few: float = FEW) -> list[Round]:
-    """All rounds for so many items of each length. The ranks of items are absolute: those below ``done`` are placed."""
-    total, done, gaps = dict(lengths), Counter(), Counter()
-    rounds: list[Round] = []
-
-    def left() -> dict[int, int]:
-        return {n: total[n] - done[n] for n in total if total[n] > done[n]}
+#: Items and gaps of a part, about: what a task holds at once.
+PART = 250_000
+#: Kinds of rows that a sweep gives: an item placed, an item left, a gap handed on, a gap smaller than all items of its part.
+PLACED, LEFT, HANDED, SMALL = range(4)
+SWEPT = "kind int, part long, rank long, id long, sequence_id long, size long"
+
+
+def sweep(sizes: np.ndarray, is_item: np.ndarray, ids: np.ndarray) -> tuple[list, list, list, list]:
+    """One sorted part: placed (item, gap, room before it was placed), items left, gaps handed on (smallest last) and smaller ones, each as (id, size)."""
+    stack: list[tuple[int, int]] = []
+    waiting: dict[int, list[int]] = {}  # gaps that are less than the size swept, by their room
+    placed, left = [], []
+    now = -1
+    for size, item, who in zip(sizes.tolist(), is_item.tolist(), ids.tolist()):
+        if size != now:
+            if waiting:  # what has been left of gaps from now down to this size
+                for room in sorted((r for r in waiting if r >= size), reverse=True):
+                    stack += [(g, room) for g in waiting.pop(room)]
+            now = size
+        if not item:
+            stack.append((who, size))
+        elif not stack:
+            left.append((who, size))
+        else:
+            gap, room = stack.pop()
+            placed.append((who, gap, room))
+            if room - size >= size:
+                stack.append((gap, room - size))
+            elif room > size:
+                waiting.setdefault(room - size, []).append(gap)
+    return placed, left, stack, [(g, room) for room, found in waiting.items() for g in found]
+
+
+def _sweep(batches):
+    """Rows (size, item, id) of a sorted part to rows of SWEPT."""
+    got = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not got:
+        return
+    rows = pa.concat_tables(got)
+    found = sweep(*(rows.column(c).to_numpy() for c in ("size", "item", "id")))
+    part = TaskContext.get().partitionId()
+    for kind, out in enumerate(found):
+        for k in range(0, len(out), 65536):
+            some = out[k : k + 65536]
+            n = len(some)
+            columns = [np.full(n, kind, np.int32), np.full(n, part, np.int64), np.arange(k, k + n), [x[0] for x in some], [x[1] if kind == PLACED else None for x in some], [x[-1] for x in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 5])], names=["kind", "part", "rank", "id", "sequence_id", "size"])
+
+
+def handed(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which gaps go to which part. ``parts``: part, items left, their largest size, gaps to hand on, the smallest of these.
+
+    Gives (part, q0, q1, gap part, r1, times): the items left with ranks q0..q1 go to gaps with ranks r1, r1 - 1, ..., ``times`` items to each.
+    Gaps are ranked with the smallest last, and the smallest goes first.
+    """
+    stack: list[list[int]] = []
+    out = []
+    for part, items, largest, gaps, smallest in sorted(parts):
+        at = 0
+        while at < items and stack:
+            other, free, room = stack[-1]
+            times = min(max(1, room // largest), items - at)
+            used = min(free, -(-(items - at) // times))
+            upto = min(items, at + used * times)
+            out.append((part, at, upto, other, free - 1, times))
+            at = upto
+            if used == free:
+                stack.pop()
+            else:
+                stack[-1][1] -= used
+        if gaps:
+            stack.append([part, gaps, smallest])
+    return out
 
-    def start(now: Round, take: dict[int, int]) -> None:
-        for n, k in take.items():
-            now.opened.append((n, done[n], done[n] + k, gaps[capacity - n] - done[n]))
-            gaps[capacity - n] += k
-            done[n] += k
 
-    # No two items of over half the capacity share a sequence.
-    start(first := Round(), {n: k for n, k in total.items() if 2 * n > capacity})
-    rounds.append(first)
-    while items := left():
-        now, stack, taken, arriving = Round(), [], Counter(), []
-        placed, waiting = 0, sum(items.values())
-        for size in sorted(set(items) | {g for g in gaps if g and gaps[g]}, reverse=True):
-            if gaps[size]:
-                stack.append([size, gaps[size]])
-            n = items.get(size, 0)
-            while n and stack:
-                gap, free = stack[-1]
-                times = max(1, min(gap // size, n // free))
-                k = min(free, n // times)
-                now.items.append((size, done[size], done[size] + k * times, gap, taken[gap], times))
-                arriving.append((gap, taken[gap], taken[gap] + k, gap - times * size))
-                taken[gap] += k
-                done[size] += k * times
-                n -= k * times
-                placed += k * times
-                if k == free:
-                    stack.pop()
-                else:
-                    stack[-1][1] -= k
-        # Those that stay move up by what was taken before them; those that arrive queue behind.
-        for gap in [g for g in gaps if gaps[g]]:
-            if taken[gap] < gaps[gap]:
-                now.gaps.append((gap, taken[gap], NO_END, gap, -taken[gap]))
-            gaps[gap] -= taken[gap]
-        for gap, lo, hi, new in arriving:
-            now.gaps.append((gap, lo, hi, new, gaps[new] - lo))
-            gaps[new] += hi - lo
-        rounds.append(now)
-        if (items := left()) and placed < few * waiting:
-            want, take = -(-sum(n * k for n, k in items.items()) // capacity), {}
-            for n in sorted(items, reverse=True):
-                if k := min(want, items[n]):
-                    take[n] = k
-                    want -= k
-            start(now, take)
-    return rounds
-
-
-def ranked(items: DataFrame, length: str, key: str) -> tuple[DataFrame, dict[int, int], str]:
-    """Items with their rank among those of equal length, and how many there are of each length.
-
-    The range sort is written first, so that ranks stay what they are if a task runs again. What comes to the
-    driver is a row for each length in each sorted part: at most the lengths plus the parts.
-    """
-    spark = items.sparkSession
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    sort = items.repartitionByRange(F.col(length).desc(), F.col(key)).sortWithinPartitions(F.col(length).desc(), F.col(key))
-    sorted_, path = save(sort.withColumn("place", F.monotonically_increasing_id()), "sorted")
-    parts = sorted_.groupBy(length, part.alias("part")).agg(F.count("*").alias("n"), F.min(at).alias("first")).collect()
-    before, offsets = Counter(), []
-    for row in sorted(parts, key=lambda r: (r["part"], r["first"])):
-        offsets.append((row[length], row["part"], before[row[length]] - row["first"]))
-        before[row[length]] += row["n"]
-    shift = spark.createDataFrame(offsets, f"{length} long, part long, shift long")
-    return sorted_.withColumn("part", part).withColumn("at", at).join(F.broadcast(shift), [length, "part"]).withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift", "place"), dict(before), path
-
-
-def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length: str = "length") -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length: str = "length", few: float = FEW, part: int = PART) -> DataFrame:
     """Place every item in a sequence of at most ``capacity``; returns key, sequence_id, offset.
 
     ``items`` has a unique long ``key`` and a whole-number ``length`` from 1 to ``capacity``; a sequence is named by the
     key of the item that opened it. Other columns are ignored. An empty table gives an empty result; equal lengths are ranked by key.
     """
     spark = items.sparkSession
-    light = items.select(F.col(key).cast("long").alias(key), F.col(length).cast("long").alias("length"))
-    light, counts, sorted_path = ranked(light, "length", key)
-    if any(n < 1 or n > capacity for n in counts):
+    bounded_batches(spark)
+    left = items.select(F.col(key).cast("long").alias("id"), F.col(length).cast("long").alias("size"))
+    bounds = left.agg(F.count_if((F.col("size") < 1) | (F.col("size") > capacity) | F.col("size").isNull()).alias("bad")).first()
+    if bounds["bad"]:
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    light, light_path = save(light, "ranked")
-    discard(spark, sorted_path)
-
-    parts: list[DataFrame] = []
-    gaps: DataFrame | None = None
-    gaps_path = None
-    for k, now in enumerate(sweep_plan(counts, capacity)):
-        if now.items:
-            flows = spark.createDataFrame(now.items, "length long, q0 long, q1 long, gap long, r0 long, times long")
-            matched = (
-                light.join(F.broadcast(flows), "length")
-                .filter("rank >= q0 AND rank < q1")
-                .selectExpr(key, "gap", "r0 + (rank - q0) DIV times AS gap_rank", "((rank - q0) % times) * length AS inside")
-            )
-            found = matched.join(gaps, ["gap", "gap_rank"]).selectExpr(key, "sequence_id", f"{capacity} - gap + inside AS offset")
-            parts.append(save(found, f"placed-{k}")[0])
-        next_gaps: list[DataFrame] = []
-        if now.gaps:
-            moves = spark.createDataFrame(now.gaps, "gap long, lo long, hi long, new_gap long, shift long")
-            next_gaps.append(gaps.join(F.broadcast(moves), "gap").filter("gap_rank >= lo AND gap_rank < hi").selectExpr("sequence_id", "new_gap AS gap", "gap_rank + shift AS gap_rank"))
-        if now.opened:
-            opened = spark.createDataFrame(now.opened, "length long, q0 long, q1 long, shift long")
-            own = light.join(F.broadcast(opened), "length").filter("rank >= q0 AND rank < q1")
-            next_gaps.append(own.selectExpr(f"{key} AS sequence_id", f"{capacity} - length AS gap", "rank + shift AS gap_rank"))
-            parts.append(own.selectExpr(key, f"{key} AS sequence_id", "0L AS offset"))
-        if next_gaps:
-            union = next_gaps[0]
-            for more in next_gaps[1:]:
-                union = union.unionByName(more)
-            # A full sequence takes no part in further rounds.
-            new, new_path_ = save(union.filter("gap > 0"), f"gaps-{k}")
-            if gaps_path:
-                discard(spark, gaps_path)
-            gaps, gaps_path = new, new_path_
-    if not parts:
-        return light.selectExpr(key, f"{key} AS sequence_id", "0L AS offset")
-    out = parts[0]
-    for more in parts[1:]:
+
+    # No two items of over half the capacity share a sequence.
+    first = left.filter(F.col("size") * 2 > capacity)
+    done = [first.select(F.col("id").alias(key), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps, gaps_path = save(first.select(F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("size")).filter("size > 0"), "gaps")
+    left, left_path = save(left.filter(F.col("size") * 2 <= capacity), "left")
+    waiting = left.count()
+    while waiting:
+        both = left.select("size", F.lit(True).alias("item"), "id").unionByName(gaps.select("size", F.lit(False).alias("item"), F.col("sequence_id").alias("id")))
+        order = [F.col("size").desc(), F.col("item").asc(), F.col("id").asc()]
+        swept, swept_path = save(both.repartitionByRange(-(-(waiting + gaps.count()) // part), *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
+        of = lambda kind: F.col("kind") == kind
+        # A row for each part: what it has left, and what it can hand on.
+        found = swept.groupBy("part").agg(*(F.count_if(of(k)).alias(f"n{k}") for k in (PLACED, LEFT, HANDED)), F.max(F.when(of(LEFT), F.col("size"))).alias("largest"), F.min(F.when(of(HANDED), F.col("size"))).alias("smallest"), F.sum(F.when(of(LEFT), F.col("size"))).alias("tokens")).collect()
+        placed_now, tokens = sum(r["n0"] for r in found), sum(r["tokens"] or 0 for r in found)
+        # Room is what a gap had before; a gap that took more items than one has the least room last.
+        here = swept.filter(of(PLACED)).select(F.col("id").alias(key), "sequence_id", (capacity - F.col("size")).alias("offset"))
+        rooms = swept.filter((F.col("kind") == HANDED) | (F.col("kind") == SMALL)).select(F.col("id").alias("sequence_id"), "size", "kind", "part", "rank")
+        full = None
+        rest = swept.filter(of(LEFT)).select("part", "rank", "id", "size")
+        done.append(here)
+        cleared, opened = [left_path, gaps_path], []
+        if placed_now < few * waiting and (flows := handed([(r["part"], r["n1"], r["largest"] or 0, r["n2"], r["smallest"] or 0) for r in found])):
+            plan = spark.createDataFrame(flows, "part long, q0 long, q1 long, gap_part long, r1 long, times long")
+            asked = rest.join(F.broadcast(plan), "part").filter("rank >= q0 AND rank < q1").selectExpr("id", "size", "gap_part", "r1 - (rank - q0) DIV times AS gap_rank", "rank AS turn")
+            free = rooms.filter(of(HANDED)).select("sequence_id", F.col("size").alias("room"), F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"))
+            before = Window.partitionBy("gap_part", "gap_rank").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+            across, _ = save(asked.join(free, ["gap_part", "gap_rank"]).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).select("id", "size", "sequence_id", (capacity - F.col("room") + F.col("before")).alias("offset")), "across")
+            done.append(across.select(F.col("id").alias(key), "sequence_id", "offset"))
+            full = across.groupBy("sequence_id").agg(F.sum("size").alias("took"))
+            rest = rest.join(F.broadcast(plan.groupBy("part").agg(F.max("q1").alias("upto"))), "part", "left").filter("upto IS NULL OR rank >= upto").drop("upto")
+            placed_now += sum(q1 - q0 for _, q0, q1, *_ in flows)
+            tokens -= across.agg(F.sum("size")).first()[0]
+        if placed_now < few * waiting and placed_now < waiting:
+            # As many new sequences as the items left fill at least, with the longest of them. Parts are in order of size, so ranks run on from part to part.
+            taken = {part: q1 for part, _, q1, *_ in flows} if full is not None else {}
+            want, cuts = -(-tokens // capacity), []
+            for r in sorted(found, key=lambda r: r["part"]):
+                begin = taken.get(r["part"], 0)
+                if n := min(want, r["n1"] - begin):
+                    cuts.append((r["part"], begin + n))
+                    want -= n
+            cut = F.broadcast(spark.createDataFrame(cuts, "part long, cut long"))
+            marked = rest.join(cut, "part", "left").withColumn("opens", F.coalesce(F.col("rank") < F.col("cut"), F.lit(False)))
+            opened = [marked.filter("opens").select("id", "size")]
+            done.append(opened[0].select(F.col("id").alias(key), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            rest = marked.filter("NOT opens")
+        remaining = rooms.select("sequence_id", "size")
+        if full is not None:
+            remaining = remaining.join(full, "sequence_id", "left").select("sequence_id", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size"))
+        for new in opened:
+            remaining = remaining.unionByName(new.select(F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("size")))
+        gaps, gaps_path = save(remaining.filter("size > 0"), "gaps")
+        left, left_path = save(rest.select("id", "size"), "left")
+        discard(spark, *cleared)
+        waiting = left.count()
+    out = done[0]
+    for more in done[1:]:
         out = out.unionByName(more)
     return out
 
