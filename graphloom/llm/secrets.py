@@ -1,14 +1,20 @@
 """Operator 7, secret scans in DataFrame functions alone.
 
 Fixed patterns give the base spans. A character Markov model adds to them: tokens of 20 or more characters with a digit and a letter are
-scored by the log-likelihood ratio of two first-order models, one of random strings and one of ordinary identifiers, trained on
-labelled samples. A token counts as a secret if its ratio exceeds the threshold and it touches no base span.
+scored by the log-likelihood ratio of two first-order models, one of random strings and one of ordinary identifiers, over
+the number of pairs of characters. A token counts as a secret if that exceeds the threshold and it touches no base span.
 
-Defined results: null or empty text has no spans; positions are code points, ends exclusive; every row returns, repeated ones too.
+Both models are trained on labelled samples: values that the fixed patterns find in a bounded sample of the documents are secrets, and other
+tokens of eight or more characters there are ordinary. Strings made by a fixed rule are added to both, so that alphabets that
+the documents' secrets happen to lack are known too, and a table without secrets still has a model.
+
+Defined results: null or empty text has no spans; positions are code points, ends exclusive; every row returns, repeated ones too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +23,21 @@ from .quality import let
 #: The base patterns in the order of their kinds, and the least length of what counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
+#: A run of hex digits is maximal, so asking for 16 of them finds the runs of 16 or more.
+HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: A token that the model looks at: no shorter, with a digit and a letter, not inside a longer one.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD = 10.0
-#: Size of the default labelled sample, for each label.
+#: Least log-likelihood ratio a pair of characters.
+THRESHOLD = 0.3
+#: Size of the generated part of the labelled sample, for each label.
 SAMPLES = 6000
-#: Words that default identifiers are put together from.
+#: Documents that labelled strings are taken from, about.
+LEARNED = 4000
+#: Words that generated identifiers are put together from.
 STEMS = (
     "get set user name order item count total price list page index date time value key map array text line file path size max min first last next "
     "parent child node edge graph table column row field record update delete insert select query result status error message request response "
@@ -52,46 +63,75 @@ def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return secrets.unionByName(plain)
 
 
+def found_samples(docs: DataFrame, bound: int = LEARNED) -> DataFrame:
+    """Labelled strings (text, secret) from about ``bound`` rows, each chosen by a hash of its place: what the fixed patterns find, and other tokens."""
+    share = min(1.0, bound / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = docs.filter(chosen).filter("text IS NOT NULL").select("text")
+    hidden = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        hidden = F.regexp_replace(hidden, pattern, " ")
+    values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
+    secrets = some.select(F.explode(values).alias("text"), F.lit(True).alias("secret")).filter(F.length("text") >= LEAST["assign"])
+    plain = some.select(F.explode(F.regexp_extract_all(hidden, F.lit(r"[A-Za-z0-9+/_=-]{8,}"), F.lit(0))).alias("text"), F.lit(False).alias("secret"))
+    return secrets.unionByName(plain)
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log ratio of each pair of characters, in the alphabet's order: how much likelier after the first the second is in secrets. Add-one smoothing."""
-    places = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda k: F.struct(F.substring("text", k, F.lit(1)).alias("a"), F.substring("text", k + 1, F.lit(1)).alias("b")))
-    pairs = samples.filter(F.length("text") > 1).select("secret", F.explode(places).alias("p")).select("secret", "p.*")
-    counted = pairs.groupBy("a", "b").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
-    got = {(r["a"], r["b"]): (r["s"], r["o"]) for r in counted.filter(F.col("a").isin(*ALPHABET) & F.col("b").isin(*ALPHABET)).collect()}
-    from math import log
-
+    places = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda k: F.substring("text", k, F.lit(2)))
+    pairs = samples.filter(F.length("text") > 1).select("secret", F.explode(places).alias("p"))
+    counted = pairs.groupBy("p").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
+    got = {r["p"]: (r["s"], r["o"]) for r in counted.filter(F.col("p").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()}
     n, out = len(ALPHABET), []
     for a in ALPHABET:
-        rows = [got.get((a, b), (0, 0)) for b in ALPHABET]
+        rows = [got.get(a + b, (0, 0)) for b in ALPHABET]
         s, o = sum(r[0] for r in rows), sum(r[1] for r in rows)
         out += [round(log((x + 1) / (s + n)) - log((y + 1) / (o + n)), 3) for x, y in rows]
     return out
 
 
+def fitted(docs: DataFrame) -> list[float]:
+    """The model of these documents."""
+    return train(found_samples(docs).unionByName(default_samples(docs.sparkSession)))
+
+
 def ratio(token: Column, table: Column) -> Column:
-    """Log-likelihood ratio of a token over the pairs of its characters."""
+    """Log-likelihood ratio of a token a pair of its characters."""
 
     def place(k: Column) -> Column:
         return F.call_function("locate", F.substring(token, k, F.lit(1)), F.lit(ALPHABET))
 
     steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda total, k: total + F.element_at(table, (place(k) - 1) * len(ALPHABET) + place(k + 1)))
+    return F.aggregate(steps, F.lit(0.0), lambda total, k: total + F.element_at(table, (place(k) - 1) * len(ALPHABET) + place(k + 1))) / F.size(steps)
+
+
+def running(values: Column, merge, chunk: int = 256) -> Column:
+    """What merging the values before each one gives (0 for the first). By chunks, as appending to an array would copy it each time."""
+    fold = lambda x: F.aggregate(x, F.lit(0), merge)
+
+    def over(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: fold(F.slice(v, c * chunk + 1, F.lit(chunk))))
+        before = let(chunks, lambda s: F.transform(s, lambda _, c: fold(F.slice(s, F.lit(1), c))))
+        inside = lambda i: fold(F.slice(v, i - i % chunk + 1, i % chunk))
+        return let(before, lambda o: F.transform(v, lambda _, i: merge(F.element_at(o, F.floor(i / chunk).cast("int") + 1), inside(i))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.array().cast("array<int>")))
 
 
 def located(text: Column, pattern: str, tail: int = 0) -> Column:
     """Matches of ``pattern`` as (start, end, tail): what lies between them is split off, so lengths add up to places."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tails = F.regexp_extract_all(text, F.lit(pattern), F.lit(tail)) if tail else whole
-    sizes = F.arrays_zip(F.transform(F.split(text, pattern), F.length).alias("gap"), F.transform(whole, F.length).alias("size"), tails.alias("tail"))
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,tail:string>>").alias("found"), F.lit(0).alias("at"))
+    # The last of the gaps follows the last match.
+    gaps = F.slice(F.transform(F.split(text, pattern), F.length), F.lit(1), F.size(whole))
+    sizes = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("size"), tails.alias("tail"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["tail"].alias("tail")))
-        return F.when(x["size"].isNull(), acc).otherwise(F.struct(F.concat(acc["found"], one).alias("found"), end.alias("at")))
+    def placed(z: Column) -> Column:
+        starts = running(F.transform(z, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        return F.zip_with(z, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["tail"].alias("tail")))
 
-    return F.aggregate(sizes, start, step)["found"]
+    return let(sizes, placed)
 
 
 def spans_of(text: Column, kind: str, pattern: str, keep, tail: int = 0) -> Column:
@@ -102,16 +142,14 @@ def spans_of(text: Column, kind: str, pattern: str, keep, tail: int = 0) -> Colu
 
 
 def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with ``base_spans`` and ``added_spans`` (columns of these names are replaced): arrays of (start, kind, end)."""
-    spark = docs.sparkSession
-    weights = F.split(F.lit(",".join(map(str, table if table is not None else train(default_samples(spark))))), ",").cast("array<double>")
+    """All columns of ``docs`` with ``base_spans`` and ``added_spans`` (columns of these names are replaced): arrays of (start, kind, end). ``table``: a trained model; by default one is fitted on ``docs``."""
+    weights = F.split(F.lit(",".join(map(str, table if table is not None else fitted(docs)))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(
         F.concat(
             spans_of(text, "assign", ASSIGN, lambda m: F.length(m["tail"]) >= LEAST["assign"], tail=2),
             spans_of(text, "access", ACCESS, lambda m: m["end"] - m["start"] >= LEAST["access"]),
-            # A run of hex digits is maximal, so asking for 16 of them finds the runs of 16 or more.
-            spans_of(text, "hex", r"[0-9a-f]{16,}", lambda m: F.lit(True)),
+            spans_of(text, "hex", HEX, lambda m: F.lit(True)),
         )
     )
     random = spans_of(text, "random", TOKEN, lambda m: ratio(m["tail"], weights) > threshold)
@@ -130,15 +168,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark. Null texts stay null."""
     found = scan(docs, **options)
     spans = F.array_sort(F.concat("base_spans", "added_spans"))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    def rest(s: Column) -> Column:
+        """What stands between the spans, with a mark for each group of spans that overlap or touch no text."""
+
+        def pieces(upto: Column) -> Column:
+            kept = lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), F.lit(mark))).otherwise("")
+            last = F.array_max(F.transform(s, lambda x: x["end"]))
+            return F.concat(F.array_join(F.zip_with(s, upto, kept), ""), F.substring(F.col("text"), last + 1, F.length("text") - last))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        apart = F.struct(F.concat(acc["text"], kept, F.lit(mark)).alias("text"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], apart).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
+        return let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), pieces)
 
-    done = let(F.aggregate(spans, start, step), lambda r: F.concat(r["text"], F.substring(F.col("text"), r["at"] + 1, F.length("text") - r["at"])))
-    return found.withColumn("text", F.when(F.size("base_spans") + F.size("added_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("base_spans") + F.size("added_spans") > 0, let(spans, rest)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op7_secrets(docs: DataFrame) -> DataFrame:
