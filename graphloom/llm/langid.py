@@ -1,37 +1,41 @@
 """Operator 9, language identification: known words first, then ever shorter character n-grams.
 
-Each language keeps the log frequency of its frequent words. A word that is known in any language counts by these; an
+Each language keeps the log frequency of its words. A word that is known in any language counts by these; an
 unseen one by the longest of its character n-grams (with word borders) of which any is known, averaged. A text's
 language is the one with the largest sum; the score is its posterior probability with equal priors.
 
+Frequencies are smoothed by half a count, so a language that hasn't shown a word (or gram) gives it the same least value, and one that has shown it c times
+adds log(2c + 1) to that. Only those additions are stored, so the model grows with what was learned, not with languages times words.
+
 Learning reads a bounded sample of the labelled rows that are not held out: about ``per_language`` documents of each
-language, chosen by a hash of their ids. Prediction reads the text alone.
+language, and ``documents`` in all, chosen by a hash of their ids. All words of these and all languages are learned. Prediction reads the text alone.
 
 Defined results: null text or text without a letter is ``und`` with score 0; a tie goes to the language that sorts first; with nothing to learn from
-every text is ``und``.
+every text is ``und``; rows with a null id are not held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks, bounded_batches, held_out
 
 UNKNOWN = "und"
-#: Bounds of the fit: documents and words of each language, and languages (the most frequent ones).
-PER_LANGUAGE, MAX_WORDS, MAX_LANGUAGES = 1500, 15_000, 200
+#: Bounds of the fit: documents of each language, and of all.
+PER_LANGUAGE, DOCUMENTS = 1500, 20_000
 LONGEST_GRAM = 4
 #: Unseen words whose scores a worker remembers.
 REMEMBERED = 200_000
+#: Numbers of texts times languages that are scored at once.
+SCORED = 1 << 22
 WORDS = regex.compile(r"\p{L}+")
 
 
@@ -44,6 +48,24 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
+class Frequencies:
+    """Counts of strings in languages: the least log frequency of each language, and for each string what to add for the languages that have shown it."""
+
+    def __init__(self, counts: dict[str, dict[int, int]], languages: int):
+        self.slot = {x: k for k, x in enumerate(counts)}
+        self.starts = np.cumsum([0, *map(len, counts.values())])
+        self.language = np.fromiter((p for c in counts.values() for p in c), np.int32, self.starts[-1])
+        n = np.fromiter((x for c in counts.values() for x in c.values()), np.float64, self.starts[-1])
+        totals = np.bincount(self.language, n, languages) + 0.5 * len(counts)
+        self.least = np.log(0.5 / np.maximum(totals, 0.5))
+        self.more = np.log(2 * n + 1)
+
+    def row(self, x: str) -> tuple[np.ndarray, np.ndarray]:
+        k = self.slot[x]
+        a, b = self.starts[k], self.starts[k + 1]
+        return self.language[a:b], self.more[a:b]
+
+
 class LanguageModel:
     """Fitted from (language, word, count) rows."""
 
@@ -51,80 +73,101 @@ class LanguageModel:
         self.name = uuid.uuid4().hex
         self.languages = sorted({r[0] for r in rows})
         place = {x: k for k, x in enumerate(self.languages)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(place)))
-        tables: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(place))) for _ in range(LONGEST_GRAM)]
+        words: dict[str, dict[int, int]] = defaultdict(dict)
         for language, word, n in rows:
-            words[word][place[language]] += n
-            for k in range(LONGEST_GRAM):
-                for g, times in Counter(grams(word, k + 1)).items():
-                    tables[k][g][place[language]] += n * times
-        self.words = self._logs(words)
-        self.tables = [self._logs(t) for t in tables]
-
-    @staticmethod
-    def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Log frequency in each language, with half a count for what it hasn't shown."""
-        if not counts:
-            return {}
-        matrix = np.stack(list(counts.values())) + 0.5
-        return dict(zip(counts, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)))
-
-    def unseen(self, word: str) -> np.ndarray:
+            words[word][place[language]] = words[word].get(place[language], 0) + n
+        self.tables = [Frequencies(words, len(place))]
+        for k in range(1, LONGEST_GRAM + 1):
+            table: dict[str, dict[int, int]] = defaultdict(dict)
+            for word, counts in words.items():
+                for g, times in Counter(grams(word, k)).items():
+                    found = table[g]
+                    for language, n in counts.items():
+                        found[language] = found.get(language, 0) + n * times
+            self.tables.append(Frequencies(table, len(place)))
+
+    def unseen(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """The table that decides on an unseen word (0: none does), and the languages and additions of its grams there, averaged."""
         for n in range(LONGEST_GRAM, 0, -1):
-            table = self.tables[n - 1]
-            known = [table[g] for g in grams(word, n) if g in table]
+            table = self.tables[n]
+            known = [table.row(g) for g in grams(word, n) if g in table.slot]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+                return n, np.concatenate([r[0] for r in known]), np.concatenate([r[1] for r in known]) / len(known)
+        return 0, np.zeros(0, np.int32), np.zeros(0)
 
 
 class Predictor:
-    """A model with the rows of words met so far."""
+    """A model with the rows of words met so far. Known words and met ones share their slots; ``decides`` is the table of each slot (-1: it doesn't count)."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.least = np.stack([*(t.least for t in model.tables), np.zeros(len(model.languages))])
         self._fresh()
 
     def _fresh(self) -> None:
-        self.slot = {w: k for k, w in enumerate(self.model.words)}
-        self.rows = np.stack([*self.model.words.values()]) if self.slot else np.zeros((0, len(self.model.languages)), np.float32)
+        table = self.model.tables[0]
+        self.slot, self.known = dict(table.slot), len(table.slot)
+        self.starts, self.language, self.more = table.starts, table.language, table.more
+        self.decides = np.zeros(self.known, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        found = [self.model.unseen(w) for w in new]
+        self.slot.update(zip(new, range(len(self.decides), len(self.decides) + len(new))))
+        self.decides = np.concatenate([self.decides, [f[0] or -1 for f in found]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f[1]) for f in found])])
+        self.language = np.concatenate([self.language, *(f[1] for f in found)])
+        self.more = np.concatenate([self.more, *(f[2] for f in found)])
+
+    def totals(self, found: list[list[str]]) -> np.ndarray:
+        """Log likelihood of each list of words in each language."""
+        n, languages = len(found), len(self.model.languages)
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        slots = np.fromiter((self.slot[w] for words in found for w in words), np.int64, sizes.sum())
+        text = np.repeat(np.arange(n), sizes)
+        tables = len(self.least)
+        used = np.bincount(text * tables + self.decides[slots] % tables, minlength=n * tables).reshape(n, tables)
+        lengths = (self.starts[1:] - self.starts[:-1])[slots]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        more = np.bincount(np.repeat(text, lengths) * languages + self.language[at], self.more[at], n * languages)
+        return used @ self.least + more.reshape(n, languages)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [words_of(t) for t in texts]
-        seen = set().union(*found) if found else set()
-        new = [w for w in seen if w not in self.slot]
-        if len(self.slot) - len(self.model.words) + len(new) > REMEMBERED and len(self.slot) > len(self.model.words):
+        languages = self.model.languages
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if not languages:
+            return names, scores
+        found = {k: words for k, t in enumerate(texts) if (words := words_of(t))}
+        seen = set().union(*found.values()) if found else set()
+        if len(self.slot) - self.known > REMEMBERED:
             self._fresh()
-            new = [w for w in seen if w not in self.slot]
-        if new:
-            more = np.stack([self.model.unseen(w) for w in new])
-            self.slot.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, more])
-        names, scores = [], []
-        for words in found:
-            if not words or not self.model.languages:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = self.rows[np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-            best = int(np.argmax(total))
-            names.append(self.model.languages[best])
-            scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+        if new := [w for w in seen if w not in self.slot]:
+            self._learn(new)
+        keys = list(found)
+        step = max(1, SCORED // len(languages))
+        for k in range(0, len(keys), step):
+            some = keys[k : k + step]
+            total = self.totals([found[x] for x in some])
+            best = total.argmax(axis=1)
+            odds = np.exp(np.maximum(total - total[np.arange(len(some)), best][:, None], -700)).sum(axis=1)
+            for x, b, o in zip(some, best.tolist(), odds.tolist()):
+                names[x], scores[x] = languages[b], 1 / o
         return names, scores
 
 
-def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, documents: int = DOCUMENTS) -> LanguageModel:
     """Learn from (doc_id, text, lang) rows that are not held out."""
     bounded_batches(docs.sparkSession)
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    languages = sizes.count()
+    if not languages:
         return LanguageModel([])
+    wanted = min(per_language, documents / languages)
     # The hash decides, so that the sample is the same on every run.
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (share < math.ceil(1_000_000 * min(1.0, per_language / r["count"]))))
+    # One row a language: few, but labels are data, so the bound is checked.
+    chosen = rows.join(F.broadcast(sizes) if languages <= documents else sizes, "lang").filter(share < F.ceil(1_000_000 * F.least(F.lit(1.0), F.lit(wanted) / F.col("size"))))
 
     def count(batches):
         for block in blocks(batches):
@@ -134,10 +177,8 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, max_words: int = M
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.filter(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_words)
-    return LanguageModel([(r["lang"], r["word"], r["n"]) for r in best.select("lang", "word", "n").orderBy("lang", "place").collect()])
+    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return LanguageModel(sorted((r["lang"], r["word"], r["n"]) for r in counted.collect()))
 
 
 _PREDICTORS: dict[str, Predictor] = {}
@@ -147,17 +188,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (columns of these names are replaced)."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.name, model.languages, model.words, model.tables))
+    # The model's size is bounded by the sample that it was fitted on.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        name, languages, words, tables = shared.value
-        if name not in _PREDICTORS:
-            own = LanguageModel([])
-            own.languages, own.words, own.tables = languages, words, tables
+        model = shared.value
+        if model.name not in _PREDICTORS:
             _PREDICTORS.clear()
-            _PREDICTORS[name] = Predictor(own)
+            _PREDICTORS[model.name] = Predictor(model)
         for block in blocks(batches):
-            names, scores = _PREDICTORS[name].predict(block.column("text").to_pylist())
+            names, scores = _PREDICTORS[model.name].predict(block.column("text").to_pylist())
             yield from block.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64())).combine_chunks().to_batches()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
