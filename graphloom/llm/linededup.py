@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, save
+from .common import blocks, bounded_batches, discard, save
+from .quality import let
 
 #: Words of a gram; runs of twice as many are found without fail and deleted.
 GRAM = 25
@@ -67,29 +68,6 @@ def select(hashes: list[int], words: list[int], gram: int = GRAM) -> list[tuple[
     return list(chosen.values())
 
 
-def repeated(hashes: np.ndarray, words: np.ndarray, other: np.ndarray, pairs: list[tuple[int, int, int]], least: int, same: bool) -> set[int]:
-    """Lines in runs of ``least`` words or more that extend the matches (line here, line there, lines)."""
-    out: set[int] = set()
-    done: dict[int, int] = {}  # by the distance between the two places: the line up to which it is settled
-    for here, there, n in sorted(pairs):
-        if done.get(here - there, -1) >= here + n:
-            continue
-        if not np.array_equal(hashes[here : here + n], other[there : there + n]):
-            continue  # equal gram hashes of different lines
-        lo, hi = here, here + n
-        shift = there - here
-        while lo > 0 and lo + shift > 0 and hashes[lo - 1] == other[lo - 1 + shift]:
-            lo -= 1
-        while hi < len(hashes) and hi + shift < len(other) and hashes[hi] == other[hi + shift]:
-            hi += 1
-        done[here - there] = hi
-        if same:  # above in the same document: what it is a copy of must not overlap it
-            hi = min(hi, lo - shift)
-        if int(words[lo:hi].sum()) >= least:
-            out.update(range(lo, hi))
-    return out
-
-
 def minimal_runs(hashes: list[int], words: list[int], marks: list[tuple[int, int]], least: int) -> tuple[list[tuple[int, int, int]], list[int]]:
     """Runs (hash, first line, lines) that hold one of ``marks`` (first line, lines), and the lines that an own earlier run repeats.
 
@@ -151,13 +129,14 @@ def deletions(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
     key = "__null boolean, __id long, __text_hash long"
     keyed = document_key(docs.select("doc_id", "text")).filter("text IS NOT NULL").select(*KEY, "text")
-    lines, _ = save(keyed.mapInArrow(hashed, f"{key}, hashes array<long>, words array<int>, marks array<struct<g:long,at:int,n:int>>"), "lines")
+    lines, lines_path = save(keyed.mapInArrow(hashed, f"{key}, hashes array<long>, words array<int>, marks array<struct<g:long,at:int,n:int>>"), "lines")
     marks = lines.select(*KEY, F.inline("marks"))
     # Equal runs share a fingerprint, so only runs that hold one that occurs more than once are asked about.
     often = marks.groupBy("g").agg(F.count("*").alias("times")).filter("times > 1").select("g")
     meeting = marks.join(often.hint("merge"), "g").groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("often"))
     once = lines.select(*KEY, "hashes", "words").join(meeting, KEY).dropDuplicates(KEY)
     runs, _ = save(once.mapInArrow(runs_of, f"{key}, runs array<struct<h:long,at:int,n:int>>, own array<int>"), "runs")
+    discard(spark, lines_path)
     asked = runs.select(*KEY, F.inline("runs"))
     place = F.struct("__null", "__id")
     first = asked.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
@@ -172,9 +151,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     keyed = document_key(docs.drop("deleted_lines"))
     # Deletions grow with the input, so they are never broadcast.
     marked = keyed.join(gone.hint("merge"), KEY, "left")
-    # Both lists are in order of line numbers: a fold that copies the stretches between deleted lines would need no search, but lists of deleted lines are short.
-    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), F.array_contains("lines", k).alias("gone")))
-    rest = F.transform(F.filter(numbered, lambda z: ~z["gone"]), lambda z: z["x"])
+    split = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "lines")
+    rest = let(split, lambda x: F.transform(kept, lambda k: F.element_at(x, k + 1)))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     return marked.withColumn("text", text).withColumn("deleted_lines", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")).select(*docs.drop("deleted_lines").columns, "deleted_lines")
 
