@@ -127,6 +127,21 @@ def best_fit(lengths, capacity):
     return n
 
 
+def test_pack_in_many_parts(spark):
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(2047, rng.lognormal(5.8, 0.9, 3000).astype(int) + 1).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = packing.pack(items, 2048, part=400).join(items, "uid").collect()
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == len(lengths)
+    for parts in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+    assert len(sequences) <= best_fit(sorted(lengths, reverse=True), 2048) * 1.02 + 1
+
+
 @pytest.mark.parametrize("lengths", [[5] * 900, [1] * 50 + [100] * 3, [7, 3, 3, 2, 2, 2, 1] * 40, [100] * 9, [51, 49] * 30])
 def test_pack_ties_and_tiny_items(spark, lengths):
     items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
@@ -197,30 +212,36 @@ def test_quality_keeps_good_labels(spark, docs, sf):
 # 4
 
 
-def plain_dedup(rows, gram):
-    """The same definition, one document after another."""
-    hashed = {(i, t): linededup.line_hashes(t) for i, t in rows if t is not None}
-    order = sorted(hashed, key=lambda k: k[0])
+def plain_dedup(rows, least=50):
+    """The text that is left of each (id, text): lines in any run of ``least`` words that stands earlier go. Runs are compared by their words and first places alone."""
     first = {}
-    marks = {k: linededup.select(*hashed[k], gram) for k in order}
-    for k in order:
-        for g, at, n in sorted(marks[k], key=lambda m: m[1]):
-            h = hashed[k][0]
-            for key in ((g, 0, 0), (g, 1, h[at - 1] if at else 0), (g, 2, h[at + n] if at + n < len(h) else 0)):
-                first.setdefault(key, (k, at))
+    spans = {}
+    split = [(i, t, t.split("\n")) for i, t in rows if t is not None]
+    for i, t, x in sorted(split, key=lambda r: r[0]):
+        words = [len(v.encode().split()) for v in x]
+        found = set()
+        for a in range(len(x)):  # from a line on, and up to a line, the fewest lines that reach the words
+            total, e = 0, a
+            while e < len(x) and total < least:
+                total, e = total + words[e], e + 1
+            if total >= least:
+                found.add((a, e))
+            total, b = 0, a + 1
+            while b > 0 and total < least:
+                b, total = b - 1, total + words[b - 1]
+            if total >= least:
+                found.add((b, a + 1))
+        spans[i, t] = found
+        for a, e in sorted(found):
+            first.setdefault("\n".join(x[a:e]), (i, a))
     out = {}
-    for k in order:
-        pairs = defaultdict(set)
-        for g, at, n in marks[k]:
-            h = hashed[k][0]
-            for key in ((g, 0, 0), (g, 1, h[at - 1] if at else 0), (g, 2, h[at + n] if at + n < len(h) else 0)):
-                src, there = first[key]
-                if src[0] < k[0] or (src == k and there < at):
-                    pairs[src].add((at, there, n))
-        gone = set()
-        for src, p in pairs.items():
-            gone |= linededup.repeated(np.array(hashed[k][0]), np.array(hashed[k][1]), np.array(hashed[src][0]), list(p), 2 * gram, src == k)
-        out[k] = "\n".join(x for j, x in enumerate(k[1].split("\n")) if j not in gone)
+    for i, t, x in split:
+        own, gone = {}, set()
+        for a, e in sorted(spans[i, t]):
+            run = "\n".join(x[a:e])
+            if first[run][0] < i or own.setdefault(run, a) + e - a <= a:
+                gone.update(range(a, e))
+        out[i, t] = "\n".join(v for j, v in enumerate(x) if j not in gone)
     return out
 
 
@@ -228,7 +249,7 @@ def plain_dedup(rows, gram):
 def test_line_dedup(which, request):
     df = request.getfixturevalue(which)
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-    want = plain_dedup(rows, linededup.GRAM)
+    want = plain_dedup(rows)
     got = linededup.dedup_lines(df)
     assert set(got.columns) == {*df.columns, "deleted_lines"}
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((i, None if t is None else want[i, t]) for i, t in rows)
@@ -335,6 +356,12 @@ def test_simhash(which, request):
     assert Counter(map(tuple, got)) == Counter((i, f"{c:016x}", g) for (i, _), c, g in zip(rows, codes, groups))
 
 
+def test_simhash_keeps_null_ids(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (3, "f g h i j k"), (None, "f g h i j k")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.op5_simhash(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(None, None): 2, (3, 3): 1, (None, 3): 1})
+
+
 @pytest.mark.parametrize("group", [10, 8192])
 def test_simhash_index_against_all_pairs(spark, group):
     rng = np.random.default_rng(5)
@@ -428,8 +455,8 @@ def test_similar_documents_in_large_buckets_against_all_pairs(spark):
         copy[start : start + n] = [f"x{k}_{j}" for j in range(n)]
         rows.append((k, " ".join(copy)))
     want = plain_components([i for i, _ in rows], [t for _, t in rows], lambda a, b: plain_jaccard(a, b) >= 0.8)
-    for close in (2, 8, 1000):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), close).collect()}
+    for pivots in (2, 4):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), pivots).collect()}
         assert [got[k] for k in range(90)] == want
 
 
@@ -466,6 +493,13 @@ def test_chat_tree_takes_best_branch(spark):
     assert chat.format_paths(tree.limit(0), chat.chosen_paths(tree.limit(0))).count() == 0
 
 
+def test_chat_tree_cuts_cycles(spark):
+    rows = [(1, 1, 3, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0), (1, 4, 2, 1.0), (1, 5, 4, 1.0), (2, 7, 7, 1.0), (3, 1, None, 1.0)]
+    tree = spark.createDataFrame([(c, n, p, "user", f"{c}.{n}", s) for c, n, p, s in rows], "conv_id long, node long, parent long, role string, text string, score double")
+    got = {r["conv_id"]: [t["text"] for t in r["t"]] for r in chat.format_paths(tree, chat.chosen_paths(tree)).select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: ["1.1", "1.2", "1.4", "1.5"], 2: ["2.7"], 3: ["3.1"]}
+
+
 # 7
 
 
@@ -498,12 +532,43 @@ def test_secret_model_and_redaction(spark, odd):
     red = {r["doc_id"]: r["text"] for r in secrets.redact(odd).collect()}
     assert red[1] is None and red[2] == "" and red[11] == "é😀 [SECRET]' [SECRET] getUserNameFromTableIndex2020"
     assert secrets.redact(odd).columns == odd.columns
-    held = secrets.default_samples(spark, 9000).filter(F.length("text") >= 20)
-    table_ = secrets.train(secrets.default_samples(spark, 6000))
-    weights = F.array(*map(F.lit, table_))
-    scored = held.withColumn("hit", secrets.ratio(F.col("text"), weights) > secrets.THRESHOLD)
-    assert scored.filter("secret").agg(F.avg(F.col("hit").cast("double"))).first()[0] > 0.9
-    assert scored.filter("NOT secret").agg(F.avg(F.col("hit").cast("double"))).first()[0] < 0.02
+
+
+def test_secret_model_on_held_out_strings(spark, docs):
+    """Precision and recall on documents and generated strings that the model has not learned from."""
+    learned = docs.filter("doc_id % 2 = 0")
+    weights = F.array(*map(F.lit, secrets.fitted(learned)))
+    made = secrets.default_samples(spark, 9000).filter(F.length("text") >= 20).exceptAll(secrets.default_samples(spark, 6000))
+    held = secrets.found_samples(docs.filter("doc_id % 2 = 1"), 10**6).filter((F.length("text") >= 20) & F.col("text").rlike("^[A-Za-z0-9+/_=-]+$"))
+    for strings in (made, held):
+        scored = strings.withColumn("hit", secrets.ratio(F.col("text"), weights) > secrets.THRESHOLD)
+        got = {(r["secret"], r["hit"]): r["n"] for r in scored.groupBy("secret", "hit").agg(F.count("*").alias("n")).collect()}
+        found, missed, wrong = (got.get(k, 0) for k in ((True, True), (True, False), (False, True)))
+        # The smallest table may hold no such secret.
+        assert (found or strings is held) and found >= 0.95 * (found + missed) and wrong <= 0.05 * max(found, 1)
+
+
+def plain_ratio(token, weights):
+    at = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    return sum(weights[at[a] * len(at) + at[b]] for a, b in zip(token, token[1:])) / (len(token) - 1)
+
+
+def test_added_spans_against_plain(spark, docs):
+    extra = spark.createDataFrame([(900001, "x zZ9k3QpX7vLm2Rt8Wq1Yb6Nc0 y\n" * 700 + "token: abcdefghijklmnop " * 300), (900002, "id_of_the_first_customer_account_2024 aGVsbG8gd29ybGQgMTIzNDU2Nzg5MA==")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(extra)
+    weights = secrets.fitted(docs)
+    token = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+    want = {}
+    for i, text in texts(both):
+        text = text.replace("\u017f", "?")
+        base = plain_spans(text)
+        added = [(m.start(), 3, m.end()) for m in token.finditer(text) if plain_ratio(m[0], weights) > secrets.THRESHOLD]
+        every = sorted(base + [s for s in added if not any(a < s[2] and s[0] < b for a, _, b in base)])
+        want[i, text] = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in every)
+    found = secrets.scan(both, weights).select("doc_id", "text", secrets.written(F.array_sort(F.concat("base_spans", "added_spans"))).alias("spans"))
+    assert {(r["doc_id"], (r["text"] or "").replace("\u017f", "?")): r["spans"] for r in found.collect()} == want
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(extra, table=weights).collect()}
+    assert red[900001] == "x [SECRET] y\n" * 700 + "[SECRET] " * 300
 
 
 # 8
@@ -531,6 +596,38 @@ def test_neighbours_recall(spark, sf):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_neighbours_recall_where_cells_are_skipped(spark, n):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in ann.nearest(frame, F.col("vec_id") % 60 == 0, block=1000).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    exact = v.astype(float)
+    hits = 0
+    for q, found in got.items():
+        scores = exact @ exact[q]
+        scores[q] = -9
+        hits += len({x for x, _ in found.values()} & set(np.argsort(-scores)[:20].tolist()))
+        assert sorted(found) == list(range(1, 21)) and all(s == pytest.approx(scores[x], abs=1e-12) for x, s in found.values())
+        assert [s for _, (_, s) in sorted(found.items())] == sorted((s for _, s in found.values()), reverse=True)
+    assert len(got) == len(range(0, n, 60)) and 0.9 * 20 * len(got) <= hits < 20 * len(got)
+
+
+def test_neighbours_index_skips_cells():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(4000, 16))
+    index = ann.MultiIndex(v, 20)
+    a, b = index.cells(v)
+    np.add.at(index.counts, (a, b), 1)
+    for q in v[:50]:
+        least = index.route(q, 800)
+        taken = index.dots(q[None], 1)[0][b] >= least[a]
+        assert 800 <= taken.sum() <= 2000
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [2.0, None]), (6, [0.5, 0.5]), (20, [1.0, 0.0]), (7, []), (8, [3.0]), (40, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
@@ -561,6 +658,42 @@ def test_language_odd(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_language_against_plain_model():
+    rows = [("de", "und", 7), ("de", "das", 3), ("en", "and", 9), ("en", "das", 1), ("fr", "et", 4), ("fr", "\u00eatre", 2)]
+    names, whole = ["de", "en", "fr"], [Counter() for _ in range(5)]
+    for language, word, n in rows:
+        whole[0][language, word] += n
+        for k in range(1, 5):
+            for g in langid.grams(word, k):
+                whole[k][language, g] += n
+
+    def log(k, language, x):
+        known = {g for _, g in whole[k]}
+        total = sum(whole[k][language, g] + 0.5 for g in known)
+        return np.log((whole[k][language, x] + 0.5) / total)
+
+    def score(word, language):
+        if any(whole[0][m, word] for m in names):
+            return log(0, language, word)
+        for k in range(4, 0, -1):
+            known = [g for g in langid.grams(word, k) if any(whole[k][m, g] for m in names)]
+            if known:
+                return np.mean([log(k, language, g) for g in known])
+        return 0.0
+
+    texts_ = ["das und das", "and bandet", "\u00eatres et", "xyzzy und", "123", None, "q", "und " * 500 + "et"]
+    predictor = langid.Predictor(langid.LanguageModel(rows))
+    got = list(zip(*predictor.predict(texts_)))
+    for text, (name, value) in zip(texts_, got):
+        words = langid.words_of(text)
+        if not words:
+            assert (name, value) == ("und", 0.0)
+            continue
+        totals = np.array([sum(score(w, m) for w in words) for m in names])
+        assert name == names[int(np.argmax(totals))]
+        assert value == pytest.approx(1 / np.exp(np.maximum(totals - totals.max(), -700)).sum(), abs=1e-9)
+
+
 # 10
 
 

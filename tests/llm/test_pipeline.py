@@ -28,7 +28,7 @@ def test_stages_keep_columns(spark, sf, odd):
 def test_lines_stage_against_plain(spark, sf):
     docs = table(spark, sf, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    want = Counter((i, t) for (i, _), t in plain_dedup(rows, 25).items() if t.strip())
+    want = Counter((i, t) for (i, _), t in plain_dedup(rows).items() if t.strip())
     assert Counter(map(tuple, cp.drop_repeated_lines(spark, docs, sf).select("doc_id", "text").collect())) == want
 
 
