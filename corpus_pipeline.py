@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, linededup, packing, secrets, simhash
-from graphloom.llm.common import save, table
+from graphloom.llm.common import discard, release, save, scratch_mark, table
 from graphloom.llm.tokens import vocabulary_path
 
 #: Posterior below which a prediction counts as no language.
@@ -20,20 +20,20 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model knows; ``lang`` stays as it was."""
+    """Keep documents in a language that the model knows; ``lang`` stays as it was. Texts without a letter, null and empty ones go; an empty table stays empty."""
     found = langid.predict(docs, langid.fit(docs))
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeated runs of lines; documents of which nothing with a word is left go."""
+    """Delete later repeated runs of lines; documents of which nothing with a word is left go. Null texts, and empty ones that were so before, stay."""
     cleaned = linededup.dedup_lines(docs)
     gone = (F.col("deleted_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cleaned.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar ones stays: the one with the smallest id (null ids last, of equal ids one row)."""
+    """One row of each group of similar ones stays: the one with the smallest id (null ids last, of equal ids one row). Null and empty texts are one group."""
     rows, _ = save(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
     found = simhash.similar_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text"))
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
@@ -41,13 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mark; every document stays."""
+    """Replace secrets by a mark; every document stays, null texts as they are."""
     cleaned = secrets.redact(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 2048 tokens."""
+    """Token pieces with their places in sequences of 2048 tokens; null and empty texts are a piece of the end id. An empty table gives no pieces."""
     return packing.op2_packed(docs, vocabulary_path("word_bpe_49k.json"))
 
 
@@ -64,7 +64,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has written besides its result goes once the result is stored."""
+    docs, kept = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark = scratch_mark()
+        docs, path = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep=(path,))
+        if kept is not None:
+            discard(spark, kept)
+        kept = path
     return STAGES[-1][1](spark, docs, sf_dir)
