@@ -1,42 +1,54 @@
-"""Connected components of an undirected edge list, by alternating star contractions."""
+"""Connected components of an undirected edge list, by alternating star contractions; and tables written between the steps of loops."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
 def _scratch(df: DataFrame) -> str:
+    """A new path in the folder all executors share. Where ``spark.checkpoint.dir`` is unset, local sessions get a temporary one; a cluster must name it."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graphloom-"))
         folder = spark.sparkContext.getCheckpointDir()
-    return f"{folder.rstrip('/')}/graphloom/components-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graphloom/step-{uuid.uuid4().hex}"
 
 
 def _store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = _scratch(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _remove(df: DataFrame, path: str) -> None:
+def _store_with(df: DataFrame, *measures) -> tuple[DataFrame, str, dict]:
+    """``_store``, and aggregates of the rows that come from the same job."""
+    seen = Observation()
+    path = _scratch(df)
+    df.observe(seen, *measures).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path, seen.get
+
+
+def _remove(df: DataFrame, *paths: str) -> None:
     jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the smallest of the node and its neighbours."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # `least` has one row a node, so the rows of a root that very many point at can be split among tasks.
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -55,17 +67,16 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     endpoints are ignored; a self-loop makes its node known.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    pairs, base = _store(pairs)
-    now, path = _store(_small_star(pairs))
-    signature = None
+    pairs, _ = _store(pairs)
+    signature = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("x"), F.sum(F.xxhash64("b", "a") % 999983).alias("y"))
+    now, path, before = _store_with(_small_star(pairs), *signature)
     for _ in range(max_rounds):
-        new, new_path = _store(_small_star(_large_star(now)))
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.xxhash64("b", "a") % 999983)).first()
+        new, new_path, seen = _store_with(_small_star(_large_star(now)), *signature)
         _remove(new, path)
         now, path = new, new_path
-        if tuple(seen) == signature:
+        if seen == before:
             break
-        signature = tuple(seen)
+        before = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = pairs.select("a").union(pairs.select("b")).distinct()

@@ -14,20 +14,19 @@ def normalised(name: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    """Lower-case parts of a camel, snake, kebab, dotted or path name of two characters or more, a file ending left off."""
-    parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), r"[_\-./\\:\s]+")
-    camel = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"([A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z]|$))"), F.lit(1))))
-    return F.filter(F.transform(camel, F.lower), lambda t: F.length(t) >= 2)
+    """Lower-case words of a name, a file ending left off. Words end at anything but an ASCII letter or digit, before a capital that follows a small letter
+    or digit, and before the last capital of a run of capitals that small letters follow; words of one character are dropped."""
+    ends = "|".join(("[^A-Za-z0-9]+", "(?<=[a-z0-9])(?=[A-Z])", "(?<=[A-Z])(?=[A-Z][a-z0-9])"))
+    return F.filter(F.transform(F.split(F.regexp_replace(name, "[.][^.]*$", ""), ends), F.lower), lambda t: F.length(t) > 1)
 
 
 def name_variants(name: Column) -> Column:
-    """The name in lower case and its tokens in snake, camel, Pascal, kebab, spaced and joined form; names of one character have none."""
-    t = name_tokens(name)
-    pascal = F.array_join(F.transform(t, F.initcap), "")
-    camel = F.when(F.size(t) > 1, F.concat(F.element_at(t, 1), F.array_join(F.transform(F.slice(t, 2, 1000), F.initcap), "")))
-    forms = F.array(F.array_join(t, "_"), camel, pascal, F.array_join(t, "-"), F.array_join(t, " "), F.array_join(t, ""))
-    every = F.array_union(F.array(F.lower(name)), F.when(F.size(t) > 0, forms).otherwise(F.array().cast("array<string>")))
-    return F.when(F.length(name) >= 2, F.array_compact(every)).otherwise(F.array().cast("array<string>"))
+    """The ways to write a name: as it is in lower case, its words joined by each of a few signs, and joined with capitals. Names of one character have none."""
+    words = name_tokens(name)
+    capitals = F.array_join(F.transform(words, F.initcap), "")
+    written = [F.array_join(words, sign) for sign in ("_", "-", " ", "")] + [capitals, F.when(F.size(words) > 1, F.concat(F.lower(F.substring(capitals, 1, 1)), F.substring(capitals, 2, 1 << 20)))]
+    ways = F.when(F.size(words) > 0, F.array_compact(F.array(*written))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(name) > 1, F.array_union(F.array(F.lower(name)), ways)).otherwise(F.array().cast("array<string>"))
 
 
 def exact_bridge(left: DataFrame, right: DataFrame, key: Column, confidence: float = 0.9) -> DataFrame:

@@ -55,29 +55,46 @@ def projects(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("project").agg(F.count("*").alias("n"), F.countDistinct("entity_type").alias("types"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, though ``use`` refers to it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(column: Column) -> Column:
     """Distinct lower-case letter-or-digit runs."""
     return F.array_distinct(F.array_remove(F.split(F.lower(column), "[^a-z0-9]+"), ""))
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(left_id, right_id, score) with token Jaccard of ``least`` or more. Inputs: id, text.
+def token_classes(rows: DataFrame) -> DataFrame:
+    """(class_id, set, size, members): distinct token sets, named by the smallest id that has them. Inputs: id, text; rows without a token are left out."""
+    sets = rows.select("id", F.array_sort(tokens(F.col("text"))).alias("set")).filter(F.size("set") > 0)
+    return sets.groupBy("set").agg(F.min("id").alias("class_id"), F.count("*").alias("members")).select("class_id", "set", F.size("set").alias("size"), "members")
+
+
+def class_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_id, id): which class each row is in, the one that names it too."""
+    return rows.select("id", F.array_sort(tokens(F.col("text"))).alias("set")).join(classes.select("class_id", "set"), "set").select("class_id", "id")
+
+
+def class_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_id, right_id, score, links) of classes with token Jaccard of ``least`` or more; ``links``: pairs of members. Inputs: what ``token_classes`` gives.
 
-    Prefix filter: with tokens ordered from rare to frequent, a pair that reaches the threshold shares a token in the first
-    ``n - ceil(least * n) + 1`` of each side, so frequent tokens make no candidates by themselves.
+    Equal texts are one class, so copies cost nothing and the result doesn't grow with the square of their number. Prefix filter: with tokens
+    ordered from rare to frequent, a pair that reaches the threshold shares a token in the first ``n - ceil(least * n) + 1`` of each side,
+    so frequent tokens make no candidates by themselves.
     """
-    both = left.select(F.lit(0).alias("side"), "id", "text").unionByName(right.select(F.lit(1).alias("side"), "id", "text"))
-    sets = both.select("side", "id", tokens(F.col("text")).alias("set")).filter(F.size("set") > 0)
-    words = sets.select("side", "id", F.size("set").alias("n"), F.explode("set").alias("token"))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
+    words = both.select("side", "class_id", "size", F.explode("set").alias("token"))
     often = words.groupBy("token").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("side", "id").orderBy("times", "token"))
-    prefix = words.join(often, "token").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    a = prefix.filter("side = 0").select("token", F.col("id").alias("left_id"), F.col("n").alias("ln"))
-    b = prefix.filter("side = 1").select("token", F.col("id").alias("right_id"), F.col("n").alias("rn"))
+    place = F.row_number().over(Window.partitionBy("side", "class_id").orderBy("times", "token"))
+    prefix = words.join(often, "token").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1)
+    a = prefix.filter("side = 0").select("token", F.col("class_id").alias("left_id"), F.col("size").alias("ln"))
+    b = prefix.filter("side = 1").select("token", F.col("class_id").alias("right_id"), F.col("size").alias("rn"))
     near = a.join(b, "token").filter((F.col("ln") >= least * F.col("rn")) & (F.col("rn") >= least * F.col("ln"))).select("left_id", "right_id").distinct()
-    full = near.join(sets.filter("side = 0").select(F.col("id").alias("left_id"), F.col("set").alias("x")), "left_id").join(sets.filter("side = 1").select(F.col("id").alias("right_id"), F.col("set").alias("y")), "right_id")
-    score = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return full.select("left_id", "right_id", F.round(score, 4).alias("score")).filter(F.col("score") >= least)
+    full = near.join(left.select(F.col("class_id").alias("left_id"), F.col("set").alias("x"), F.col("members").alias("nx")), "left_id").join(right.select(F.col("class_id").alias("right_id"), F.col("set").alias("y"), F.col("members").alias("ny")), "right_id")
+    shared = F.size(F.array_intersect("x", "y"))
+    score = shared / (F.size("x") + F.size("y") - shared)
+    return full.select("left_id", "right_id", F.round(score, 4).alias("score"), (F.col("nx") * F.col("ny")).alias("links")).filter(F.col("score") >= least)
 
 
 def calibration(pairs: DataFrame, bins: int = 10) -> DataFrame:
@@ -160,16 +177,25 @@ def merge_maps(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def bag_f1(pairs: DataFrame, predicted: str, gold: str, key: str) -> DataFrame:
-    """Token-bag F1 and exact match after lower-casing and dropping punctuation and articles."""
+    """Token-bag F1 and exact match after lower-casing and dropping punctuation and articles. ``key`` is unique."""
 
     def bag(c: str) -> Column:
         clean = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", ""), r"\b(a|an|the)\b", " ")
         return F.array_remove(F.split(F.trim(clean), r"\s+"), "")
 
     both = pairs.select(key, bag(predicted).alias("p"), bag(gold).alias("g"))
-    common = F.aggregate(F.array_distinct("p"), F.lit(0), lambda n, w: n + F.least(F.size(F.filter("p", lambda x: x == w)), F.size(F.filter("g", lambda x: x == w))))
-    f1 = F.when(F.size("p") + F.size("g") == 0, F.lit(1.0)).otherwise(F.round(2.0 * common / (F.size("p") + F.size("g")), 6))
-    return both.select(key, f1.alias("f1"), (F.col("p") == F.col("g")).cast("int").alias("em"))
+    words = both.select(key, F.explode(F.array(F.struct(F.col("p").alias("words"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("g").alias("words"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("s"))
+    counted = words.select(key, F.explode("s.words").alias("w"), "s.a", "s.b").groupBy(key, "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    common = counted.groupBy(key).agg(F.sum(F.least("a", "b")).alias("common"))
+    f1 = F.when(F.size("p") + F.size("g") == 0, F.lit(1.0)).otherwise(F.round(2.0 * F.coalesce("common", F.lit(0)) / (F.size("p") + F.size("g")), 6))
+    return both.join(common, key, "left").select(key, f1.alias("f1"), (F.col("p") == F.col("g")).cast("int").alias("em"))
+
+
+def keyword_recall(answers: DataFrame, text: str, keywords: str, key: str) -> DataFrame:
+    """Share of the expected keywords (an array) that occur in the text, whatever the case; no keywords give 1."""
+    wanted = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), F.lower)
+    found = F.filter(wanted, lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))
+    return answers.select(key, F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(F.round(F.size(found) / F.size(wanted), 6)).alias("recall"))
 
 
 def window_metrics(records: DataFrame, group: Column, value: str) -> DataFrame:

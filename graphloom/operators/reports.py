@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def module_risk(modules: DataFrame) -> DataFrame:
-    """Adds risk_score (3 places) and risk_level, which the score before rounding decides. Inputs: consumers, functions, dependencies, edges."""
+def module_risk(modules: DataFrame, weights: dict[str, tuple[float, float]], levels: list[tuple[float, str]], lowest: str) -> DataFrame:
+    """Adds risk_score (3 places) and risk_level, which the score before rounding decides.
 
-    def part(weight: float, column: str, full: float) -> Column:
-        return F.lit(weight) * F.least(F.col(column) / F.lit(full), F.lit(1.0))
-
-    score = F.least(F.lit(1.0), part(0.4, "consumers", 15.0) + part(0.3, "functions", 40.0) + part(0.2, "dependencies", 10.0) + part(0.1, "edges", 50.0))
-    level = F.when(F.col("_s") >= 0.7, "CRITICAL").when(F.col("_s") >= 0.5, "HIGH").when(F.col("_s") >= 0.3, "MEDIUM").otherwise("LOW")
-    return modules.withColumn("_s", score).withColumn("risk_level", level).withColumn("risk_score", F.round("_s", 3)).drop("_s")
+    ``weights``: for each column its weight and the value from which it counts in full; ``levels``: least score and name, highest first. Neither has a
+    default: they are the user's to choose.
+    """
+    parts = [F.lit(weight) * F.least(F.col(column) / F.lit(full), F.lit(1.0)) for column, (weight, full) in weights.items()]
+    level = F.lit(lowest)
+    for least, name in reversed(levels):
+        level = F.when(F.col("_s") >= least, name).otherwise(level)
+    return modules.withColumn("_s", F.least(F.lit(1.0), sum(parts[1:], parts[0]))).withColumn("risk_level", level).withColumn("risk_score", F.round("_s", 3)).drop("_s")
 
 
 def coverage(records: DataFrame, chunk_ok: Column, edge_ok: Column) -> DataFrame:
@@ -46,7 +48,7 @@ def saved_tokens(records: DataFrame, group: str, returned: str, without: int = 2
     return records.groupBy(group).agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(F.lit(float(without)) - F.col(returned), F.lit(0.0))), 2).alias("saved"))
 
 
-def drift(records: DataFrame, group: str, value: str, mean: float, deviation: float, alert: float = 2.0) -> DataFrame:
+def drift(records: DataFrame, group: str, value: str, mean: float, deviation: float, alert: float) -> DataFrame:
     """Mean and sample deviation (0 for one record), drift from a baseline in its deviations (null without one) and whether it alerts."""
     stats = records.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
     far = (F.col("m") - mean) / F.when(F.lit(deviation) > 0, F.lit(deviation))

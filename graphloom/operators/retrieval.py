@@ -81,20 +81,22 @@ def hits_of(text: Column, patterns: list[str]) -> Column:
     return sum((F.coalesce(text.rlike(f"(?iU){p}").cast("int"), F.lit(0)) for p in patterns), F.lit(0))
 
 
-def complexity(queries: DataFrame, text: str, entities: list[str], joins: list[str], hops: list[str], low: int = 5, high: int = 30) -> DataFrame:
-    """Four scores from 0 to 1, their weighted sum, a tier, and how many nodes that tier may use."""
+def complexity(queries: DataFrame, text: str, patterns: dict[str, tuple[list[str], float]], weights: dict[str, float], tiers: list[tuple[float, str, int]], low: int, high: int) -> DataFrame:
+    """Scores from 0 to 1, their weighted sum ``composite``, a tier, and how many nodes that tier may use.
+
+    ``token_score`` grows from ``low`` to ``high`` words; each entry of ``patterns`` is a score: how many of them occur, by the number that counts in full.
+    ``tiers``: upper bound of the composite, name and nodes, lowest first; the last one has no bound. Weights and tiers are the user's to choose.
+    """
     words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
-    parts = {
-        "token_score": F.greatest(F.lit(0.0), (F.coalesce(words, F.lit(0)) - low) / F.lit(float(max(1, high - low)))),
-        "entity_score": hits_of(F.col(text), entities) / 3.0,
-        "conjunction_score": hits_of(F.col(text), joins) / 2.0,
-        "depth_score": hits_of(F.col(text), hops) / 1.5,
-    }
+    parts = {"token_score": F.greatest(F.lit(0.0), (F.coalesce(words, F.lit(0)) - low) / F.lit(float(max(1, high - low))))}
+    parts |= {name: hits_of(F.col(text), found) / F.lit(full) for name, (found, full) in patterns.items()}
     scored = queries.withColumns({name: F.round(F.least(F.lit(1.0), c), 3) for name, c in parts.items()})
-    total = scored.withColumn("composite", 0.15 * F.col("token_score") + 0.30 * F.col("entity_score") + 0.20 * F.col("conjunction_score") + 0.35 * F.col("depth_score"))
-    tier = F.when(F.col("composite") < 0.15, "simple").when(F.col("composite") < 0.35, "moderate").when(F.col("composite") < 0.55, "complex").otherwise("expert")
-    most = F.when(F.col("tier") == "simple", 4).when(F.col("tier") == "moderate", 8).when(F.col("tier") == "complex", 12).otherwise(16)
-    return total.withColumn("tier", tier).withColumn("max_nodes", most)
+    terms = [F.lit(w) * F.col(name) for name, w in weights.items()]
+    chosen = F.struct(F.lit(tiers[-1][1]).alias("tier"), F.lit(tiers[-1][2]).alias("nodes"))
+    for bound, name, nodes in reversed(tiers[:-1]):
+        chosen = F.when(F.col("composite") < bound, F.struct(F.lit(name).alias("tier"), F.lit(nodes).alias("nodes"))).otherwise(chosen)
+    total = scored.withColumn("composite", sum(terms[1:], terms[0])).withColumn("_tier", chosen)
+    return total.withColumns({"tier": F.col("_tier.tier"), "max_nodes": F.col("_tier.nodes")}).drop("_tier")
 
 
 def look_alike(name: Column, known: list[str]) -> Column:
@@ -113,6 +115,13 @@ def look_alike(name: Column, known: list[str]) -> Column:
     return F.when((F.length(short) > 0) & ~short.isin(known), F.get(F.filter(candidates, imitates), F.lit(0)))
 
 
+#: Fixed values, which decide the health score: what a finding of each kind and severity takes away, and the most that all of its kind do. Anomalies
+#: and flips weigh less in larger graphs: their penalty is divided by the nodes over this number, where that is more than one; echoes weigh more in graphs of at most five nodes.
+PENALTIES = {"c_high": (0.08, 0.32), "c_medium": (0.03, 0.15), "c_low": (0.01, 0.05), "a_critical": (0.10, 0.20), "a_high": (0.03, 0.10), "echo": (0.05, 0.15), "flip": (0.01, 0.05)}
+SHARED_BY = {"a_high": 5.0, "flip": 3.0}
+SMALL_GRAPH, SMALL_ECHO = 5, 0.10
+
+
 def health(findings: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     """One less capped penalties of each key. ``findings``: key, kind (conflict, anomaly, echo, flip), severity; ``sizes``: key, nodes. Keys without findings score one."""
 
@@ -125,24 +134,26 @@ def health(findings: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     rows = sizes.join(counted, key, "left").fillna(0, list(kinds))
     n = F.greatest(F.col("nodes"), F.lit(1))
 
-    def penalty(name: str, each: Column, most: float) -> Column:
-        return F.least(F.col(name) * each, F.lit(most))
+    def penalty(name: str) -> Column:
+        each, most = PENALTIES[name]
+        worth = F.lit(each)
+        if name in SHARED_BY:
+            worth = worth / F.greatest(F.lit(1.0), n / SHARED_BY[name])
+        if name == "echo":
+            worth = F.when(n <= SMALL_GRAPH, SMALL_ECHO).otherwise(worth)
+        return F.least(F.col(name) * worth, F.lit(most))
 
-    total = (
-        penalty("c_high", F.lit(0.08), 0.32) + penalty("c_medium", F.lit(0.03), 0.15) + penalty("c_low", F.lit(0.01), 0.05)
-        + penalty("a_critical", F.lit(0.10), 0.20) + penalty("a_high", 0.03 / F.greatest(F.lit(1.0), n / 5.0), 0.10)
-        + penalty("echo", F.when(n <= 5, 0.10).otherwise(0.05), 0.15) + penalty("flip", 0.01 / F.greatest(F.lit(1.0), n / 3.0), 0.05)
-    )
+    total = sum((penalty(name) for name in kinds), F.lit(0.0))
     return rows.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - total)).alias("health"))
 
 
-def influencers(messages: DataFrame, edges: DataFrame) -> DataFrame:
-    """How much each node moved its neighbours: twice their change of confidence (one at most), summed over the rounds after one in which it spoke.
+def influencers(messages: DataFrame, edges: DataFrame, scale: float, most: float) -> DataFrame:
+    """How much each node moved its neighbours: their change of confidence times ``scale`` (``most`` at most), summed over the rounds after one in which it spoke.
 
     ``messages``: node, round, confidence, one a node and round; ``edges``: src, dst, where dst hears src.
     """
     before = messages.select("node", (F.col("round") + 1).alias("round"), F.col("confidence").alias("earlier"))
-    moved = messages.join(before, ["node", "round"]).select(F.col("node").alias("dst"), "round", F.least(F.abs(F.col("confidence") - F.col("earlier")) * 2, F.lit(1.0)).alias("strength"))
+    moved = messages.join(before, ["node", "round"]).select(F.col("node").alias("dst"), "round", F.least(F.abs(F.col("confidence") - F.col("earlier")) * scale, F.lit(most)).alias("strength"))
     spoke = before.select(F.col("node").alias("src"), "round")
     return moved.join(edges.select("src", "dst").distinct(), "dst").join(spoke, ["src", "round"]).groupBy(F.col("src").alias("node")).agg(F.sum("strength").alias("influence"))
 
@@ -201,7 +212,7 @@ def smoothed(records: DataFrame, key: str, order: list[str], value: str, alpha:
     return place.groupBy(key).agg(F.sum(weight * F.col(value)).alias("average"), F.count("*").alias("n"))
 
 
-def ambiguous(messages: DataFrame, key: str, node: str, confidence: str, near: float = 0.10, least: float = 0.50, most: int = 5) -> DataFrame:
+def ambiguous(messages: DataFrame, key: str, node: str, confidence: str, near: float, least: float, most: int) -> DataFrame:
     """The best options of each key whose two best are close and both good enough; no rows for others."""
     spec = Window.partitionBy(key)
     top = messages.withColumn("option", F.row_number().over(spec.orderBy(F.desc(confidence), node))).filter(F.col("option") <= most)
@@ -328,6 +339,10 @@ def rotate(vectors: DataFrame, column: str, by: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def turned(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else by @ np.asarray(v, float))
+        known = values.notna()
+        out = pd.Series([None] * len(values), index=values.index, dtype=object)
+        if known.any():
+            out[known] = list(np.stack(values[known].tolist()) @ by.T)
+        return out
 
     return vectors.withColumn(column, turned(column))

@@ -1,15 +1,17 @@
 """Traversal: neighbours, rings, directed impact, paths, neighbourhoods, levels and link prediction.
 
-Frontier loops join the edges with the newest ring alone and subtract what has been seen, so each hop costs one
-shuffle of the edges; rings are written to the shared folder, which cuts lineage and survives lost executors.
+Frontier loops join the edges with the newest ring alone and subtract what has been seen; the edges are read and made distinct once,
+before the first hop. Rings are written to the shared folder, which cuts lineage and survives lost executors, and each hop's size comes from the job that writes it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import _store
+from .components import _remove, _store, _store_with
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -29,18 +31,28 @@ def edges_between(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.filter((F.least("src", "dst") == min(a, b)) & (F.greatest("src", "dst") == max(a, b)))
 
 
-def rings(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(id, depth) of all nodes within ``max_depth`` hops along src to dst, by least depth; starts have depth 0."""
-    steps = edges.select("src", "dst").distinct()
-    seen, _ = _store(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+def rows_written():
+    """How many rows a table has, measured while it is written."""
+    return F.count(F.lit(1)).alias("n")
+
+
+def rings(edges: DataFrame, starts: DataFrame, max_depth: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, depth) of all nodes within ``max_depth`` hops along src to dst, by least depth; starts have depth 0.
+
+    ``by``: columns of ``edges`` and ``starts`` whose values are walked apart from each other, in the same hops.
+    """
+    steps, steps_path = _store(edges.select(*by, "src", "dst").distinct())
+    seen, _, found = _store_with(starts.select(*by, "id").distinct().withColumn("depth", F.lit(0)), rows_written())
+    parts, frontier = [seen], seen
     for depth in range(1, max_depth + 1):
-        near = frontier.select(F.col("id").alias("src")).join(steps, "src").select(F.col("dst").alias("id")).distinct()
-        frontier, _ = _store(near.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        if not found["n"]:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        near = frontier.select(*by, F.col("id").alias("src")).join(steps, [*by, "src"]).select(*by, F.col("dst").alias("id")).distinct()
+        # What is one hop from the newest ring was seen in this ring, the one before it, or - along one-way edges - any earlier one.
+        frontier, _, found = _store_with(near.join(reduce(DataFrame.unionByName, parts), [*by, "id"], "left_anti").withColumn("depth", F.lit(depth)), rows_written())
+        parts.append(frontier)
+    _remove(edges, steps_path)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def blast_radius(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
@@ -48,11 +60,25 @@ def blast_radius(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFra
     return rings(symmetric(edges), starts, max_depth)
 
 
-def impact(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes reached by outgoing and by incoming paths - never mixed - with the least depth of each direction; starts are left out."""
-    down = rings(edges, starts, max_depth).withColumn("direction", F.lit("out"))
-    up = rings(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}), starts, max_depth).withColumn("direction", F.lit("in"))
-    return down.unionByName(up).filter("depth > 0")
+def impact(edges: DataFrame, starts: DataFrame, max_depth: int, limit: int | None = None) -> DataFrame:
+    """Nodes reached by outgoing and by incoming paths - never mixed - with the least depth of each direction; starts are left out.
+
+    ``limit``: so many nodes of each direction, the nearest first (by depth, then id).
+    """
+    there = edges.select("src", "dst").withColumn("direction", F.lit("out"))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("direction", F.lit("in"))
+    both = starts.select("id", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("direction"))
+    found = rings(there.unionByName(back), both, max_depth, ("direction",)).filter("depth > 0").select("id", "depth", "direction")
+    if limit is None:
+        return found
+    nearest = [found.filter(F.col("direction") == d).orderBy("depth", "id").limit(limit) for d in ("out", "in")]
+    return nearest[0].unionByName(nearest[1])
+
+
+def impact_risk(found: DataFrame, change: str, levels: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``found`` with the risk of a change of this kind: ``levels`` lists, for each kind, the risk at depth 1, 2, ...; the last one holds from there on."""
+    names = levels[change]
+    return found.withColumn("risk", F.element_at(F.array(*map(F.lit, names)), F.least(F.col("depth"), F.lit(len(names)))))
 
 
 def neighborhoods(edges: DataFrame, hops: int) -> DataFrame:
@@ -78,23 +104,26 @@ def decayed_neighbors(edges: DataFrame, start: str, hops: int, decay: tuple[floa
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int) -> DataFrame:
-    """One undirected shortest path (the smallest, compared node by node), as one row: nodes, length. No path gives no row."""
-    both = symmetric(edges).select("src", "dst").distinct()
+    """One undirected shortest path (the smallest, compared node by node), as one row: nodes, relations, length. No path gives no row.
+
+    Of several relations between two nodes the smallest is named.
+    """
     spark = edges.sparkSession
-    paths = spark.createDataFrame([(start, [start])], "at string, nodes array<string>")
+    kind = F.col("relationship") if "relationship" in edges.columns else F.lit(None).cast("string")
+    both, both_path = _store(symmetric(edges.select("src", "dst", kind.alias("relationship"))).groupBy("src", "dst").agg(F.min("relationship").alias("relationship")))
+    paths = spark.createDataFrame([(start, [start], [])], "at string, nodes array<string>, relations array<string>")
     seen = paths.select(F.col("at").alias("id"))
-    for _ in range(max_depth + 1):
-        hit = paths.filter(F.col("at") == goal)
-        if not hit.isEmpty():
-            return hit.orderBy("nodes").limit(1).select("nodes", (F.size("nodes") - 1).alias("length"))
+    for depth in range(max_depth + 1):
+        paths, _, found = _store_with(paths, rows_written(), F.count_if(F.col("at") == goal).alias("hits"))
+        if found["hits"] or not found["n"] or depth == max_depth:
+            break
         step = paths.join(both, paths["at"] == both["src"]).join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         # One path to each node is enough: the smallest.
-        best = step.groupBy("dst").agg(F.min("nodes").alias("nodes"))
-        paths, _ = _store(best.select(F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes")))
+        best = step.groupBy(F.col("dst").alias("at")).agg(F.min(F.struct("nodes", F.array_append("relations", F.col("relationship")).alias("relations"))).alias("b"))
+        paths = best.select("at", F.array_append("b.nodes", F.col("at")).alias("nodes"), F.col("b.relations").alias("relations"))
         seen = seen.union(paths.select("at"))
-        if paths.isEmpty():
-            break
-    return paths.limit(0).select("nodes", (F.size("nodes") - 1).alias("length"))
+    _remove(edges, both_path)
+    return paths.filter(F.col("at") == goal).select("nodes", "relations", (F.size("nodes") - 1).alias("length"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -119,20 +148,30 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.crossJoin(F.broadcast(most)).select("id", (F.col("degree") / (F.col("most") + 1)).alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
-    """PageRank by repeated join and aggregation; what dangling nodes hold is spread evenly. Ranks are written every few rounds."""
-    n = nodes.count()
-    out = edges.select("src", "dst").distinct()
-    links, _ = _store(out.join(out.groupBy("src").agg(F.count("*").alias("fan")), "src"))
-    ranks = nodes.select("id").withColumn("rank", F.lit(1.0 / max(n, 1)))
-    dangling = nodes.select("id").join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-    for k in range(rounds):
-        lost = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("fan")).alias("given"))
-        ranks = nodes.select("id").join(given, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if (k + 1) % every == 0:
-            ranks, _ = _store(ranks)
-    return ranks
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """PageRank by repeated join and aggregation; what dangling nodes hold is spread evenly. Edges with an unknown end are left out.
+
+    A round joins the links to what was given in the round before, sums, and writes; how much dangling nodes held is what is missing
+    from one in the sum, which the same job measures. Links are kept partitioned by their source, so a round shuffles what is given alone.
+    """
+    known, _, size = _store_with(nodes.select("id").distinct(), rows_written())
+    n = max(size["n"], 1)
+    ends = edges.select("src", "dst").distinct().join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
+    stored, _ = _store(ends)
+    links = stored.join(stored.groupBy("src").agg(F.count("*").alias("fan")), "src").repartition("src").persist()
+    given, base = None, 1.0 / n
+    for _ in range(rounds):
+        if given is None:
+            rank = links.withColumn("rank", F.lit(base))
+        else:
+            rank = links.join(given.withColumnRenamed("id", "src"), "src", "left").withColumn("rank", base + damping * F.coalesce("given", F.lit(0.0)))
+        told = rank.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("fan")).alias("given"))
+        given, _, total = _store_with(told, F.sum("given").alias("sum"))
+        base = (1 - damping) / n + damping * (1 - (total["sum"] or 0.0)) / n
+    links.unpersist()
+    if given is None:
+        return known.select("id", F.lit(base).alias("rank"))
+    return known.join(given, "id", "left").select("id", (base + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
 
 
 def adamic_adar(edges: DataFrame, seeds: DataFrame) -> DataFrame:

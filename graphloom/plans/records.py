@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..graphview import table
 from ..operators import relations
+from ..operators.components import _store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -96,14 +97,35 @@ def runtime_event_dedup(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category"), F.substring(F.sha2(key, 256), 1, 16).alias("id")).agg(F.count("*").alias("hits"), F.min("event_id").alias("first"))
 
 
-@query()
+CLASSES = """WITH t AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))) AS words FROM part),
+l AS (SELECT words, min(id) AS c, count(*) AS n FROM t WHERE id % 2 = 0 AND len(words) > 0 GROUP BY words), r AS (SELECT words, min(id) AS c, count(*) AS n FROM t WHERE id % 2 = 1 AND len(words) > 0 GROUP BY words),
+p AS (SELECT l.c AS left_id, r.c AS right_id, len(list_intersect(l.words, r.words)) AS s, len(l.words) + len(r.words) AS total, l.n * r.n AS links FROM l, r)
+"""
+
+
+@query(CLASSES + """SELECT 'pair' AS kind, left_id, right_id, round(s / CAST(total - s AS DOUBLE), 4) AS score, links FROM p WHERE round(s / CAST(total - s AS DOUBLE), 4) >= 0.35
+UNION ALL SELECT 'left member', l.c, t.id, NULL, NULL FROM t JOIN l ON t.words = l.words WHERE t.id % 2 = 0
+UNION ALL SELECT 'right member', r.c, t.id, NULL, NULL FROM t JOIN r ON t.words = r.words WHERE t.id % 2 = 1""")
 def bridge_token_overlap(spark, sf_dir):
+    """Pairs between classes of equal token sets, and the members of each class.
+
+    Every even name of the smallest table has an exact match on the other side, so linking.unmatched would leave nothing to compare.
+    """
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    # Every even name of the smallest table has an exact match on the other side, so linking.unmatched would leave nothing to compare.
-    return relations.jaccard_pairs(parts.filter("id % 2 = 0"), parts.filter("id % 2 = 1"), 0.35)
+    even, odd = parts.filter("id % 2 = 0"), parts.filter("id % 2 = 1")
+    left, right = (_store(relations.token_classes(side))[0] for side in (even, odd))
+    pairs = relations.class_pairs(left, right, 0.35).select(F.lit("pair").alias("kind"), "left_id", "right_id", "score", "links")
+    sides = [relations.class_members(rows, classes).select(F.lit(kind).alias("kind"), F.col("class_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("links")) for kind, rows, classes in (("left member", even, left), ("right member", odd, right))]
+    return pairs.unionByName(sides[0]).unionByName(sides[1])
+
+
+BAGS = """WITH t AS (SELECT item_id, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g')), '\\s+'), lambda x: x <> '') AS words FROM benchmark),
+b AS (SELECT g.item_id, p.words AS p, g.words AS g FROM t g JOIN t p ON g.item_id = p.item_id + 1),
+c AS (SELECT item_id, sum(least(a, b)) AS common FROM (SELECT item_id, w, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM (SELECT item_id, unnest(p) AS w, 0 AS side FROM b UNION ALL SELECT item_id, unnest(g), 1 FROM b) GROUP BY item_id, w) GROUP BY item_id)
+SELECT b.item_id, CASE WHEN len(p) + len(g) = 0 THEN 1.0 ELSE round(2.0 * coalesce(common, 0) / (len(p) + len(g)), 6) END AS f1, CAST(p = g AS INTEGER) AS em FROM b LEFT JOIN c ON b.item_id = c.item_id"""
 
 
-@query()
+@query(BAGS)
 def em_f1(spark, sf_dir):
     a = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
     b = a.select((F.col("item_id") + 1).alias("item_id"), F.col("gold").alias("predicted"))

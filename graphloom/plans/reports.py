@@ -30,18 +30,21 @@ def modules(spark, sf_dir):
 
 SQL_RISK = """m AS (SELECT l_suppkey AS module, count(DISTINCT o_custkey) * l_suppkey % 23 AS consumers, count(DISTINCT l_partkey) AS functions, count(DISTINCT l_returnflag) AS dependencies, count(*) AS edges
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey),
-s AS (SELECT module, least(1.0, CAST(0.4 AS DOUBLE) * least(consumers / 15.0, 1.0) + CAST(0.3 AS DOUBLE) * least(functions / 40.0, 1.0) + CAST(0.2 AS DOUBLE) * least(dependencies / 10.0, 1.0) + CAST(0.1 AS DOUBLE) * least(edges / 50.0, 1.0)) AS score FROM m),
-risk AS (SELECT module, round(score, 3) AS risk_score, CASE WHEN score >= 0.7 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s)"""
+s AS (SELECT module, least(1.0, CAST(0.25 AS DOUBLE) * least(consumers / 16.0, 1.0) + CAST(0.25 AS DOUBLE) * least(functions / 32.0, 1.0) + CAST(0.25 AS DOUBLE) * least(dependencies / 8.0, 1.0) + CAST(0.25 AS DOUBLE) * least(edges / 64.0, 1.0)) AS score FROM m),
+risk AS (SELECT module, round(score, 3) AS risk_score, CASE WHEN score >= 0.75 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' WHEN score >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s)"""
+
+#: Equal weights and levels, for the queries below; any may be given.
+RISK = {"weights": {"consumers": (0.25, 16.0), "functions": (0.25, 32.0), "dependencies": (0.25, 8.0), "edges": (0.25, 64.0)}, "levels": [(0.75, "CRITICAL"), (0.5, "HIGH"), (0.25, "MEDIUM")], "lowest": "LOW"}
 
 
 @query(f"WITH {SQL_RISK} SELECT module, risk_score, risk_level FROM risk")
 def module_risk(spark, sf_dir):
-    return reports.module_risk(modules(spark, sf_dir)).select("module", "risk_score", "risk_level")
+    return reports.module_risk(modules(spark, sf_dir), **RISK).select("module", "risk_score", "risk_level")
 
 
 @query(f"WITH {SQL_RISK} SELECT risk_level, count(*) AS n FROM risk GROUP BY risk_level")
 def risk_distribution(spark, sf_dir):
-    return reports.module_risk(modules(spark, sf_dir)).groupBy("risk_level").agg(F.count("*").alias("n"))
+    return reports.module_risk(modules(spark, sf_dir), **RISK).groupBy("risk_level").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_suppkey AS module, count(DISTINCT o_custkey) AS consumers FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey HAVING count(DISTINCT o_custkey) >= 10")
@@ -70,9 +73,9 @@ def metrics_summary(spark, sf_dir):
     return reports.saved_tokens(table(spark, sf_dir, "events").withColumn("returned", F.col("value") * 100), "event_type", "returned")
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round((avg(value) - 48) / 0.5, 6) AS drift, abs((avg(value) - 48) / 0.5) >= 2 AS alert FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round((avg(value) - 48) / 0.5, 6) AS drift, abs((avg(value) - 48) / 0.5) >= 1.5 AS alert FROM events GROUP BY event_type")
 def welford_trend(spark, sf_dir):
-    return reports.drift(table(spark, sf_dir, "events"), "event_type", "value", 48.0, 0.5)
+    return reports.drift(table(spark, sf_dir, "events"), "event_type", "value", 48.0, 0.5, 1.5)
 
 
 @query("WITH j AS (SELECT event_id, user_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS change FROM events) SELECT event_id, user_id, change, CASE WHEN change > 0 THEN 'spike' ELSE 'drop' END AS kind FROM j WHERE abs(change) > 100")

@@ -78,14 +78,17 @@ def sql_hits(patterns: list[str], over: str) -> str:
 
 
 @query(
-    f"""WITH s AS (SELECT page_id, round(least(1.0, greatest(0.0, (len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) - 5) / 25.0)), 3) AS token_score,
-  {sql_hits(MARKS[0], '3.0')} AS entity_score, {sql_hits(MARKS[1], '2.0')} AS conjunction_score, {sql_hits(MARKS[2], '1.5')} AS depth_score FROM (SELECT item_id AS page_id, text FROM benchmark) t),
-c AS (SELECT *, CAST(0.15 AS DOUBLE) * token_score + CAST(0.30 AS DOUBLE) * entity_score + CAST(0.20 AS DOUBLE) * conjunction_score + CAST(0.35 AS DOUBLE) * depth_score AS composite FROM s)
-SELECT page_id AS item_id, round(composite, 6) AS composite, CASE WHEN composite < 0.15 THEN 'simple' WHEN composite < 0.35 THEN 'moderate' WHEN composite < 0.55 THEN 'complex' ELSE 'expert' END AS tier,
-  CASE WHEN composite < 0.15 THEN 4 WHEN composite < 0.35 THEN 8 WHEN composite < 0.55 THEN 12 ELSE 16 END AS max_nodes FROM c"""
+    f"""WITH s AS (SELECT page_id, round(least(1.0, greatest(0.0, (len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) - 4) / 28.0)), 3) AS token_score,
+  {sql_hits(MARKS[0], '2.0')} AS entity_score, {sql_hits(MARKS[1], '2.0')} AS conjunction_score, {sql_hits(MARKS[2], '2.0')} AS depth_score FROM (SELECT item_id AS page_id, text FROM benchmark) t),
+c AS (SELECT *, CAST(0.25 AS DOUBLE) * token_score + CAST(0.25 AS DOUBLE) * entity_score + CAST(0.25 AS DOUBLE) * conjunction_score + CAST(0.25 AS DOUBLE) * depth_score AS composite FROM s)
+SELECT page_id AS item_id, round(composite, 6) AS composite, CASE WHEN composite < 0.25 THEN 'simple' WHEN composite < 0.5 THEN 'moderate' WHEN composite < 0.75 THEN 'complex' ELSE 'expert' END AS tier,
+  CASE WHEN composite < 0.25 THEN 5 WHEN composite < 0.5 THEN 10 WHEN composite < 0.75 THEN 15 ELSE 20 END AS max_nodes FROM c"""
 )
 def query_complexity(spark, sf_dir):
-    return retrieval.complexity(table(spark, sf_dir, "benchmark"), "text", *MARKS).select("item_id", F.round("composite", 6).alias("composite"), "tier", "max_nodes")
+    patterns = {name: (found, 2.0) for name, found in zip(("entity_score", "conjunction_score", "depth_score"), MARKS)}
+    tiers = [(0.25, "simple", 5), (0.5, "moderate", 10), (0.75, "complex", 15), (1.0, "expert", 20)]
+    scored = retrieval.complexity(table(spark, sf_dir, "benchmark"), "text", patterns, dict.fromkeys(("token_score", *patterns), 0.25), tiers, 4, 32)
+    return scored.select("item_id", F.round("composite", 6).alias("composite"), "tier", "max_nodes")
 
 
 KNOWN = ["red", "nation_1", "region", "supplier"]
@@ -125,7 +128,7 @@ def observer_health(spark, sf_dir):
 @query(
     """WITH m AS (SELECT c_nationkey AS node, CAST(month(o_orderdate) AS INT) AS round, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS confidence FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 e AS (SELECT x.n_nationkey AS src, y.n_nationkey AS dst FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey <> y.n_nationkey),
-v AS (SELECT n.node AS dst, n.round, least(abs(n.confidence - p.confidence) * 2, 1) AS s FROM m n JOIN m p ON n.node = p.node AND n.round = p.round + 1)
+v AS (SELECT n.node AS dst, n.round, least(abs(n.confidence - p.confidence), 0.5) AS s FROM m n JOIN m p ON n.node = p.node AND n.round = p.round + 1)
 SELECT e.src AS node, round(sum(v.s), 6) AS influence FROM v JOIN e ON v.dst = e.dst JOIN m ON m.node = e.src AND m.round = v.round - 1 GROUP BY e.src"""
 )
 def top_influencers(spark, sf_dir):
@@ -134,7 +137,7 @@ def top_influencers(spark, sf_dir):
     messages = table(spark, sf_dir, "orders").join(customers, "o_custkey").groupBy("node", F.month("o_orderdate").alias("round")).agg(F.avg(closed).alias("confidence"))
     nation = table(spark, sf_dir, "nation")
     hears = nation.select(F.col("n_nationkey").alias("src"), "n_regionkey").join(nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey"), "n_regionkey").filter("src <> dst")
-    return retrieval.influencers(messages, hears).select("node", F.round("influence", 6).alias("influence"))
+    return retrieval.influencers(messages, hears, 1.0, 0.5).select("node", F.round("influence", 6).alias("influence"))
 
 
 def files(spark, sf_dir):
@@ -207,12 +210,12 @@ def kg_registry(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice / 500000 AS confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 500000 DESC, o_orderkey) AS option FROM orders),
-g AS (SELECT o_custkey FROM r GROUP BY o_custkey HAVING max(confidence) FILTER (option = 1) - max(confidence) FILTER (option = 2) <= 0.1 AND max(confidence) FILTER (option = 2) >= 0.5)
-SELECT o_custkey, option, o_orderkey, confidence FROM r WHERE option <= 5 AND o_custkey IN (SELECT o_custkey FROM g)"""
+g AS (SELECT o_custkey FROM r GROUP BY o_custkey HAVING max(confidence) FILTER (option = 1) - max(confidence) FILTER (option = 2) <= 0.125 AND max(confidence) FILTER (option = 2) >= 0.4)
+SELECT o_custkey, option, o_orderkey, confidence FROM r WHERE option <= 4 AND o_custkey IN (SELECT o_custkey FROM g)"""
 )
 def ambiguous_options(spark, sf_dir):
     messages = table(spark, sf_dir, "orders").withColumn("confidence", F.col("o_totalprice") / 500000)
-    return retrieval.ambiguous(messages, "o_custkey", "o_orderkey", "confidence")
+    return retrieval.ambiguous(messages, "o_custkey", "o_orderkey", "confidence", 0.125, 0.4, 4)
 
 
 @query(f"WITH {SQL_NODES} SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(id || '|' || label || '|' || entity_type || '|' || description), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest FROM nodes")

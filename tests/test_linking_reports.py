@@ -31,11 +31,13 @@ def test_unify_copies_and_reference_thresholds(spark, sf, tmp_path):
     named = whole.select("primary").union(whole.select("secondary")).distinct()
     assert named.count() == 2 * parts
     spark.createDataFrame([(2, "one two three"), (3, "two three four five")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    assert rows(known["bridge_token_overlap"](spark, str(tmp_path))) == [(2, 3, 0.4)]
+    found = known["bridge_token_overlap"](spark, str(tmp_path)).collect()
+    assert {(r["left_id"], r["right_id"], r["score"], r["links"]) for r in found if r["kind"] == "pair"} == {(2, 3, 0.4, 1)}
+    assert {(r["kind"], r["left_id"], r["right_id"]) for r in found if r["kind"] != "pair"} == {("left member", 2, 2), ("right member", 3, 3)}
     left = spark.createDataFrame([(1, "Same Name"), (2, "one two three")], "id int, text string")
     right = spark.createDataFrame([(3, "same_name"), (4, "two three four five")], "id int, text string")
     exact = linking.exact_bridge(left, right, linking.normalised(F.col("text")))
-    assert rows(relations.jaccard_pairs(linking.unmatched(left, exact), right, 0.35)) == [(2, 4, 0.4)]
+    assert rows(relations.class_pairs(relations.token_classes(linking.unmatched(left, exact)), relations.token_classes(right), 0.35)) == [(2, 4, 0.4, 1)]
 
 
 def test_unify_takes_other_sources_alone(spark):
@@ -86,14 +88,14 @@ def test_cosine_edges(spark):
 
 def test_risk_and_coverage(spark):
     df = spark.createDataFrame([(15, 40, 10, 50), (0, 0, 0, 0), (15, 0, 5, 0)], "consumers int, functions int, dependencies int, edges int")
-    assert rows(reports.module_risk(df), "risk_score", "risk_level") == [(0.0, "LOW"), (0.5, "HIGH"), (1.0, "CRITICAL")]
+    assert rows(reports.module_risk(df, {"consumers": (0.5, 15.0), "functions": (0.25, 40.0), "dependencies": (0.0, 10.0), "edges": (0.25, 50.0)}, [(0.75, "CRITICAL"), (0.5, "HIGH")], "LOW"), "risk_score", "risk_level") == [(0.0, "LOW"), (0.5, "HIGH"), (1.0, "CRITICAL")]
     assert rows(reports.coverage(spark.createDataFrame([], "a int"), F.col("a") > 0, F.col("a") > 0)) == [(0, 100.0, 100.0, "HEALTHY")]
 
 
 def test_drift_stale_conflicts(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 9.0)], "g string, v double")
-    assert rows(reports.drift(df, "g", "v", 2.0, 0.0), "g", "drift", "alert") == [("a", None, False), ("b", None, False)]
-    assert rows(reports.drift(df, "g", "v", 2.0, 3.5), "g", "drift", "alert") == [("a", 0.0, False), ("b", 2.0, True)]
+    assert rows(reports.drift(df, "g", "v", 2.0, 0.0, 2.0), "g", "drift", "alert") == [("a", None, False), ("b", None, False)]
+    assert rows(reports.drift(df, "g", "v", 2.0, 3.5, 2.0), "g", "drift", "alert") == [("a", 0.0, False), ("b", 2.0, True)]
     old = spark.createDataFrame([("x", 1, None), ("y", 2, 5), ("z", 3, 5)], "k string, m int, s int")
     new = spark.createDataFrame([("x", 1, None), ("y", 2, 6), ("w", 0, 0)], "k string, m int, s int")
     assert rows(reports.stale(old, new, "k", ["m", "s"])) == [("w", "new"), ("y", "changed"), ("z", "removed")]
