@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import _remove, _store, _store_with
+from .components import _remove, _store, _store_with, connected_components
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,12 @@ def neighbors(edges: DataFrame, node: str) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
+def incident(edges: DataFrame, node: str) -> DataFrame:
+    """(direction, other, relationship) of every edge at a node; a self-loop comes in and goes out."""
+    out = edges.filter(F.col("src") == node).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "relationship")
+    return out.unionByName(edges.filter(F.col("dst") == node).select(F.lit("in").alias("direction"), F.col("src").alias("other"), "relationship"))
+
+
 def edges_between(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.filter((F.least("src", "dst") == min(a, b)) & (F.greatest("src", "dst") == max(a, b)))
 
@@ -136,6 +142,19 @@ def hub_nodes(edges: DataFrame, k: int, min_degree: int = 1) -> DataFrame:
     return degrees(edges).filter(F.col("degree") >= min_degree).orderBy(F.desc("degree"), "id").limit(k)
 
 
+def top_share(nodes: DataFrame, edges: DataFrame, share: float = 0.1) -> DataFrame:
+    """(id, degree) of the most connected ``share`` of all nodes, one at least; ties go to the smaller id."""
+    n = nodes.count()
+    return node_degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(max(1, int(n * share)) if n else 0)
+
+
+def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: weak components among the nodes, those without edges too."""
+    found = connected_components(edges, "src", "dst")
+    alone = nodes.join(found.select(F.col("node").alias("id")), "id", "left_anti").agg(F.count("*").alias("alone"))
+    return found.agg(F.countDistinct("component").alias("joined")).crossJoin(alone).select((F.col("joined") + F.col("alone")).alias("components"))
+
+
 def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes, those without edges too."""
     return nodes.select("id").join(degrees(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, graph, linking, records, reports, retrieval, selection
+from . import extracts, files, graph, linking, records, reports, retrieval, selection
 
-PARTS = (files, graph, linking, records, reports, retrieval, selection)
+PARTS = (files, graph, linking, records, reports, retrieval, selection, extracts)
 
 
 def queries() -> dict:

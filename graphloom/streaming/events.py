@@ -20,3 +20,27 @@ def tumbling_counts(events: DataFrame, key: str, ts: str, size: str, delay: str)
 def over_limit(events: DataFrame, key: str, ts: str, size: str, delay: str, limit: int) -> DataFrame:
     """Windows in which a key exceeds the limit."""
     return tumbling_counts(events, key, ts, size, delay).filter(F.col("n") > limit)
+
+
+def changed_paths(batch: DataFrame, path: str) -> list[str]:
+    """Distinct paths of a micro-batch in order: what one debounced step works on. A batch is bounded by the source's limits (``maxFilesPerTrigger``)."""
+    return [r[0] for r in batch.select(path).filter(F.col(path).isNotNull()).distinct().orderBy(path).collect()]
+
+
+def visible(events: DataFrame, level: str, viewer: int, kinds: list[str]) -> DataFrame:
+    """Events of these kinds that a viewer may see, as they come."""
+    return events.filter((F.col(level) <= viewer) & F.col("kind").isin(kinds))
+
+
+def append_once(batch: DataFrame, path: str, keys: list[str]) -> None:
+    """Append a micro-batch without rows whose keys are stored already: with a checkpointed source, which may give a batch again, each key is stored once.
+
+    For ``foreachBatch``; give it a trigger (``processingTime``, or ``maxFilesPerTrigger`` for the size) to store by size or time.
+    """
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(keys)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(*keys), keys, "left_anti")
+    fresh.write.mode("append").parquet(path)
