@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.graphview import table
 from graphloom.sources import graph_json
@@ -34,3 +35,22 @@ def test_tumbling_counts_equal_batch(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = streams.tumbling_counts(spark.read.parquet(str(tmp_path / "in")), "event_type", "ts", "1 day", "0 seconds")
     assert sorted(map(tuple, spark.table("days").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batches_are_stored_once_and_paths_are_distinct(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    first = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string")
+    streams.append_once(first, path, ["k"])
+    streams.append_once(spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string"), path, ["k"])
+    streams.append_once(first.limit(0), path, ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert streams.changed_paths(spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "p string"), "p") == ["a", "b"]
+
+
+def test_first_sight_and_limits_on_a_stream(spark, tmp_path):
+    rows = [(k % 2, f"2024-01-01 00:0{k}:00") for k in range(6)]
+    spark.createDataFrame(rows, "k long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "in"))
+    for name, frame in (("first", streams.first_sight(stream, ["k"], "ts", "1 hour")), ("over", streams.over_limit(stream, "k", "ts", "1 hour", "0 seconds", 2)), ("seen", streams.visible(stream.withColumn("kind", F.lit("x")), "k", 0, ["x"]))):
+        frame.writeStream.format("memory").queryName(name).outputMode("append" if name != "over" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("first").count() == 2 and spark.table("over").count() == 2 and spark.table("seen").count() == 3
