@@ -339,10 +339,8 @@ def rotate(vectors: DataFrame, column: str, by: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def turned(values: pd.Series) -> pd.Series:
-        known = values.notna()
-        out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        if known.any():
-            out[known] = list(np.stack(values[known].tolist()) @ by.T)
-        return out
+        known = values.dropna()
+        rows = np.stack(known.tolist()) @ by.T if len(known) else []
+        return pd.Series(list(rows), index=known.index, dtype=object).reindex(values.index).map(lambda v: None if v is None or isinstance(v, float) else v)
 
     return vectors.withColumn(column, turned(column))
