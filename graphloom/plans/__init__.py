@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extracts, files, graph, linking, records, reports, retrieval, selection
+from . import extracts, files, graph, linking, records, reports, retrieval, selection, views
 
-PARTS = (files, graph, linking, records, reports, retrieval, selection, extracts)
+PARTS = (files, graph, linking, records, reports, retrieval, selection, extracts, views)
 
 
 def queries() -> dict:
