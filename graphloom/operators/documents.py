@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens, trigrams
 from .linking import cosine
-from .relations import let, tokens
 
 #: Words that say nothing about what a description is about.
 STOP_WORDS = ("the", "a", "an", "is", "in", "to", "of", "and", "for", "it", "on", "with", "as", "at", "by", "this", "that")
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct runs of three characters. Characters are split off first, so that a long text costs no search for each place."""
-    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 2), lambda k: F.concat(F.element_at(x, k), F.element_at(x, k + 1), F.element_at(x, k + 2)))
-    return F.array_distinct(let(F.split(text, ""), runs))
-
-
 def mentions(docs: DataFrame, code: DataFrame, least: int = 3) -> DataFrame:
     """(doc_id, code_id, how): nodes whose id, or else label, stands in the text, whatever the case. Inputs: doc_id, text; id, label.
 

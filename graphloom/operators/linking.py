@@ -7,26 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def normalised(name: Column) -> Column:
-    """Lower-case letters and digits alone."""
-    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-
-
-def name_tokens(name: Column) -> Column:
-    """Lower-case words of a name, a file ending left off. Words end at anything but an ASCII letter or digit, before a capital that follows a small letter
-    or digit, and before the last capital of a run of capitals that small letters follow; words of one character are dropped."""
-    ends = "|".join(("[^A-Za-z0-9]+", "(?<=[a-z0-9])(?=[A-Z])", "(?<=[A-Z])(?=[A-Z][a-z0-9])"))
-    return F.filter(F.transform(F.split(F.regexp_replace(name, "[.][^.]*$", ""), ends), F.lower), lambda t: F.length(t) > 1)
-
-
-def name_variants(name: Column) -> Column:
-    """The ways to write a name: as it is in lower case, its words joined by each of a few signs, and joined with capitals. Names of one character have none."""
-    words = name_tokens(name)
-    capitals = F.array_join(F.transform(words, F.initcap), "")
-    written = [F.array_join(words, sign) for sign in ("_", "-", " ", "")] + [capitals, F.when(F.size(words) > 1, F.concat(F.lower(F.substring(capitals, 1, 1)), F.substring(capitals, 2, 1 << 20)))]
-    ways = F.when(F.size(words) > 0, F.array_compact(F.array(*written))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.length(name) > 1, F.array_union(F.array(F.lower(name)), ways)).otherwise(F.array().cast("array<string>"))
+from ..functions.text import name_tokens, name_variants, normalised
 
 
 def exact_bridge(left: DataFrame, right: DataFrame, key: Column, confidence: float = 0.9) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+
 
 def search_page(nodes: DataFrame, query: str, entity_type: str | None, offset: int, limit: int) -> DataFrame:
     """A page of the nodes whose label, type or description holds the query, whatever the case, in order of id."""
@@ -55,16 +57,6 @@ def projects(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("project").agg(F.count("*").alias("n"), F.countDistinct("entity_type").alias("types"))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once a row, though ``use`` refers to it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def tokens(column: Column) -> Column:
-    """Distinct lower-case letter-or-digit runs."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(column), "[^a-z0-9]+"), ""))
-
-
 def token_classes(rows: DataFrame) -> DataFrame:
     """(class_id, set, size, members): distinct token sets, named by the smallest id that has them. Inputs: id, text; rows without a token are left out."""
     sets = rows.select("id", F.array_sort(tokens(F.col("text"))).alias("set")).filter(F.size("set") > 0)
