@@ -17,10 +17,11 @@ every text is ``und``; rows with a null id are not held out; an empty table give
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import blocks, bounded_batches, held_out
 
 UNKNOWN = "und"
 #: Bounds of the fit: documents of each language, and of all.
-PER_LANGUAGE, DOCUMENTS = 1500, 20_000
+PER_LANGUAGE, DOCUMENTS = 1000, 20_000
 LONGEST_GRAM = 4
 #: Unseen words whose scores a worker remembers.
 REMEMBERED = 200_000
@@ -51,14 +52,23 @@ def grams(word: str, n: int) -> list[str]:
 class Frequencies:
     """Counts of strings in languages: the least log frequency of each language, and for each string what to add for the languages that have shown it."""
 
-    def __init__(self, counts: dict[str, dict[int, int]], languages: int):
-        self.slot = {x: k for k, x in enumerate(counts)}
-        self.starts = np.cumsum([0, *map(len, counts.values())])
-        self.language = np.fromiter((p for c in counts.values() for p in c), np.int32, self.starts[-1])
-        n = np.fromiter((x for c in counts.values() for x in c.values()), np.float64, self.starts[-1])
-        totals = np.bincount(self.language, n, languages) + 0.5 * len(counts)
+    def __init__(self, strings: pa.Array, language: np.ndarray, n: np.ndarray, languages: int):
+        """Rows are sorted by string and language."""
+        coded = strings.dictionary_encode()
+        self.strings = coded.dictionary
+        self.starts = np.searchsorted(coded.indices.to_numpy(zero_copy_only=False), np.arange(len(self.strings) + 1))
+        self.language = language
+        totals = np.bincount(language, n, languages) + 0.5 * len(self.strings)
         self.least = np.log(0.5 / np.maximum(totals, 0.5))
-        self.more = np.log(2 * n + 1)
+        self.more = np.log(2.0 * n + 1).astype(np.float32)
+        self._slot: dict[str, int] | None = None
+
+    @property
+    def slot(self) -> dict[str, int]:
+        """Place of each string; made where it is used, so that the driver and the broadcast hold arrays alone."""
+        if self._slot is None:
+            self._slot = {x: k for k, x in enumerate(self.strings.to_pylist())}
+        return self._slot
 
     def row(self, x: str) -> tuple[np.ndarray, np.ndarray]:
         k = self.slot[x]
@@ -66,25 +76,37 @@ class Frequencies:
         return self.language[a:b], self.more[a:b]
 
 
+def gram_counts(rows: list[tuple[str, str, int]]) -> Counter:
+    """Counts by (length, string, language) of words (length 0) and their n-grams."""
+    out: Counter = Counter()
+    for language, word, n in rows:
+        out[0, word, language] += n
+        for k in range(1, LONGEST_GRAM + 1):
+            for g in grams(word, k):
+                out[k, g, language] += n
+    return out
+
+
 class LanguageModel:
-    """Fitted from (language, word, count) rows."""
+    """Fitted from a table of counts: k (0 for words, else the length of grams), x, lang, n."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, counts: pa.Table):
         self.name = uuid.uuid4().hex
-        self.languages = sorted({r[0] for r in rows})
-        place = {x: k for k, x in enumerate(self.languages)}
-        words: dict[str, dict[int, int]] = defaultdict(dict)
-        for language, word, n in rows:
-            words[word][place[language]] = words[word].get(place[language], 0) + n
-        self.tables = [Frequencies(words, len(place))]
-        for k in range(1, LONGEST_GRAM + 1):
-            table: dict[str, dict[int, int]] = defaultdict(dict)
-            for word, counts in words.items():
-                for g, times in Counter(grams(word, k)).items():
-                    found = table[g]
-                    for language, n in counts.items():
-                        found[language] = found.get(language, 0) + n * times
-            self.tables.append(Frequencies(table, len(place)))
+        counts = counts.sort_by([("k", "ascending"), ("x", "ascending"), ("lang", "ascending")]).combine_chunks()
+        self.languages = sorted(counts.column("lang").unique().to_pylist())
+        place = pa.array(self.languages, pa.string())
+        at = pc.index_in(counts.column("lang"), place).to_numpy().astype(np.int32)
+        bounds = np.searchsorted(counts.column("k").to_numpy(), np.arange(LONGEST_GRAM + 2))
+        n = counts.column("n").to_numpy()
+        strings = counts.column("x")
+        self.tables = [Frequencies(strings.slice(a, b - a).combine_chunks(), at[a:b], n[a:b], len(self.languages)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str, int]]) -> LanguageModel:
+        """From (language, word, count) rows."""
+        counts = gram_counts(rows)
+        keys = list(counts)
+        return cls(pa.table({"k": pa.array([k for k, _, _ in keys], pa.int32()), "x": pa.array([x for _, x, _ in keys], pa.string()), "lang": pa.array([m for _, _, m in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())}))
 
     def unseen(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
         """The table that decides on an unseen word (0: none does), and the languages and additions of its grams there, averaged."""
@@ -93,7 +115,7 @@ class LanguageModel:
             known = [table.row(g) for g in grams(word, n) if g in table.slot]
             if known:
                 return n, np.concatenate([r[0] for r in known]), np.concatenate([r[1] for r in known]) / len(known)
-        return 0, np.zeros(0, np.int32), np.zeros(0)
+        return 0, np.zeros(0, np.int32), np.zeros(0, np.float32)
 
 
 class Predictor:
@@ -106,7 +128,7 @@ class Predictor:
 
     def _fresh(self) -> None:
         table = self.model.tables[0]
-        self.slot, self.known = dict(table.slot), len(table.slot)
+        self.slot, self.known = dict(table.slot), len(table.strings)
         self.starts, self.language, self.more = table.starts, table.language, table.more
         self.decides = np.zeros(self.known, np.int64)
 
@@ -162,7 +184,7 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, documents: int = D
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
     languages = sizes.count()
     if not languages:
-        return LanguageModel([])
+        return LanguageModel.of([])
     wanted = min(per_language, documents / languages)
     # The hash decides, so that the sample is the same on every run.
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
@@ -177,8 +199,15 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, documents: int = D
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
+    def split(batches):
+        for batch in batches:
+            counts = gram_counts(list(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")))))
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.int32()), pa.array([x for _, x, _ in keys], pa.string()), pa.array([m for _, _, m in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["k", "x", "lang", "n"])
+
     counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel(sorted((r["lang"], r["word"], r["n"]) for r in counted.collect()))
+    whole = counted.mapInArrow(split, "k int, x string, lang string, n long").groupBy("k", "x", "lang").agg(F.sum("n").alias("n"))
+    return LanguageModel(whole.toArrow())
 
 
 _PREDICTORS: dict[str, Predictor] = {}
