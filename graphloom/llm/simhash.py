@@ -8,7 +8,8 @@ goes down pairs of nodes and adds up the differences in bits that both share; a
 dropped with all below it. A pattern with too many members is parted again by the bits it leaves open, in the same way, until no
 group is too large: nothing is cut off.
 
-Defined results: null or empty text has fingerprint zero and is linked like any other; every row returns, repeated rows too.
+Defined results: null or empty text has fingerprint zero and is linked like any other; every row returns, repeated rows and rows with a null id too; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     n = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[n - 1 :].tolist())], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -232,7 +238,7 @@ def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GRO
     In each group a member is linked to one other of its component, so there are no more links than rows.
     """
     spark = classes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    bounded_batches(spark)
     first = classes.groupBy("fp").agg(F.min("rep").alias("first"))
     todo = first.select("fp", F.col("first").alias("rep"), F.lit(0).cast("long").alias("mask"))
     masks, links = [0], [classes.join(first, "fp").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))]
@@ -252,22 +258,25 @@ def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS, group: int = GRO
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links lead to)."""
+    """doc_id, fp, component_id (the smallest doc_id that links lead to; null if all are null)."""
     prints, _ = save(fingerprints(docs, shingle), "prints")
-    classes, _ = save(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    links = hamming_links(classes, max_bits, group)
-    joined = connected_components(links)
+    # Classes are named by their fingerprint, which is never null.
+    classes, _ = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = connected_components(hamming_links(classes.select("fp", F.col("fp").alias("rep")), max_bits, group))
+    named = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # classes holds each fingerprint once; joins to it can only be uneven on the documents' side, which Spark can split.
-    roots = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    roots = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return prints.join(roots, "fp").select("doc_id", "fp", "component_id")
 
 
 #: The similarity stage: words of a shingle, and the least Jaccard similarity of two documents' shingles as a fraction.
 WIDE_SHINGLE, LEAST = 5, (4, 5)
-#: Documents meet if all smallest hashes of a band agree. At a similarity of s a pair is missed with a chance of (1 - s ** rows) ** bands: 0.0002 at 0.8.
+#: Documents also meet if all smallest hashes of a band agree. At a similarity of s a pair is missed with a chance of (1 - s ** rows) ** bands: 0.0002 at 0.8.
 BAND_ROWS, BANDS = 4, 16
-#: Members of a bucket of which all pairs are compared; larger ones are compared with one member first.
-CLOSE = 8
+#: Members of a bucket that the others are compared with before the exact step.
+PIVOTS = 4
+#: 64-bit words of the sketches of what a member lacks of, and has besides, its bucket's pivot.
+SKETCH = 4
 _rng = np.random.default_rng(42)
 _TURN = _rng.integers(0, 2**64, BAND_ROWS * BANDS, np.uint64)
 _TIMES = _rng.integers(0, 2**64, BAND_ROWS * BANDS, np.uint64) | np.uint64(1)
@@ -297,70 +306,112 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)]
 
 
-def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the number of shingles in both and in either."""
-    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
+def sketch(values: Column, word: int) -> Column:
+    """64 of the bits of ``values``' sketch: each value sets one bit of all."""
+    return F.aggregate(F.filter(values, lambda v: F.pmod(F.shiftright(v, 6), F.lit(SKETCH)) == word), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)))))
 
 
-def alike() -> Column:
-    return LEAST[1] * F.col("both") >= LEAST[0] * F.col("either")
+def overlap(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with their numbers of shingles na and nb, and how many are in ``both``; with sketches of what b lacks of a and has besides."""
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+    measured = full.withColumns({"na": F.size("x"), "nb": F.size("y"), "both": F.size(F.array_intersect("x", "y"))})
+    if not sketched:
+        return measured.select("a", "b", "na", "nb", "both")
+    measured = measured.withColumns({"lacks": F.array_except("x", "y"), "besides": F.array_except("y", "x")})
+    return measured.select("a", "b", "na", "nb", "both", *[sketch(F.col(c), w).alias(f"{c}{w}") for c in ("lacks", "besides") for w in range(SKETCH)])
 
 
-def bucket_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose numbers of shingles allow the similarity."""
-    a, b = (members.select("h", F.col("rep").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    return a.join(b, "h").filter((F.col("a") < F.col("b")) & (LEAST[1] * F.least("na", "nb") >= LEAST[0] * F.greatest("na", "nb"))).select("a", "b")
+def alike(both="both", na="na", nb="nb") -> Column:
+    """Whether ``both`` of na and nb shingles in common reach the similarity."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return (LEAST[0] + LEAST[1]) * of(both) >= LEAST[0] * (of(na) + of(nb))
 
 
-def similar_links(members: DataFrame, sets: DataFrame, close: int = CLOSE) -> DataFrame:
-    """Links (a, b) that join the members of each bucket into the components that comparing all its pairs would give.
+def possible(x: str, y: str) -> Column:
+    """Whether two members of a bucket may be alike, by what is known of each and the pivot: no pair that is alike is ruled out.
 
-    ``members``: bucket ``h``, ``rep``, number of shingles ``n``; ``sets``: ``rep`` and its shingles. In a large bucket all members are
-    compared with the smallest. Those alike are linked to it and done with. One minus the similarity is a distance, so another member can be
-    alike to one of them only if its own distance from the smallest is within one fifth of theirs: those pairs are compared too. The
-    rest goes on as a smaller bucket. Where that settles less than half of what is left, all pairs of the rest are compared: no pair is given up.
+    They have in common: what neither lacks of the pivot, and what both have besides. Distinct bits of a sketch are distinct shingles, so the bits
+    of both sketches bound from below what at least one lacks, and bits in one sketch alone what one has and the other has not.
     """
-    links, candidates, slow = [], [], False
-    far = F.col("either") - F.col("both")
-    distance = far / F.col("either")
-    step = 1 - LEAST[0] / LEAST[1] + 1e-9
-    while True:
-        sizes = members.groupBy("h").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"))
-        placed, _ = save(members.join(sizes, "h"), "buckets")
-        candidates.append(bucket_pairs(placed if slow else placed.filter(F.col("size") <= close)))
-        large = placed.filter(F.col("size") > close)
-        left = 0 if slow else large.count()
-        if not left:
-            break
-        measured, _ = save(overlap(large.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets), "measured")
-        links.append(measured.filter(alike()).select("a", "b"))
-        around = large.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), alike().alias("near"), distance.alias("d")), ["pivot", "rep"])
-        rest = around.filter("NOT near")
-        inside = around.filter("near").select("h", F.col("rep").alias("b"), F.col("d").alias("e"))
-        edge = rest.filter(F.col("d") <= 2 * step).select("h", F.col("rep").alias("a"), "d")
-        candidates.append(edge.join(inside, "h").filter(F.col("e") >= F.col("d") - step).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        members, _ = save(rest.select("h", "rep", "n"), "rest")
-        slow = 2 * members.count() > left
-    asked = candidates[0]
-    for more in candidates[1:]:
-        asked = asked.union(more)
-    asked, _ = save(asked.distinct(), "asked")
-    out = overlap(asked, sets).filter(alike()).select("a", "b")
-    for more in links:
-        out = out.union(more)
-    return save(out.distinct(), "similar")[0]
+    bits = lambda columns: sum((F.bit_count(c) for c in columns), F.lit(0))
+    word = lambda side, c, w: F.col(f"{side}.{c}{w}")
+    lacking = bits([word(x, "lacks", w).bitwiseOR(word(y, "lacks", w)) for w in range(SKETCH)])
 
+    def own(this: str, other: str) -> Column:
+        return F.col(f"{this}.nb") - F.col(f"{this}.both") - bits([word(this, "besides", w).bitwiseAND(F.bitwise_not(word(other, "besides", w))) for w in range(SKETCH)])
 
-def similar_rows(rows: DataFrame, close: int = CLOSE) -> DataFrame:
+    most = F.col(f"{x}.na") - lacking + F.least(own(x, y), own(y, x))
+    return alike(F.least(most, F.col(f"{x}.nb"), F.col(f"{y}.nb")), F.col(f"{x}.nb"), F.col(f"{y}.nb"))
+
+
+def with_components(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the component of each ``rep`` by ``links``."""
+    joined = connected_components(links)
+    return members.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+
+
+def similar_links(members: DataFrame, sets: DataFrame, candidates: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """Links (a, b) that join the members of each bucket into the components that comparing all its pairs would give, and ``candidates`` (a, b) that are alike.
+
+    ``members``: bucket ``h`` and ``rep``; ``sets``: ``rep`` and its shingles. The members of a bucket are compared with its pivot, the one that
+    meets most others in all its buckets; then those outside the bucket's largest component with the next pivots of that component. Pairs
+    that are in one component by now need no comparison. The rest is exact: members outside the largest component meet
+    all others of the bucket, and a pair is compared unless the sketches rule out that it is alike. So a large group of near copies takes a few comparisons a member.
+    """
+    sizes = members.groupBy("h").agg(F.count("*").alias("size"))
+    sized, _ = save(members.join(sizes, "h"), "sized")
+    central = sized.groupBy("rep").agg(F.sum("size").alias("meets"))
+    placed, _ = save(sized.join(central, "rep").select("h", "rep", "meets"), "buckets")
+    order = F.struct(-F.col("meets"), "rep")
+    pivot = placed.groupBy("h").agg(F.min_by("rep", order).alias("pivot"))
+    around, _ = save(placed.join(pivot, "h"), "around")
+    first = around.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    measured, _ = save(overlap(first, sets, sketched=True), "measured")
+    near = overlap(candidates.join(first, ["a", "b"], "left_anti"), sets).filter(alike()).select("a", "b")
+    links, _ = save(measured.filter(alike()).select("a", "b").unionByName(near), "similar")
+
+    def unsettled(found: DataFrame) -> DataFrame:
+        """Members of buckets with more than one component, and the largest component of the bucket (by members, then the smallest)."""
+        parts = with_components(around, found)
+        counted = parts.groupBy("h", "part").agg(F.count("*").alias("n"))
+        largest = counted.groupBy("h").agg(F.count("*").alias("parts"), F.min_by("part", F.struct(-F.col("n"), "part")).alias("main")).filter("parts > 1")
+        return save(parts.join(largest.select("h", "main"), "h"), "unsettled")[0]
+
+    rest = unsettled(links)
+    # The next pivots, each the one of the largest component that meets most others beyond those before it.
+    next_ = rest.filter("part = main AND rep <> pivot")
+    asked = []
+    for _ in range(pivots - 1):
+        chosen = next_.groupBy("h").agg(F.min_by("rep", order).alias("next"))
+        asked.append(rest.filter("part <> main").join(chosen, "h").select(F.col("next").alias("a"), F.col("rep").alias("b")))
+        next_ = next_.join(chosen, "h").filter("rep <> next").drop("next")
+    more = asked[0]
+    for other in asked[1:]:
+        more = more.unionByName(other)
+    more, _ = save(overlap(more.distinct().join(first, ["a", "b"], "left_anti"), sets).filter(alike()).select("a", "b"), "similar")
+    links = links.unionByName(more)
+
+    rest = unsettled(links)
+    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), *[c for c in measured.columns if c not in "ab"])
+    # The pivot itself lacks nothing; pairs with it have been compared.
+    sketched, _ = save(rest.filter("rep <> pivot").join(known, ["pivot", "rep"]), "sketched")
+    some, every = sketched.filter("part <> main").alias("x"), sketched.alias("y")
+    apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+    pairs = some.join(every, (F.col("x.h") == F.col("y.h")) & apart & possible("x", "y")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    pairs, _ = save(pairs.distinct(), "asked")
+    return save(links.unionByName(overlap(pairs, sets).filter(alike()).select("a", "b")).distinct(), "similar")[0]
+
+
+def similar_rows(rows: DataFrame, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
     """key, doc_id and component of stored ``rows`` (unique long ``key``, ``doc_id``, ``text``): the smallest key that links lead to.
 
-    Rows with equal sets of shingles are one class, so copies cost nothing; rows without shingles are a class too. Classes that share
-    a band are candidates, and are linked if the exact Jaccard similarity of their shingles is 0.8 or more.
+    Rows with equal sets of shingles are one class, so copies cost nothing; rows without shingles are a class too. Classes whose SimHashes
+    are joined by the Gray-order index are candidates, and so are classes that share a band of smallest hashes: at a similarity of 0.8 SimHashes
+    differ in ten of 64 bits on average, which an index for four bits does not reach. Candidates are linked if the Jaccard similarity of their shingles is 0.8 or more.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    schema = "key long, doc_id long, c1 long, c2 long, n int, bands array<long>"
+    schema = "key long, doc_id long, c1 long, c2 long, fp long, bands array<long>"
 
     def sign(batches):
         for block in blocks(batches):
@@ -368,34 +419,38 @@ def similar_rows(rows: DataFrame, close: int = CLOSE) -> DataFrame:
             classes = np.array([list(xxhash.xxh128_digest(s.tobytes())) for s in sets], np.uint8).reshape(-1, 16).view(np.int64)
             columns = [block.column(c).combine_chunks() for c in ("key", "doc_id")]
             columns += [pa.array(np.ascontiguousarray(c)) for c in classes.T]
-            columns += [pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "c1", "c2", "n", "bands"])
+            columns += [pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "c1", "c2", "fp", "bands"])
 
     def spell(batches):
         for block in blocks(batches):
-            sets = [shingles(t).view(np.int64) for t in block.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column("key").combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "set"])
+            # The upper halves of hashes tell the shingles of two documents apart.
+            sets = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in block.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column("key").combine_chunks(), pa.array(sets, pa.list_(pa.int32()))], names=["rep", "set"])
 
     prints, _ = save(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema), "signatures")
     classes, _ = save(prints.groupBy("c1", "c2").agg(F.min("key").alias("rep")), "signature-classes")
-    posted = prints.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select(F.col("key").alias("rep"), "n", F.explode("bands").alias("h"))
+    own = prints.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").filter(F.size("bands") > 0)
+    candidates, _ = save(hamming_links(own.select("fp", F.col("key").alias("rep")), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    posted = own.select(F.col("key").alias("rep"), F.explode("bands").alias("h"))
     shared = posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h")
     members, _ = save(posted.join(shared, "h"), "members")
     # Only classes that meet another one are spelled out.
-    asked = members.select(F.col("rep").alias("key")).distinct()
-    sets, _ = save(rows.select("key", "text").join(asked, "key", "left_semi").mapInArrow(spell, "rep long, set array<long>"), "shingles")
-    joined = connected_components(similar_links(members, sets, close))
+    asked = members.select("rep").union(candidates.select("a")).union(candidates.select("b")).distinct().withColumnRenamed("rep", "key")
+    # Their keys grow with the input, so they are not broadcast at any size.
+    sets, _ = save(rows.select("key", "text").join(asked.hint("merge"), "key", "left_semi").mapInArrow(spell, "rep long, set array<int>"), "shingles")
+    joined = connected_components(similar_links(members, sets, candidates, pivots))
     roots = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     return prints.join(roots, ["c1", "c2"]).select("key", "doc_id", "component")
 
 
-def similar_documents(docs: DataFrame, close: int = CLOSE) -> DataFrame:
+def similar_documents(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """doc_id and component_id (the smallest doc_id) of documents, joined wherever two have a Jaccard similarity of 0.8 or more in five-word shingles.
 
     Null and empty texts form one component.
     """
     rows, _ = save(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
-    found, _ = save(similar_rows(rows, close), "similar-rows")
+    found, _ = save(similar_rows(rows, pivots), "similar-rows")
     return found.join(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
 
 
