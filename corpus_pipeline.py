@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, _ = save(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
     found = simhash.similar_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text"))
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
-    return rows.join(chosen, "__key", "left_semi").select(*docs.columns)
+    # The chosen keys grow with the input, so they are not broadcast at any size.
+    return rows.join(chosen.hint("merge"), "__key", "left_semi").select(*docs.columns)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
