@@ -100,6 +100,24 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         yield pa.Table.from_batches(held)
 
 
+#: Partial results that ``best_of`` merges at once.
+MERGED = 256
+
+
+def best_of(found: DataFrame, keys: list[str], order: list[str], k: int, parts: int) -> DataFrame:
+    """``keys``, rank (int, from 1) and ``order`` of the k first rows by ``order`` of each key.
+
+    ``part`` says which of ``parts`` partial results a row comes from; each holds k rows of a key at most. They are merged ``MERGED`` at a time, so no key's rows meet all at once.
+    """
+    best = found.select(*keys, "part", F.struct(*order).alias("b"))
+    least = F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("best")
+    while parts > MERGED:
+        parts = -(-parts // MERGED)
+        best = best.groupBy(*keys, F.floor(F.col("part") / MERGED).alias("part")).agg(least).select(*keys, "part", F.explode("best").alias("b"))
+    ranked = best.groupBy(*keys).agg(least).select(*keys, F.posexplode("best").alias("at", "b"))
+    return ranked.select(*keys, (F.col("at") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in order])
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that no model learns from: crc32 of the id as text leaves 2 on division by 4. A null id is none of them."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

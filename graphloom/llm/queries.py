@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .chat import op6_chat
 from .common import table
 from .langid import op9_language
+from .lexical import op11_ranked
 from .linededup import op4_line_dedup
 from .packing import op2_packed
 from .quality import op3_quality
@@ -60,6 +61,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_file(spark, table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, pipeline)
+    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, op11_lexical, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -91,5 +96,32 @@ FROM escaped GROUP BY conv_id
 """
 
 
+LEXICAL_SQL = r"""
+WITH held AS (
+    SELECT row_number() OVER () AS k, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), asked AS (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), wanted AS (SELECT item, item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), sizes AS (SELECT k, doc_id, CAST(len(terms) AS BIGINT) AS n FROM held WHERE len(terms) > 0
+), corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM sizes
+), occurring AS (SELECT k, unnest(terms) AS term FROM held
+), counted AS (SELECT k, term, count(*) AS tf FROM occurring GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM counted, corpus GROUP BY term
+), scored AS (
+    SELECT w.item, w.item_id, s.doc_id, s.k,
+           CAST(sum(w.times * g.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * s.n * o.n_docs) // o.l)))) AS BIGINT) AS score
+    FROM wanted w JOIN counted c USING (term) JOIN weights g USING (term) JOIN sizes s USING (k), corpus o
+    GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": CHAT_SQL}
+    return {"op6_chat_format": CHAT_SQL, "op11_lexical": LEXICAL_SQL}
