@@ -10,6 +10,7 @@ from .ann import op8_nearest
 from .bpe import round_trip
 from .chat import op6_chat
 from .common import table
+from .hardneg import op13_mined
 from .langid import op9_language
 from .lexical import op11_ranked
 from .linededup import op4_line_dedup
@@ -65,6 +66,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_mined(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, op11_lexical, pipeline)
+    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, op11_lexical, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -123,5 +128,25 @@ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <=
 """
 
 
+NEGATIVES_SQL = """
+WITH good AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM good a JOIN good b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score
+    FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": CHAT_SQL, "op11_lexical": LEXICAL_SQL}
+    return {"op6_chat_format": CHAT_SQL, "op11_lexical": LEXICAL_SQL, "op13_hard_negatives": NEGATIVES_SQL}
