@@ -14,6 +14,7 @@ from .hardneg import op13_mined
 from .langid import op9_language
 from .lexical import op11_ranked
 from .linededup import op4_line_dedup
+from .minhash import op12_minhash
 from .packing import op2_packed
 from .quality import op3_quality
 from .secrets import op7_secrets
@@ -66,6 +67,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_minhash(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_mined(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, op11_lexical, op13_hard_negatives, pipeline)
+    own = (op1_bpe, op2_packing, op3_quality_rules, op4_lines, op5_near_duplicates, op6_chat_format, op7_secret_scan, op8_neighbours, op9_language_id, op10_token_files, op11_lexical, op12_near_duplicates, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -128,6 +133,33 @@ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <=
 """
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS k, doc_id,
+           coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents
+), sets AS (
+    SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words
+), classes AS (
+    SELECT min(k) AS c, any_value(len(s)) AS n, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), shingles AS (SELECT c, n, hash(x) AS x FROM (SELECT c, n, unnest(s) AS x FROM classes)
+), pairs AS (
+    SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.c, b.c, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)
+), links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reached AS (
+    SELECT c AS a, c AS b FROM classes
+    UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), roots AS (SELECT a AS c, min(b) AS root FROM reached GROUP BY a
+), members AS (SELECT s.k, s.doc_id, len(s.s) AS n, r.root FROM sets s LEFT JOIN classes c ON c.s = list_sort(s.s) LEFT JOIN roots r USING (c)
+), named AS (SELECT root, min(doc_id) AS least FROM members WHERE root IS NOT NULL GROUP BY root)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE least END AS component_id,
+       coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE least END, FALSE) AS kept
+FROM members LEFT JOIN named USING (root)
+"""
+
 NEGATIVES_SQL = """
 WITH good AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
@@ -149,4 +181,4 @@ QUALIFY rank <= 3
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": CHAT_SQL, "op11_lexical": LEXICAL_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+    return {"op6_chat_format": CHAT_SQL, "op11_lexical": LEXICAL_SQL, "op12_near_duplicates": NEAR_SQL, "op13_hard_negatives": NEGATIVES_SQL}
