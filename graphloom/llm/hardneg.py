@@ -7,7 +7,7 @@ The top of the tree is fitted on a bounded sample: each node has a vantage point
 placed under it, and for each leaf the least and the largest distance from the vantage points above are measured over all its rows, so skipping a leaf by
 the triangle inequality is exact. A leaf is parted into blocks of bounded size, and a task builds the rest of the tree for a block. An anchor
 meets only the blocks that its annuli may reach; there it walks the tree from the nearest node on, with a heap of nodes and rows, drops what lies wholly inside or outside
-an annulus, and stops after k rows. What blocks found is merged, so results equal those of a full search.
+an annulus, and stops once k rows are nearer than the next node. What blocks found is merged, so results equal those of a full search.
 
 First an anchor's positives are searched (in its own leaf, then in the leaves that may hold nearer ones), then for each positive the negatives in its window.
 Blocks and bunches of anchors meet in sorted partitions that are read as a stream. Rows with equal vector and label are one entry with its smallest ids, as more can't be among the first.
@@ -36,7 +36,7 @@ UNITS = 256
 #: Rows that the top of the tree is fitted on, and the most leaves it has.
 SAMPLE, MOST_LEAVES = 20_000, 256
 #: Rows of a block, anchors that meet it together, rows of a leaf within a block.
-BLOCK, BUNCH, LEAF = 8192, 16_384, 64
+BLOCK, BUNCH, LEAF = 8192, 16_384, 256
 #: Beyond any score.
 FAR = 1 << 62
 #: Bounds are widened by this share of the squared distances: rounding must not lose a row.
@@ -149,6 +149,7 @@ class BlockTree:
         order = np.array(self.order)
         self.vectors, self.labels, self.ids = vectors[order], labels[order], [ids[k] for k in order]
         self.watch = points[self.vantages] if self.vantages else points[:0]
+        self.masks: dict[tuple[int, bool], np.ndarray] = {}
         self.only = [set(np.unique(self.labels[n[0] : n[1]])) for n in self.nodes]
 
     def _grow(self, points: np.ndarray, rows: np.ndarray, parent: int, low: float, high: float) -> int:
@@ -179,38 +180,57 @@ class BlockTree:
         half, slack = sizes[:, None] / 2, sizes[:, None] * SLACK + 1
         return half - most**2 / 2 - slack, half - least**2 / 2 + slack
 
-    def nearest(self, anchor: np.ndarray, least: list[float], most: list[float], label: int, same: bool, own: int | None, low: int, high: int, k: int) -> list[tuple[int, int]]:
-        """The first k (score, id) of rows with the anchor's label, or with another one, whose score is from ``low`` to ``high``."""
-        found: list[tuple[int, int]] = []
-        # Nodes come before rows of the score that bounds them, and rows of equal score by id.
-        heap: list[tuple[float, int, int]] = [(-most[0], 0, 0)]
-        while heap and len(found) < k:
-            bound, kind, at = heapq.heappop(heap)
-            if kind:
-                found.append((-int(bound), at))
-                continue
+    def asked(self, label: int, same: bool) -> np.ndarray:
+        """Which rows have the label, or another one."""
+        if (label, same) not in self.masks:
+            self.masks[label, same] = (self.labels == label) == same
+        return self.masks[label, same]
+
+    def nearest(self, anchor: np.ndarray, least: list[float], most: list[float], label: int, same: bool, own: int | None, lows: list[int], highs: list[int], k: int) -> list[tuple[int, int, int]]:
+        """(window, score, id): for each window of scores the first k rows with the anchor's label, or with another one.
+
+        All windows of an anchor share one walk: the nearest node comes next, and the walk ends where no window can gain from it. ``least`` and ``most`` bound the scores of each node.
+        """
+        best: list[list[tuple[int, int]]] = [[] for _ in lows]
+        # What a row must reach to count for a window; an empty window wants nothing.
+        floors = [low if low <= high else FAR * 4 for low, high in zip(lows, highs)]
+        wanted = self.asked(label, same)
+        heap: list[tuple[float, int]] = [(-most[0], 0)]
+        while heap:
+            bound, at = heapq.heappop(heap)
+            if -bound < min(floors):
+                break
             first, end, _, _, _, _, children = self.nodes[at]
             for child in children:
                 held = self.only[child]
-                if most[child] >= low and least[child] <= high and (label in held if same else held != {label}):
-                    heapq.heappush(heap, (-most[child], 0, child))
+                if (label in held if same else held != {label}) and any(most[child] >= f and least[child] <= h for f, h in zip(floors, highs)):
+                    heapq.heappush(heap, (-most[child], child))
             if children:
                 continue
             scores = products(self.vectors[first:end], anchor[None], self.exact)[:, 0]
-            fits = np.flatnonzero(((self.labels[first:end] == label) == same) & (scores >= low) & (scores <= high))
-            best = heapq.nsmallest(k, ((-int(scores[r]), i) for r in fits.tolist() for i in self.ids[first + r] if i != own))
-            for less, i in best:
-                heapq.heappush(heap, (less, 1, i))
-        return found
+            scores[~wanted[first:end]] = -2 * FAR
+            for w, high in enumerate(highs):
+                if most[at] < floors[w] or least[at] > high:
+                    continue
+                fits = np.flatnonzero((scores >= floors[w]) & (scores <= high))
+                if len(fits) > 2 * k:  # rows as good as the one at place 2k, ties included
+                    fits = fits[scores[fits] >= np.partition(scores[fits], -2 * k)[-2 * k]]
+                if len(fits):
+                    new = ((-int(scores[r]), i) for r in fits.tolist() for i in self.ids[first + r] if i != own)
+                    best[w] = heapq.nsmallest(k, [*best[w], *new])
+                    if len(best[w]) == k:
+                        floors[w] = max(floors[w], -best[w][-1][0])
+        return [(w, -less, i) for w, rows in enumerate(best) for less, i in rows]
 
 
 class Index:
     """The placed rows in blocks, and what is needed to ask them."""
 
-    def __init__(self, good: DataFrame, k: int):
+    def __init__(self, good: DataFrame, k: int, block: int = BLOCK, bunch: int = BUNCH):
         """``good``: vec_id, label, vector. ``k``: the most rows that are asked for."""
+        self.bunch = bunch
         spark = good.sparkSession
-        sizes = good.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).orderBy(F.desc("n"), "length").limit(1).collect()
+        sizes = good.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm")).orderBy(F.desc("n"), "length").limit(1).collect()
         self.empty = not sizes
         if self.empty:
             return
@@ -221,7 +241,7 @@ class Index:
         kind = self.kind = "int" if self.largest < 2**60 else "long"
         good = good.filter(F.size("vector") == self.length).withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
         self.rows = good
-        wanted = min(MOST_LEAVES, -(-total // BLOCK))
+        wanted = min(MOST_LEAVES, -(-total // block))
         sample = good.orderBy(F.xxhash64("vector"), "vec_id").limit(SAMPLE).select("vector").toArrow() if wanted > 1 else None
         self.top = TopTree(np.unique(augmented(matrix(sample.column("vector")), self.largest), axis=0) if sample else np.zeros((0, self.length + 1)), wanted)
         top, largest = self.top, self.largest
@@ -244,7 +264,7 @@ class Index:
         near = [f(F.try_element_at("above", F.lit(d + 1))).alias(f"{name}{d}") for d in range(depth) for f, name in ((F.min, "low"), (F.max, "high"))]
         measured = placed.groupBy("leaf").agg(F.count("*").alias("n"), *near).collect()  # one row a leaf, MOST_LEAVES at most
         self.spans = {r["leaf"]: [(r[f"low{d}"], r[f"high{d}"]) for d in range(len(top.paths[r["leaf"]]))] for r in measured}
-        self.parts = {r["leaf"]: -(-r["n"] // BLOCK) for r in measured}
+        self.parts = {r["leaf"]: -(-r["n"] // block) for r in measured}
         starts = np.cumsum([0, *self.parts.values()])
         self.first = dict(zip(self.parts, starts.tolist()))
         self.n_blocks = int(starts[-1])
@@ -281,7 +301,7 @@ class Index:
 
         fields = f"key long, own long, label long, vector array<{kind}>, lows array<long>, highs array<long>"
         sent, _ = save(asking.select("key", "own", "label", "vector", "lows", "highs").mapInArrow(reach, f"{fields}, blocks array<int>"), "asking")
-        bunches = max(1, -(-sent.count() // BUNCH))
+        bunches = max(1, -(-sent.count() // self.bunch))
         nothing = F.array().cast("array<long>")
         asked = sent.select(F.explode("blocks").alias("block"), F.pmod(F.xxhash64("key"), F.lit(bunches)).cast("int").alias("bunch"), F.lit(1).alias("kind"), "key", "own", "label", "vector", nothing.alias("ids"), "lows", "highs")
         every = F.explode(F.sequence(F.lit(0), F.lit(bunches - 1))).alias("bunch")
@@ -311,17 +331,15 @@ class Index:
                     keys, own, labels, lows, highs = (part.column(c).to_pylist() for c in ("key", "own", "label", "lows", "highs"))
                     out = []
                     for r in range(len(v)):
-                        near, far = most[r].tolist(), least[r].tolist()
-                        for w, (low, high) in enumerate(zip(lows[r], highs[r])):
-                            if low <= high:
-                                out += [(keys[r], w, block, -s, i) for s, i in tree.nearest(v[r], far, near, labels[r], same, own[r] if same else None, low, high, k)]
+                        found = tree.nearest(v[r], least[r].tolist(), most[r].tolist(), labels[r], same, own[r] if same else None, lows[r], highs[r], k)
+                        out += [(keys[r], w, block, -score, i) for w, score, i in found]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "w", "part", "less", "id"])
 
         return save(met.mapInArrow(search, "key long, w long, part long, less long, id long"), "found")[0]
 
 
-def mine(rows: DataFrame, anchors, positives: int = POSITIVES, negatives: int = NEGATIVES, window: tuple[int, int] = WINDOW) -> DataFrame:
+def mine(rows: DataFrame, anchors, positives: int = POSITIVES, negatives: int = NEGATIVES, window: tuple[int, int] = WINDOW, *, block: int = BLOCK, bunch: int = BUNCH) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score, from ``rows`` (vec_id, label, vector of whole numbers).
 
     ``anchors`` is the condition that chooses anchors. Their positives are the first other rows of their label; for each of these
@@ -329,7 +347,7 @@ def mine(rows: DataFrame, anchors, positives: int = POSITIVES, negatives: int =
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    index = Index(rows, max(positives, negatives))
+    index = Index(rows, max(positives, negatives), block, bunch)
     if index.empty:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     chosen = index.rows.filter(anchors).dropDuplicates(["vec_id", "label", "vector"])
@@ -344,8 +362,9 @@ def mine(rows: DataFrame, anchors, positives: int = POSITIVES, negatives: int =
         near = near.unionByName(index.ask(bounded, True, positives, False))
     pairs, _ = save(best_of(near, ["key"], ["less", "id"], positives, index.n_blocks).select("key", (F.col("rank") - 1).cast("long").alias("w"), F.col("id").alias("positive_id"), (-F.col("less")).alias("positive_score")), "positives")
     # Whole bounds, rounded up and down; a window without room has its low end above its high one.
-    rounded = lambda x: F.expr(f"({x} - pmod({x}, 100L)) div 100")
-    windows = pairs.withColumns({"low": -rounded(f"({-window[0]} * positive_score)"), "high": rounded(f"({window[1]} * positive_score)")})
+    # Hundreds and the rest apart, so that nothing overflows.
+    hundreds, rest = F.expr("(positive_score - pmod(positive_score, 100L)) div 100"), F.expr("pmod(positive_score, 100L)")
+    windows = pairs.withColumns({"low": window[0] * hundreds + F.ceil(window[0] * rest / 100), "high": window[1] * hundreds + F.floor(window[1] * rest / 100)})
     gathered = windows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("w", "low", "high"))).alias("s")).select("key", F.col("s.low").alias("lows"), F.col("s.high").alias("highs"))
     hard = best_of(index.ask(chosen.join(gathered, "key"), False, negatives), ["key", "w"], ["less", "id"], negatives, index.n_blocks)
     named = hard.join(pairs, ["key", "w"]).join(chosen.select("key", F.col("own").alias("anchor_id")), "key")
