@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .greedy import diverse
+
 DOUBLE = "double"
 
 
@@ -240,7 +242,7 @@ def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, l
     dropped, conflicts flagged, rare graphs raised, ranks from 0.
 
     ``hits``: query_id, kg_id, node_id, node_type, description, embedding (may be null), score. All hits take part. A hit goes or
-    stays by what better ones of its query stayed, so the hits of one query are compared in one place.
+    stays by what better ones of its query stayed (``greedy.diverse``).
     A null score counts as 0; z-scores may be negative, and are multiplied as they are. Ties go to the smaller graph and node.
     """
     by_graph = Window.partitionBy("query_id", "kg_id")
@@ -249,7 +251,7 @@ def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, l
     z = (F.col("score") - F.avg("score").over(by_graph)) / F.when(spread < 1e-8, 1.0).otherwise(spread)
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in authority.items() for x in pair]), F.col("kg_id")), F.lit(1.0)) if authority else F.lit(1.0)
     scored = placed.withColumn("score", (z + 1.0 / (60 + F.col("place"))) * weight)
-    kept = scored.groupBy("query_id").applyInPandas(lambda rows: _survivors(rows, threshold), scored.schema)
+    kept = diverse(scored, ["query_id"], "kg_id", [F.desc("score"), F.col("kg_id"), F.col("node_id")], "embedding", threshold)
     alike = Window.partitionBy("query_id", "node_type", F.substring("description", 1, 50))
     conflict = F.min("kg_id").over(alike) != F.max("kg_id").over(alike)
     share = F.count("*").over(by_graph) / F.count("*").over(Window.partitionBy("query_id"))
@@ -258,26 +260,6 @@ def fuse(hits: DataFrame, authority: dict[str, float], threshold: float = 1.0, l
     return final.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "kg_id", "node_id")) - 1).select("query_id", "kg_id", "node_id", "score", "conflict", "rank")
 
 
-def _survivors(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Best first, drop a hit whose cosine with a kept one of another graph reaches the threshold."""
-    rows = rows.sort_values(["score", "kg_id", "node_id"], ascending=[False, True, True])
-    units: dict[str, np.ndarray] = {}  # kept ones of each graph, in arrays that double
-    sizes: dict[str, int] = {}
-    keep = []
-    for vector, graph in zip(rows["embedding"], rows["kg_id"]):
-        if vector is not None and np.linalg.norm(vector) > 0:
-            unit = np.asarray(vector, float) / np.linalg.norm(vector)
-            if any(g != graph and (u[: sizes[g]] @ unit >= threshold).any() for g, u in units.items()):
-                keep.append(False)
-                continue
-            n = sizes.get(graph, 0)
-            if n == len(units.get(graph, ())):
-                units[graph] = np.concatenate([units[graph], np.zeros_like(units[graph])]) if n else np.zeros((16, len(unit)))
-            units[graph][n], sizes[graph] = unit, n + 1
-        keep.append(True)
-    return rows[keep]
-
-
 def _moments(pairs: DataFrame, dim: int, cross: bool) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean difference, and either the cross product of the two sides or the covariance sum of their difference.
 

@@ -1,10 +1,7 @@
-"""Views for people and gates over a whole graph: filtered selections, health, question graphs, the dedup composition, redundant messages and pending work."""
+"""Views for people and gates over a whole graph: filtered selections, health, question graphs, the dedup composition and pending work."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,41 +67,6 @@ def deduplicated(nodes: DataFrame, edges: DataFrame, canonical: DataFrame) -> tu
     return kept, rewire(edges, mapping)
 
 
-def without_redundant(messages: DataFrame, key: str, order: str, most: float) -> DataFrame:
-    """(key, order) of the messages that stay: one whose words overlap (Jaccard) by more than ``most`` with a kept one goes, or takes its place if it is more confident. Inputs: content, confidence.
-
-    What stays depends on what stayed before, so a key's messages are gone through in order; what is held of a key is what stays of it.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, kept = None, []
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(name, k[0]) for k in kept], columns=[key, order])
-
-        for frame in frames:
-            for who, at, text, sure in zip(frame[key], frame[order], frame["content"], frame["confidence"]):
-                if kept and who != name:
-                    yield out()
-                    kept = []
-                name = who
-                words = set((text or "").lower().split())
-                for j, (_, held, other) in enumerate(kept):
-                    union = len(words | held)
-                    if union and len(words & held) / union > most:
-                        if sure > other:
-                            del kept[j]
-                            kept.append((at, words, sure))
-                        break
-                else:
-                    kept.append((at, words, sure))
-        if kept:
-            yield out()
-
-    return messages.select(key, order, "content", "confidence").repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}")
-
-
 def pending(entries: DataFrame, done: DataFrame, key: str, order: list[str], retries: int, limit: int) -> DataFrame:
     """The first ``limit`` entries to try again, oldest first: those not done that have been tried ``retries`` times at most. Others stay in the table and are never dropped. Inputs: attempts."""
     return entries.join(done.select(key), key, "left_anti").filter(F.col("attempts") <= retries).orderBy(*order).limit(limit)

@@ -233,12 +233,23 @@ def embed_simple(spark, sf_dir):
     return retrieval.bag_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    """WITH RECURSIVE h AS (SELECT label AS query_id, 'kg' || (vec_id % 3) AS kg_id, CAST(vec_id AS VARCHAR) AS node_id, CAST(vec_id % 7 AS VARCHAR) AS node_type, 'node ' || (vec_id % 7) AS description, CAST(embedding AS DOUBLE[]) AS v, coalesce(CAST(embedding[1] AS DOUBLE), 0) AS score FROM embeddings),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, kg_id ORDER BY score DESC, node_id) - 1 AS place, stddev_pop(score) OVER w AS sd, avg(score) OVER w AS mean FROM h WINDOW w AS (PARTITION BY query_id, kg_id)),
+s AS (SELECT query_id, kg_id, node_id, node_type, description, v, ((score - mean) / CASE WHEN sd < 1e-8 THEN 1 ELSE sd END + CAST(1 AS DOUBLE) / (60 + place)) * CASE WHEN kg_id = 'kg1' THEN 1.5 ELSE 1 END AS score FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kg_id, node_id) AS k FROM s),
+g AS (SELECT query_id, k, [{'kg': kg_id, 'v': v, 'k': k}] AS kept FROM o WHERE k = 1
+UNION ALL SELECT o.query_id, o.k, CASE WHEN len(list_filter(g.kept, lambda x: x.kg <> o.kg_id AND list_cosine_similarity(x.v, o.v) >= 0.5)) > 0 THEN g.kept ELSE list_append(g.kept, {'kg': o.kg_id, 'v': o.v, 'k': o.k}) END FROM g JOIN o ON o.query_id = g.query_id AND o.k = g.k + 1),
+t AS (SELECT query_id, unnest(arg_max(kept, k)).k AS k FROM g GROUP BY query_id),
+c AS (SELECT o.*, min(kg_id) OVER w <> max(kg_id) OVER w AS conflict, count(*) OVER (PARTITION BY query_id, kg_id) / CAST(count(*) OVER (PARTITION BY query_id) AS DOUBLE) AS share FROM o JOIN t USING (query_id, k) WINDOW w AS (PARTITION BY query_id, node_type, substr(description, 1, 50))),
+f AS (SELECT query_id, kg_id, node_id, conflict, CASE WHEN share < 0.34 THEN score * least(0.34 / (share + 1e-8), 2.0) ELSE score END AS score FROM c)
+SELECT query_id, kg_id, node_id, round(score, 6) AS score, conflict, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kg_id, node_id) - 1 AS INTEGER) AS rank FROM f"""
+)
 def fed_merge(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     kind = (F.col("vec_id") % 7).cast("string")
     hits = vectors.select(F.col("label").alias("query_id"), F.concat(F.lit("kg"), (F.col("vec_id") % 3).cast("string")).alias("kg_id"), F.col("vec_id").cast("string").alias("node_id"), kind.alias("node_type"), F.concat(F.lit("node "), kind).alias("description"), "embedding", F.element_at("embedding", 1).cast("double").alias("score"))
-    return retrieval.fuse(hits, {"kg1": 1.5}, threshold=0.5, least_share=0.34)
+    return retrieval.fuse(hits, {"kg1": 1.5}, threshold=0.5, least_share=0.34).withColumn("score", F.round("score", 6))
 
 
 def vector_pairs(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..graphview import SQL_GEO, SQL_NODES, geo_edges, nodes, table
-from ..operators import reports, views
+from ..operators import greedy, reports, views
 from .reports import RISK, SQL_RISK, modules
 
 QUERIES: dict = {}
@@ -66,10 +66,16 @@ def dedup_pipeline(spark, sf_dir):
     return views.deduplicated(nodes(spark, sf_dir), geo_edges(spark, sf_dir), canonical)[1]
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE m AS (SELECT o_custkey, o_orderkey AS o, list_distinct(list_filter(regexp_split_to_array(lower(o_orderstatus || ' ' || o_orderpriority), '\s+'), lambda w: w <> '')) AS w, CAST(o_totalprice AS DOUBLE) / 1e6 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+s AS (SELECT o_custkey, k, [{'o': o, 'w': w, 'c': c}] AS kept FROM m WHERE k = 1
+UNION ALL SELECT o_custkey, k, CASE WHEN hit IS NULL THEN list_append(kept, new) WHEN new.c > kept[hit].c THEN list_append(list_concat(kept[:hit - 1], kept[hit + 1:]), new) ELSE kept END
+FROM (SELECT m.o_custkey, m.k, s.kept, {'o': m.o, 'w': m.w, 'c': m.c} AS new, list_filter(range(1, len(s.kept) + 1), lambda i: len(list_intersect(s.kept[i].w, m.w)) > 0.5 * len(list_distinct(list_concat(s.kept[i].w, m.w))))[1] AS hit FROM s JOIN m ON m.o_custkey = s.o_custkey AND m.k = s.k + 1))
+SELECT o_custkey, unnest(arg_max(kept, k)).o AS o_orderkey FROM s GROUP BY o_custkey"""
+)
 def token_redundancy(spark, sf_dir):
     messages = table(spark, sf_dir, "orders").select(F.col("o_custkey"), F.col("o_orderkey"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("content"), (F.col("o_totalprice") / 1e6).alias("confidence"))
-    return views.without_redundant(messages, "o_custkey", "o_orderkey", 0.5)
+    return greedy.without_redundant(messages, "o_custkey", "o_orderkey", 0.5)
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <= 2 ORDER BY ts, event_id LIMIT 50")

@@ -9,13 +9,6 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
-def test_redundant_messages_go_or_take_the_place(spark):
-    data = [("a", 1, "x y", 0.5), ("a", 2, "y x", 0.9), ("a", 3, "z", 0.1), ("a", 4, "x y", 0.2), ("b", 1, "x y", 0.1), ("b", 2, None, 0.1), ("c", 1, "q", 1.0)]
-    df = spark.createDataFrame(data, "k string, o int, content string, confidence double")
-    assert rows(views.without_redundant(df, "k", "o", 0.6)) == [("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 1)]
-    assert views.without_redundant(df.limit(0), "k", "o", 0.6).count() == 0
-
-
 def test_dedup_keeps_the_first_and_the_longest_text(spark):
     nodes = spark.createDataFrame([("a", "x"), ("b", "longer"), ("c", None), ("d", "alone")], "id string, description string")
     edges = spark.createDataFrame([("b", "d", "R"), ("a", "d", "R"), ("a", "b", "R")], "src string, dst string, relationship string")
