@@ -64,9 +64,9 @@ def default_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def found_samples(docs: DataFrame, bound: int = LEARNED) -> DataFrame:
-    """Labelled strings (text, secret) from about ``bound`` rows, each chosen by a hash of its place: what the fixed patterns find, and other tokens."""
+    """Labelled strings (text, secret) from about ``bound`` rows, each chosen by a hash of its id (where there is one) and text, so that the layout of partitions decides nothing: what the fixed patterns find, and other tokens."""
     share = min(1.0, bound / max(1, docs.count()))
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), *[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(1 << 30)) < int(share * (1 << 30))
     some = docs.filter(chosen).filter("text IS NOT NULL").select("text")
     hidden = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
@@ -77,10 +77,16 @@ def found_samples(docs: DataFrame, bound: int = LEARNED) -> DataFrame:
     return secrets.unionByName(plain)
 
 
+def neighbours(values: Column, merge) -> Column:
+    """What ``merge`` makes of each value and the next."""
+    n = F.size(values) - 1
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), merge)
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log ratio of each pair of characters, in the alphabet's order: how much likelier after the first the second is in secrets. Add-one smoothing."""
-    places = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda k: F.substring("text", k, F.lit(2)))
-    pairs = samples.filter(F.length("text") > 1).select("secret", F.explode(places).alias("p"))
+    letters = F.split("text", "")
+    pairs = samples.filter(F.length("text") > 1).select("secret", F.explode(let(letters, lambda x: neighbours(x, lambda a, b: F.concat(a, b)))).alias("p"))
     counted = pairs.groupBy("p").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o"))
     got = {r["p"]: (r["s"], r["o"]) for r in counted.filter(F.col("p").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()}
     n, out = len(ALPHABET), []
@@ -99,11 +105,10 @@ def fitted(docs: DataFrame) -> list[float]:
 def ratio(token: Column, table: Column) -> Column:
     """Log-likelihood ratio of a token a pair of its characters."""
 
-    def place(k: Column) -> Column:
-        return F.call_function("locate", F.substring(token, k, F.lit(1)), F.lit(ALPHABET))
-
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda total, k: total + F.element_at(table, (place(k) - 1) * len(ALPHABET) + place(k + 1))) / F.size(steps)
+    # The token is split once: looking characters up by their place would start from its beginning each time.
+    places = F.transform(F.split(token, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    steps = let(places, lambda p: neighbours(p, lambda a, b: F.element_at(table, (a - 1) * len(ALPHABET) + b)))
+    return let(steps, lambda s: F.aggregate(s, F.lit(0.0), lambda total, x: total + x) / F.size(s))
 
 
 def running(values: Column, merge, chunk: int = 256) -> Column:
@@ -168,17 +173,19 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark. Null texts stay null."""
     found = scan(docs, **options)
     spans = F.array_sort(F.concat("base_spans", "added_spans"))
-    def rest(s: Column) -> Column:
-        """What stands between the spans, with a mark for each group of spans that overlap or touch no text."""
+
+    def rest(s: Column, letters: Column) -> Column:
+        """What stands between the spans, with a mark for each group of spans that overlap or touch no text. The text is split once into its characters, so a span costs its length."""
 
         def pieces(upto: Column) -> Column:
-            kept = lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), F.lit(mark))).otherwise("")
+            between = lambda at, end: F.array_join(F.slice(letters, at + 1, F.greatest(end - at, F.lit(0))), "")
+            kept = lambda x, at: F.when(x["start"] >= at, F.concat(between(at, x["start"]), F.lit(mark))).otherwise("")
             last = F.array_max(F.transform(s, lambda x: x["end"]))
-            return F.concat(F.array_join(F.zip_with(s, upto, kept), ""), F.substring(F.col("text"), last + 1, F.length("text") - last))
+            return F.concat(F.array_join(F.zip_with(s, upto, kept), ""), between(last, F.size(letters)))
 
         return let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), pieces)
 
-    return found.withColumn("text", F.when(F.size("base_spans") + F.size("added_spans") > 0, let(spans, rest)).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("base_spans") + F.size("added_spans") > 0, let(F.split("text", ""), lambda letters: let(spans, lambda s: rest(s, letters)))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op7_secrets(docs: DataFrame) -> DataFrame:

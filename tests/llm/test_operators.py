@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -318,6 +319,40 @@ def test_line_dedup_against_all_pairs_of_places(spark):
     assert Counter(map(tuple, got)) == Counter(brute_dedup(rows, 50))
 
 
+def test_line_dedup_with_runs_of_blank_lines_against_all_pairs(spark):
+    rng = np.random.default_rng(22)
+    pool = [*(" ".join(f"{k}_{j}" for j in range(int(rng.integers(8, 40)))) for k in range(4)), " ".join(f"z{j}" for j in range(55))]
+    rows = []
+    for k in range(14):
+        lines = []
+        for x in rng.integers(0, len(pool), 4):
+            lines += [pool[int(x)], *rng.choice(["", "", "", " "], int(rng.choice([0, 1, 3, 20, 60]))).tolist()]
+        rows.append((k // 2, "\n".join([""] * int(rng.integers(0, 3)) + lines)))
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_dedup(rows, 50))
+
+
+def test_line_dedup_of_a_million_blank_lines(spark):
+    passage = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, passage + "\n" * 1_000_000 + passage), (2, "own words\n" + passage + "\n" * 1_000_000 + "end"), (3, passage + "\n" * 20_000)]
+    got = {r["doc_id"]: (r["deleted_lines"], r["text"].strip("\n")) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # The second passage of document 1 repeats its first; document 2 repeats it with 999,999 blank lines after it; document 3 is all copied.
+    assert got[1] == (1, passage) and got[2] == (1_000_000, "own words\nend") and got[3] == (20_001, "")
+
+
+def test_run_hashes_tell_runs_apart():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(-(2**63), 2**63, 5, np.int64)[rng.integers(0, 5, 400)]
+    hashes[100:250] = hashes[0]
+    first = rng.integers(0, 399, 20_000)
+    end = first + 1 + (rng.random(20_000) * (400 - first)).astype(int)
+    got = linededup.run_hashes(hashes, first, end)
+    by = defaultdict(set)
+    for key, a, b in zip(got.tolist(), first.tolist(), end.tolist()):
+        by[key].add(hashes[a:b].tobytes())
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({x for s in by.values() for x in s})
+
+
 # 5
 
 
@@ -548,6 +583,34 @@ def test_secret_model_on_held_out_strings(spark, docs):
         assert (found or strings is held) and found >= 0.95 * (found + missed) and wrong <= 0.05 * max(found, 1)
 
 
+def test_secret_model_does_not_depend_on_the_layout(spark, docs):
+    weights = [secrets.fitted(docs.repartition(n)) for n in (1, 3, 7)]
+    assert weights[0] == weights[1] == weights[2]
+    spans = [Counter(map(tuple, secrets.op7_secrets(docs.repartition(n)).collect())) for n in (1, 3)]
+    assert spans[0] == spans[1]
+
+
+def test_secrets_without_their_keyword_are_found(spark, docs):
+    """Values that only a keyword gives away to the fixed patterns: with another word before them the model must find them, and little else."""
+    rows = [(i, re.sub(r"(?i)(password|passwd|secret|token|api_?key)", "entry", t)) for i, t in texts(docs)]
+    planted = [m[2] for _, t in texts(docs) for m in re.finditer(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{20,})""", t) if re.search("[0-9]", m[2]) and re.search("[A-Za-z]", m[2])]
+    found = secrets.op7_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = sum(r["spans"].count("random:") for r in found)
+    assert 0.9 * len(planted) <= added + sum(r["n_hex"] + r["n_access"] for r in found)
+    clean = secrets.op7_secrets(docs).collect()
+    assert sum(r["spans"].count("random:") for r in clean) <= 0.01 * len(clean)
+
+
+def test_long_tokens_and_many_spans_take_linear_time(spark):
+    token = ("zZ9k3QpX7vLm2Rt8Wq1Yb6Nc0" * 42_000)[:1_000_000]
+    weights = secrets.train(secrets.default_samples(spark))
+    df = spark.createDataFrame([(1, token), (2, "token: abcdefghijklmnop " * 5000)], "doc_id long, text string")
+    secrets.redact(df.limit(1), table=weights).collect()
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df, table=weights).collect()}
+    assert got == {1: "[SECRET]", 2: "[SECRET] " * 5000} and time.time() - began < 20
+
+
 def plain_ratio(token, weights):
     at = {c: k for k, c in enumerate(secrets.ALPHABET)}
     return sum(weights[at[a] * len(at) + at[b]] for a, b in zip(token, token[1:])) / (len(token) - 1)

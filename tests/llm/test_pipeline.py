@@ -4,6 +4,7 @@ import importlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from graphloom.llm.common import table
@@ -64,7 +65,23 @@ def test_run_packs_everything_that_is_left(spark, sf):
     assert used and all(sum(n for _, n in parts) <= 2048 for parts in used.values())
 
 
-def test_registered_queries_are_the_eleven():
+def test_registered_queries():
     queries = importlib.import_module("graphloom.llm.queries")
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+CLASHES = ["lines", "__lines", "deleted_lines", "score", "lang_pred", "held_out", "base_spans", "added_spans", "key", "row", "component", "first", "t", "u", "rep", "a", "b", "h", "set", "part", "__id", "__null", "__text_hash", "a.b", "`"]
+
+
+def test_stages_with_columns_named_like_their_own(spark, odd):
+    names = [c for c in CLASHES if c not in odd.columns]
+    wide = odd.select("*", *[F.lit(f"mine {k}").alias(c) for k, c in enumerate(names)])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        plain = Counter((r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in stage(spark, odd, "").collect())
+        rows = out.collect()
+        assert Counter((r["doc_id"], r["text"], r["lang"], r["n_chars"]) for r in rows) == plain, name
+        assert all(r[len(odd.columns) + k] == f"mine {k}" for r in rows for k in range(len(names))), name
+    assert cp.STAGES[-1][1](spark, wide, "").count() == cp.STAGES[-1][1](spark, odd, "").count()
