@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, linededup, packing, secrets, simhash
@@ -19,37 +19,53 @@ from graphloom.llm.tokens import vocabulary_path
 LEAST_SCORE = 0.5
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one struct, so that no name clashes with an operator's own columns."""
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(None).alias("none")]).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, those in ``new`` computed anew."""
+
+    def named(c: str) -> Column:
+        value = F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c)
+        return (new[c] if c in new else value).alias(c)
+
+    return rows.select(*map(named, docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the model knows; ``lang`` stays as it was. Texts without a letter, null and empty ones go; an empty table stays empty."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.predict(packed(docs), langid.fit(docs))
+    return unpacked(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later repeated runs of lines; documents of which nothing with a word is left go. Null texts, and empty ones that were so before, stay."""
-    cleaned = linededup.dedup_lines(docs)
+    cleaned = linededup.dedup_lines(packed(docs))
     gone = (F.col("deleted_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.filter(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("deleted_lines") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(cleaned.filter(~F.coalesce(gone, F.lit(False))), docs, n_chars=n_chars)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar ones stays: the one with the smallest id (null ids last, of equal ids one row). Null and empty texts are one group."""
-    rows, _ = save(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    found = simhash.similar_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text"))
-    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__key"))
+    rows, _ = save(packed(docs).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    found = simhash.similar_rows(rows.select("key", "doc_id", "text"))
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
     # The chosen keys grow with the input, so they are not broadcast at any size.
-    return rows.join(chosen.hint("merge"), "__key", "left_semi").select(*docs.columns)
+    return unpacked(rows.join(chosen.hint("merge"), "key", "left_semi"), docs)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by a mark; every document stays, null texts as they are."""
-    cleaned = secrets.redact(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return unpacked(secrets.redact(packed(docs)), docs, n_chars=F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 2048 tokens; null and empty texts are a piece of the end id. An empty table gives no pieces."""
-    return packing.op2_packed(docs, vocabulary_path("word_bpe_49k.json"))
+    return packing.op2_packed(packed(docs), vocabulary_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
