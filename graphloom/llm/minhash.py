@@ -4,9 +4,9 @@ One hash of each shingle is the permutation: its range is cut into ``BINS`` bins
 bin that its own sequence of random places reaches first (optimal densification), so all bins agree with a chance of the Jaccard similarity, for short
 texts too. Bins make 25 bands of five; texts that share a band are candidates: at a similarity of 0.8 a pair is missed with a chance of (1 - 0.8 ** 5) ** 25, 0.00005.
 
-Each bucket of a band is a star: its smallest class is joined to the others, so there are fewer pairs than entries. A pair goes on if at least ``AGREE`` of the 125 bins agree
+Each bucket of a band is a star: its class that meets most others in all its buckets is joined to the others, so there are fewer pairs than entries. A pair goes on if at least ``AGREE`` of the 125 bins agree
 (64 in a hundred, four and a half standard deviations below 0.8), and is a link if the full sets of shingles reach the similarity. Stars alone would lose links between members that are far from the
-middle, so what they leave open is settled exactly: buckets whose members are not in one component by then compare members of different components, large buckets in blocks. No pair is capped or sampled.
+middle, so what they leave open is settled exactly: buckets whose members are not in one component by then compare members of different components, unless what each has in common with the middle rules the pair out. No pair is capped or sampled.
 
 Documents with equal sets are one class, so copies are indexed once, however many.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import blocks, bounded_batches, save
+from .simhash import overlap, possible
 
 SHINGLE = 4
 #: The least similarity in hundredths.
@@ -146,19 +147,33 @@ def part_of(links: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(known, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
 
 
-def unsettled_pairs(posted: DataFrame, signed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b, measure) of different components that share a bucket and agree in enough bins.
+def missing(rows: DataFrame, classes: DataFrame, asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` and those of the classes in ``asked`` (rep) that it lacks."""
+    return sets.union(spelled(rows, classes.join(asked.join(sets.select("rep"), "rep", "left_anti"), "rep")))
 
-    Members of buckets with more than one component meet; a large bucket is cut into blocks, each of which meets all its members.
-    """
+
+def unsettled(posted: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (h, rep, centre, part, blocks) of the buckets that hold more than one component, without the centres; ``blocks``: into how many a bucket is cut."""
     placed = posted.join(parts, "rep")
     counted = placed.groupBy("h").agg(F.count("*").alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members, _ = save(placed.join(counted, "h"), "unsettled")
-    wide = members.join(signed, "rep")
-    left = wide.select("h", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("x"))
-    right = wide.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("y"))
-    met = left.join(right, ["h", "block"]).filter("a < b AND pa <> pb")
-    return met.select("a", "b", agreement("x", "y").alias("measure")).filter(F.col("measure") >= AGREE).distinct()
+    return save(placed.join(counted, "h").filter("rep <> centre").select("h", "rep", "centre", "part", "blocks"), "unsettled")[0]
+
+
+def open_pairs(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket, may reach the similarity by what is known of each and the bucket's centre, and agree in enough bins.
+
+    Each member is compared with its centre once; bits of what it lacks of the centre and has besides rule out pairs without comparing them, so members that share little but the centre's words make no pairs.
+    A large bucket is cut into blocks, each of which meets all its members.
+    """
+    pivots = members.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    known, _ = save(overlap(pivots, sets, sketched=True).withColumnsRenamed({"a": "centre", "b": "rep"}), "sketched")
+    wide = members.join(known, ["centre", "rep"]).join(signed, "rep")
+    x = wide.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("x")
+    y = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.block"))
+    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part"))
+    met = x.join(y, same & apart & possible("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), agreement("x.sig", "y.sig").alias("measure"))
+    return met.filter(F.col("measure") >= AGREE).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,8 +188,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("sig", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])
     every = signed.select("rep", F.explode(bands).alias("h"))
-    centres = every.groupBy("h").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("h", "centre")
-    posted, _ = save(every.join(centres, "h"), "posted")
+    sizes = every.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    sized, _ = save(every.join(sizes, "h"), "sized")
+    # The class that meets most others, in all its buckets, is the likeliest to be like them.
+    meets = sized.groupBy("rep").agg(F.sum("size").alias("meets"))
+    placed, _ = save(sized.join(meets, "rep").select("h", "rep", "meets"), "placed")
+    centres = placed.groupBy("h").agg(F.min_by("rep", F.struct(-F.col("meets"), "rep")).alias("centre"))
+    posted, _ = save(placed.join(centres, "h"), "posted")
     stars = posted.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     edges, _ = save(measured(stars, signed, "sig", agreement("x", "y")).filter(F.col("measure") >= AGREE), "edges")
 
@@ -186,11 +206,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts, _ = save(part_of(links, posted.select("rep").distinct()), "parts")
 
     ends = edges.select("a", "b").join(best, ["a", "b"], "left_anti").join(parts.select(F.col("rep").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("pb")), "b")
-    open_ = unsettled_pairs(posted.select("h", "rep"), signed, parts).select("a", "b").join(edges.select("a", "b"), ["a", "b"], "left_anti")
-    rest, _ = save(ends.filter("pa <> pb").select("a", "b").union(open_).distinct(), "rest")
-    new = rest.select(F.col("a").alias("rep")).union(rest.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
-    more = spelled(rows, classes.join(new, "rep"))
-    every_link, _ = save(links.union(confirmed(rest, sets.union(more))), "links")
+    members = unsettled(posted, parts)
+    sets = missing(rows, classes, members.select("rep").union(members.select("centre")).distinct(), sets)
+    asked = open_pairs(members, signed, sets).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    rest, _ = save(ends.filter("pa <> pb").select("a", "b").union(asked).distinct(), "rest")
+    every_link, _ = save(links.union(confirmed(rest, sets)), "links")
 
     named = part_of(every_link, classes.select("c1", "c2", "rep"))
     roots, _ = save(printed.filter("n > 0").join(named, ["c1", "c2"]).groupBy("part").agg(F.min("doc_id").alias("component_id")).join(named, "part").select("c1", "c2", "component_id"), "roots")

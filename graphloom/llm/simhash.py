@@ -308,7 +308,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def sketch(values: Column, word: int) -> Column:
     """64 of the bits of ``values``' sketch: each value sets one bit of all."""
-    return F.aggregate(F.filter(values, lambda v: F.pmod(F.shiftright(v, 6), F.lit(SKETCH)) == word), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)))))
+    return F.aggregate(F.filter(values, lambda v: F.pmod(F.shiftright(v, 6), F.lit(SKETCH)) == word), F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def overlap(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
