@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ UNKNOWN = "und"
 PER_LANGUAGE, DOCUMENTS = 1000, 20_000
 LONGEST_GRAM = 4
 #: Unseen words whose scores a worker remembers.
-REMEMBERED = 200_000
-#: Numbers of texts times languages that are scored at once.
-SCORED = 1 << 22
+REMEMBERED = 100_000
+#: Words, and numbers of texts times languages, that are scored at once.
+COUNTED, SCORED = 1 << 16, 1 << 22
 WORDS = regex.compile(r"\p{L}+")
 
 
@@ -154,6 +155,22 @@ class Predictor:
         more = np.bincount(np.repeat(text, lengths) * languages + self.language[at], self.more[at], n * languages)
         return used @ self.least + more.reshape(n, languages)
 
+    def total(self, words: list[str]) -> np.ndarray:
+        """``totals`` of one list, by parts if it is long."""
+        return sum(self.totals([words[k : k + COUNTED]]) for k in range(0, len(words), COUNTED))
+
+    def portions(self, found: dict[int, list[str]]) -> Iterator[list[int]]:
+        """Keys of texts that are scored together; a longer text stays alone."""
+        most, some, n = max(1, SCORED // len(self.model.languages)), [], 0
+        for x, words in found.items():
+            if some and (n + len(words) > COUNTED or len(some) == most):
+                yield some
+                some, n = [], 0
+            some.append(x)
+            n += len(words)
+        if some:
+            yield some
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         languages = self.model.languages
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -165,11 +182,8 @@ class Predictor:
             self._fresh()
         if new := [w for w in seen if w not in self.slot]:
             self._learn(new)
-        keys = list(found)
-        step = max(1, SCORED // len(languages))
-        for k in range(0, len(keys), step):
-            some = keys[k : k + step]
-            total = self.totals([found[x] for x in some])
+        for some in self.portions(found):
+            total = self.totals([found[x] for x in some]) if len(some) > 1 else self.total(found[some[0]])
             best = total.argmax(axis=1)
             odds = np.exp(np.maximum(total - total[np.arange(len(some)), best][:, None], -700)).sum(axis=1)
             for x, b, o in zip(some, best.tolist(), odds.tolist()):
