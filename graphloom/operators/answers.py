@@ -170,30 +170,6 @@ def platt(pairs: DataFrame, rounds: int = 100, settled: float = 1e-9) -> tuple[f
     return a, b
 
 
-def isotonic(pairs: DataFrame) -> DataFrame:
-    """(confidence, calibrated): the non-decreasing steps that fit ``correct`` best, one row for each distinct confidence.
-
-    The fit at a point is the largest, over beginnings before it, of the smallest, over ends after it, mean between them; distinct confidences are counted
-    first and pooled by their neighbours in one sweep, whose memory is the distinct confidences rounded to six places (a million at most).
-    """
-    import pandas as pd
-
-    counted = pairs.groupBy(F.round("confidence", 6).alias("confidence")).agg(F.sum(F.col("correct").cast("double")).alias("s"), F.count("*").alias("n"))
-
-    def pool(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("confidence")
-        blocks: list[list[float]] = []
-        for s, n in zip(frame["s"], frame["n"]):
-            blocks.append([s, n, 1])
-            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-                s2, n2, k2 = blocks.pop()
-                blocks[-1] = [blocks[-1][0] + s2, blocks[-1][1] + n2, blocks[-1][2] + k2]
-        fitted = [s / n for s, n, k in blocks for _ in range(k)]
-        return pd.DataFrame({"confidence": frame["confidence"].to_numpy(), "calibrated": fitted})
-
-    return counted.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(pool, "confidence double, calibrated double")
-
-
 def route_federated(hits: DataFrame, registry: DataFrame, query: str, own: str, quorum: int, penalty: float) -> DataFrame:
     """``hits`` of the graphs that answered, with ``normalized``: the score, times ``penalty`` for graphs other than the one that asked; no rows if fewer than ``quorum`` answered.
 
@@ -203,16 +179,3 @@ def route_federated(hits: DataFrame, registry: DataFrame, query: str, own: str,
     met = answered.agg((F.count("*") >= quorum).alias("met"))
     kept = hits.join(answered, "kg_id", "left_semi").crossJoin(F.broadcast(met)).filter("met").drop("met")
     return kept.withColumn("normalized", F.when(F.col("kg_id") == own, F.col("score")).otherwise(F.col("score") * penalty))
-
-
-def learned_weights(corrections: DataFrame, order: list[str], rate: float, floor: float, ceiling: float) -> DataFrame:
-    """(rule, weight, updates): rule weights from 1 after all corrections in order: a wrong one takes away ``rate`` of it, a right one adds ``rate``, between floor and ceiling. Inputs: rule, wrong.
-
-    The result depends on the order, so each rule's verdicts are folded in it; runs of equal verdicts are counted first, so that what is gathered of a rule is its changes of verdict.
-    """
-    by = Window.partitionBy("rule").orderBy(*order)
-    turned = corrections.withColumn("turn", F.coalesce((F.lag("wrong").over(by) != F.col("wrong")).cast("int"), F.lit(0)))
-    runs = turned.withColumn("run", F.sum("turn").over(by)).groupBy("rule", "run").agg(F.count("*").alias("n"), F.max("wrong").alias("wrong"))
-    folded = runs.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("run", "n", "wrong"))).alias("runs"), F.sum("n").alias("updates"))
-    step = lambda w, r: F.when(r["wrong"], F.greatest(w * F.pow(F.lit(1 - rate), r["n"]), F.least(w, F.lit(floor)))).otherwise(F.least(w + r["n"] * rate, F.lit(ceiling)))
-    return folded.select("rule", F.round(F.aggregate("runs", F.lit(1.0), step), 9).alias("weight"), "updates")

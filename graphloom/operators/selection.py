@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: Kinds of nodes that are lessons, and severities from the gravest on.
 LESSON_KINDS = ("LESSON", "MISTAKE", "SAFETY", "ADR", "DECISION")
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
-#: Parts of keys whose values are hidden, and what stands in their place.
-SENSITIVE_PARTS = ("password", "secret", "token", "api_key", "apikey", "credential", "private_key", "auth")
+#: Parts of keys whose values are hidden, whole keys that are too, and what stands in their place.
+SENSITIVE_PARTS = ("password", "secret", "token", "api_key", "apikey", "credential", "private_key", "auth_token", "access_key", "secret_key", "ssn", "pii")
+INTERNAL_KEYS = ("_embedding_cache", "_activation_score", "_last_reasoning")
 HIDDEN = "[REDACTED]"
 #: Fixed value: a file name that so many nodes share says nothing without its path.
 COMMON_NAME = 12
@@ -66,8 +67,8 @@ def named_files(nodes: DataFrame, edges: DataFrame, query: str, most: int = 50)
 
 
 def hide_sensitive(records: DataFrame, column: str, parts: tuple[str, ...] = SENSITIVE_PARTS) -> DataFrame:
-    """Values of a map whose keys hold a sensitive part, whatever the case, are replaced."""
-    bad = lambda k: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(k), p))
+    """Values of a map whose keys hold a sensitive part, whatever the case, or are internal ones are replaced."""
+    bad = lambda k: k.isin(*INTERNAL_KEYS) | F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(F.lower(k), p))
     return records.withColumn(column, F.transform_values(column, lambda k, v: F.when(bad(k), F.lit(HIDDEN)).otherwise(v)))
 
 

@@ -253,9 +253,12 @@ def message_fanout(messages: DataFrame, edges: DataFrame, scores: DataFrame, rou
 def small_communities(edges: DataFrame, hops: int = 3) -> DataFrame:
     """The smallest node within ``hops`` undirected hops of each node (itself included)."""
     both = symmetric(edges).select("src", "dst").distinct()
+    both, _ = _store(both)
     label = both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
-    for _ in range(hops):
-        # The least label spreads one hop a round, so a minimum is all that has to be shuffled.
+    for hop in range(hops):
+        # The least label spreads one hop a round, so a minimum is all that has to be shuffled. A round reads the labels twice, so they are stored in between.
         told = both.join(label.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "community")
         label = told.unionByName(label).groupBy("id").agg(F.min("community").alias("community"))
+        if hop + 1 < hops:
+            label, _ = _store(label)
     return label

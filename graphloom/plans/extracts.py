@@ -58,19 +58,26 @@ def type_classification(spark, sf_dir):
     return files(spark, sf_dir).select("path", extracts.language_of(F.col("path")).alias("language"))
 
 
-MANIFESTS = ['{"dependencies": {"a": "1", "b": "^2"}, "devDependencies": {"c": "3"}}', '{"dependencies": {"a": "2"}}', '{"name": "x"}', "not json", '{"peerDependencies": {"d": "*"}}']
-
-
-@query("SELECT 'f' || doc_id AS src, unnest(CASE doc_id % 5 WHEN 0 THEN ['dep:a', 'dep:b', 'dep:c'] WHEN 1 THEN ['dep:a'] WHEN 4 THEN ['dep:d'] ELSE [] END) AS dst, 'DEPENDS_ON' AS relationship, unnest(CASE doc_id % 5 WHEN 0 THEN ['1', '^2', '3'] WHEN 1 THEN ['2'] WHEN 4 THEN ['*'] ELSE [] END) AS version FROM documents")
+@query("SELECT DISTINCT 'supplier/' || l_suppkey AS src, 'dep:part-' || l_partkey AS dst, 'DEPENDS_ON' AS relationship, CAST(max(l_linenumber) AS VARCHAR) AS version FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag = 'A'")
 def json_dependencies(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), pick(MANIFESTS, "doc_id").alias("text"))
-    return extracts.manifest_edges(rows, "path", "text")
+    """A manifest of each supplier, of the parts it has delivered: those ever returned are its dependencies, the others development ones."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_returnflag") == "A").alias("returned"), "l_partkey").agg(F.max("l_linenumber").alias("version"))
+    held = lambda cond: F.map_from_entries(F.array_compact(F.collect_list(F.when(cond, F.struct(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), F.col("version").cast("string"))))))
+    text = F.to_json(F.struct(F.first("l_suppkey").alias("name"), held(F.col("returned")).alias("dependencies"), held(~F.col("returned")).alias("devDependencies")))
+    files_ = lines.groupBy("l_suppkey").agg(text.alias("text")).select(F.concat(F.lit("supplier/"), F.col("l_suppkey").cast("string")).alias("path"), "text")
+    return extracts.manifest_edges(files_, "path", "text")
 
 
-@query("SELECT DISTINCT unnest(CASE doc_id % 2 WHEN 0 THEN ['GET /u', 'POST /u'] ELSE ['DELETE /v/' || (doc_id % 7)] END) AS id, unnest(CASE doc_id % 2 WHEN 0 THEN ['GET', 'POST'] ELSE ['DELETE'] END) AS method, unnest(CASE doc_id % 2 WHEN 0 THEN ['/u', '/u'] ELSE ['/v/' || (doc_id % 7)] END) AS route FROM documents")
+@query(
+    r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS route, CASE WHEN contains(url, '?') THEN 'POST' WHEN contains(url, '#') THEN 'DELETE' ELSE 'GET' END AS method FROM pages)
+SELECT DISTINCT method || ' ' || route AS id, method, route FROM p"""
+)
 def json_endpoints(spark, sf_dir):
-    spec = F.when(F.col("doc_id") % 2 == 0, '{"paths": {"/u": {"get": {}, "post": {"x": 1}, "parameters": []}}}').otherwise(F.concat(F.lit('{"paths": {"/v/'), (F.col("doc_id") % 7).cast("string"), F.lit('": {"delete": {}}}}')))
-    return extracts.endpoints(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), spec.alias("text")), "path", "text")
+    """An API description of each page: its path, with a method that its address tells and a key that is none."""
+    route = F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1)
+    method = F.when(F.contains("url", F.lit("?")), "post").when(F.contains("url", F.lit("#")), "delete").otherwise("get")
+    spec = F.to_json(F.struct(F.create_map(route, F.create_map(method, F.create_map(F.lit("summary"), F.col("url")), F.lit("parameters"), F.create_map(F.lit("in"), F.lit("path")))).alias("paths")))
+    return extracts.endpoints(table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), spec.alias("text")), "path", "text")
 
 
 @query("WITH t AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after FROM conversations) SELECT 'turn:' || conv_id || ':' || turn AS src, 'turn:' || conv_id || ':' || after AS dst, 'NEXT' AS relationship FROM t WHERE after IS NOT NULL")
@@ -99,11 +106,16 @@ def session_streak(spark, sf_dir):
     return extracts.streaks(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "user_id", "day")
 
 
-@query("WITH p AS (SELECT event_id % 6 AS k, event_type = 'click' AS c FROM events) SELECT round(avg(CAST(k < 1 AS INT)), 6) AS top1, round(avg(CAST(k < 3 AS INT)), 6) AS top3 FROM p")
+@query(
+    """WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events WHERE event_id % 2 = 0 GROUP BY user_id, event_type)
+SELECT round(avg(CASE WHEN n.k <= 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN n.k <= 3 THEN 1.0 ELSE 0 END), 6) AS top3 FROM events e LEFT JOIN n ON n.user_id = e.user_id AND n.event_type = e.event_type WHERE e.event_id % 2 = 1 AND e.user_id IN (SELECT user_id FROM n)"""
+)
 def topk_accuracy(spark, sf_dir):
-    ranked = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: k.cast("long"))
-    rows = table(spark, sf_dir, "events").select(ranked.alias("ranked"), (F.col("event_id") % 6).alias("gold"))
-    return extracts.topk_accuracy(rows, "ranked", "gold", [1, 3])
+    """A user's odd events, predicted by how often each kind is among the even ones."""
+    events = table(spark, sf_dir, "events")
+    counts = events.filter("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    ranked = counts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "event_type"))).alias("r")).select("user_id", F.col("r.event_type").alias("ranked"))
+    return extracts.topk_accuracy(events.filter("event_id % 2 = 1").join(ranked, "user_id"), "ranked", "event_type", [1, 3])
 
 
 @query("WITH r AS (SELECT user_id, value > 50 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, round(avg(CAST(hit AS INT)) FILTER (k <= 3), 6) AS early, round(avg(CAST(hit AS INT)) FILTER (k > 3), 6) AS late FROM r GROUP BY user_id")

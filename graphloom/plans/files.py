@@ -22,28 +22,33 @@ def query(sql: str | None = None):
     return add
 
 
-NAMES = ["package.json", "api.schema.json", ".eslintrc.json", "data.json", "data.json", "data.json", "data.json"]
-BODIES = ['{"openapi": 3}', '{"dependencies": {}, "scripts": {}}', '{"packages": 1}', '{"Resources": {}}', '{"rules": []}', '{"$schema": ""}', '{"other": 1}', '[1, 2]']
-SQL_BODIES = "[" + ", ".join(f"'{b}'" for b in BODIES) + "]"
+#: What a word of a part's name stands for as a file's name and a part's type or brand as a key: a rule over all rows, for the query below.
+FILE_WORDS = {"bolt": "package.json", "ring": "api.schema.json", "gear": ".eslintrc.json"}
+KEY_WORDS = {"ECONOMY": "openapi", "STANDARD": "Resources", "PROMO": "rules", "LARGE": "$schema", "MEDIUM": "packages", "Brand#1": "dependencies", "Brand#2": "scripts", "Brand#3": "devDependencies"}
+SQL_WORDS = lambda words, column: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + f" ELSE {column} END"
+
+
+def worded(words: dict[str, str], column):
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), column), column)
 
 
 @query(
-    f"""WITH f AS (SELECT doc_id, {NAMES}[doc_id % 7 + 1] AS name, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '{{"blob": "' || repeat('x', 60000) || '"}}' ELSE {SQL_BODIES}[doc_id % 8 + 1] END AS body FROM documents),
-k AS (SELECT *, CASE WHEN json_type(body) = 'OBJECT' THEN json_keys(body) ELSE [] END AS keys FROM f)
-SELECT doc_id, CASE WHEN name = 'package.json' THEN 'DEPENDENCY_MANIFEST' WHEN name LIKE '%.schema.json' THEN 'SCHEMA_FILE' WHEN name LIKE '.%rc.json' THEN 'TOOL_CONFIG' WHEN body IS NULL THEN 'UNKNOWN'
-  WHEN list_has_any(keys, ['openapi', 'swagger']) THEN 'API_SPEC' WHEN list_has_all(keys, ['dependencies', 'scripts']) OR list_contains(keys, 'packages') THEN 'DEPENDENCY_MANIFEST' WHEN list_contains(keys, 'Resources') THEN 'INFRA_CONFIG'
-  WHEN list_contains(keys, '$schema') THEN 'SCHEMA_FILE' WHEN list_contains(keys, 'rules') THEN 'TOOL_CONFIG' WHEN length(body) > 51200 THEN 'DATA_FILE' ELSE 'APP_CONFIG' END AS category,
-  CAST(CASE WHEN name = 'package.json' THEN 1.0 WHEN name LIKE '%.schema.json' THEN 0.95 WHEN name LIKE '.%rc.json' THEN 0.9 WHEN body IS NULL THEN 0
-  WHEN list_has_any(keys, ['openapi', 'swagger']) THEN 0.95 WHEN list_has_all(keys, ['dependencies', 'scripts']) THEN 0.9 WHEN list_contains(keys, 'packages') THEN 0.85 WHEN list_contains(keys, 'Resources') THEN 0.95
-  WHEN list_contains(keys, '$schema') THEN 0.8 WHEN list_contains(keys, 'rules') THEN 0.7 WHEN length(body) > 51200 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS confidence FROM k"""
+    f"""WITH p AS (SELECT 'part/' || p_partkey AS id, {SQL_WORDS(FILE_WORDS, "string_split(p_name, ' ')[2]")} AS name, CASE WHEN p_size > 1 THEN '{{"' || {SQL_WORDS(KEY_WORDS, "p_type")} || '": {{"n": ' || p_size || '}}, "' || {SQL_WORDS(KEY_WORDS, "p_brand")} || '": "' || p_name || '"}}' END AS body FROM part),
+f AS (SELECT id, name, body FROM p UNION ALL SELECT 'page/' || page_id, 'page.json', html FROM pages UNION ALL SELECT 'event/' || event_id, 'event.json', props FROM events),
+k AS (SELECT *, CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' THEN json_keys(CASE WHEN json_valid(body) THEN body END) ELSE [] END AS keys FROM f),
+c AS (SELECT id, CASE WHEN name = 'package.json' THEN 'DEPENDENCY_MANIFEST 1.0' WHEN name LIKE '%.schema.json' THEN 'SCHEMA_FILE 0.95' WHEN name LIKE '.%rc.json' THEN 'TOOL_CONFIG 0.9' WHEN body IS NULL THEN 'UNKNOWN 0'
+  WHEN list_has_any(keys, ['openapi', 'swagger']) THEN 'API_SPEC 0.95' WHEN list_has_all(keys, ['dependencies', 'scripts']) OR list_has_all(keys, ['dependencies', 'devDependencies']) THEN 'DEPENDENCY_MANIFEST 0.9' WHEN list_contains(keys, 'packages') THEN 'DEPENDENCY_MANIFEST 0.85' WHEN list_contains(keys, 'Resources') THEN 'INFRA_CONFIG 0.95'
+  WHEN list_contains(keys, '$schema') THEN 'SCHEMA_FILE 0.8' WHEN list_contains(keys, 'rules') THEN 'TOOL_CONFIG 0.7' WHEN strlen(body) > 51200 THEN 'DATA_FILE 0.6' ELSE 'APP_CONFIG 0.5' END AS told FROM k)
+SELECT id, string_split(told, ' ')[1] AS category, CAST(string_split(told, ' ')[2] AS DOUBLE) AS confidence FROM c"""
 )
 def classify_json(spark, sf_dir):
-    key = F.col("doc_id")
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
-    large = F.concat(F.lit('{"blob": "'), F.repeat(F.lit("x"), 60000), F.lit('"}'))
-    body = F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, large).otherwise(pick(BODIES))
-    named = table(spark, sf_dir, "documents").select("doc_id", pick(NAMES).alias("path"), body.alias("body"))
-    return texts.classify_json(named, "path", "body", {"package.json": "DEPENDENCY_MANIFEST"}).select("doc_id", "category", "confidence")
+    """Parts as small JSON files, events' properties, and pages, which aren't JSON."""
+    part, text = table(spark, sf_dir, "part"), lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit('{"'), worded(KEY_WORDS, F.col("p_type")), F.lit('": {"n": '), text("p_size"), F.lit('}, "'), worded(KEY_WORDS, F.col("p_brand")), F.lit('": "'), F.col("p_name"), F.lit('"}'))
+    files_ = part.select(F.concat(F.lit("part/"), text("p_partkey")).alias("id"), worded(FILE_WORDS, F.element_at(F.split("p_name", " "), 2)).alias("path"), F.when(F.col("p_size") > 1, body).alias("body"))
+    files_ = files_.unionByName(table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), text("page_id")).alias("id"), F.lit("page.json").alias("path"), F.col("html").alias("body")))
+    files_ = files_.unionByName(table(spark, sf_dir, "events").select(F.concat(F.lit("event/"), text("event_id")).alias("id"), F.lit("event.json").alias("path"), F.col("props").alias("body")))
+    return texts.classify_json(files_, "path", "body", {"package.json": "DEPENDENCY_MANIFEST"}).select("id", "category", "confidence")
 
 
 #: Tools and the patterns that speak for them, for the query below; any list may be given.

@@ -29,9 +29,14 @@ def one(spark, *ids: str):
 GEO_BOTH = f"WITH RECURSIVE {SQL_GEO}, both_ways AS (SELECT src, dst FROM geo UNION SELECT dst, src FROM geo)"
 
 
-@query(GEO_BOTH + ", walk AS (SELECT 'region:0' AS id, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON w.id = b.src WHERE w.depth < 2) SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id")
-def blast_radius(spark, sf_dir):
-    return traverse.blast_radius(geo_edges(spark, sf_dir), one(spark, "region:0"), 2)
+@query(
+    GEO_BOTH
+    + """, h1 AS (SELECT src AS id, least(src, min(dst)) AS c FROM both_ways GROUP BY src),
+h2 AS (SELECT b.src AS id, least(any_value(o.c), min(h.c)) AS c FROM both_ways b JOIN h1 h ON h.id = b.dst JOIN h1 o ON o.id = b.src GROUP BY b.src),
+h3 AS (SELECT b.src AS id, least(any_value(o.c), min(h.c)) AS c FROM both_ways b JOIN h2 h ON h.id = b.dst JOIN h2 o ON o.id = b.src GROUP BY b.src) SELECT id, c AS community FROM h3"""
+)
+def communities(spark, sf_dir):
+    return traverse.small_communities(geo_edges(spark, sf_dir), 3)
 
 
 @query(

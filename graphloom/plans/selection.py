@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..graphview import SQL_EDGES, SQL_GEO, SQL_NODES, edges, geo_edges, nodes, table
-from ..operators import answers, changes, documents, reports, selection
+from ..operators import answers, calibration, changes, documents, folds, reports, selection
 from .reports import RISK, SQL_RISK, modules
 from .retrieval import SQL_FILES, files
 
@@ -158,11 +158,15 @@ def direct_file_lookup(spark, sf_dir):
     return selection.named_files(named, named.select(F.lit("src/top.py::main").alias("src"), F.col("id").alias("dst")), "What do m12.ts and (m3.js) do?", 1000)
 
 
-@query("SELECT event_id, '[REDACTED]' AS api_key, event_type AS name, CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' END AS token FROM events")
+@query(
+    """WITH m AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Access_Key' WHEN 'view' THEN 'author' WHEN 'error' THEN 'user_SSN' ELSE event_type END AS key, props FROM events)
+SELECT event_id, key, CASE WHEN regexp_matches(lower(key), 'password|secret|token|api_?key|credential|private_key|access_key|ssn|pii') THEN '[REDACTED]' ELSE props END AS value FROM m"""
+)
 def sensitive_key_filter(spark, sf_dir):
-    held = F.map_concat(F.create_map(F.lit("API_Key"), F.col("props"), F.lit("Name"), F.col("event_type")), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("AuthToken"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
-    hidden = selection.hide_sensitive(table(spark, sf_dir, "events").select("event_id", held.alias("m")), "m")
-    return hidden.select("event_id", F.col("m")["API_Key"].alias("api_key"), F.col("m")["Name"].alias("name"), F.try_element_at("m", F.lit("AuthToken")).alias("token"))
+    """Each event's properties under a key that its type gives."""
+    key = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ("click", "Access_Key", "view", "author", "error", "user_SSN"))), F.col("event_type")), F.col("event_type"))
+    hidden = selection.hide_sensitive(table(spark, sf_dir, "events").select("event_id", F.create_map(key, F.col("props")).alias("m")), "m")
+    return hidden.select("event_id", F.explode("m").alias("key", "value"))
 
 
 @query(f"WITH {SQL_FILES} SELECT path, CASE WHEN path LIKE '%m1%' THEN 'review' WHEN path LIKE 'src5/%.py' THEN 'allow' WHEN path LIKE '%.ts' THEN 'block' ELSE 'default' END AS rule FROM files")
@@ -212,12 +216,16 @@ def shape_text_gate(spark, sf_dir):
     return selection.shape_gate(nodes(spark, sf_dir), "id", "entity_type", "description", shapes)
 
 
-ANSWERS = ["f(x[1])", "f(x", "```a```", "``` {", "", ")(", "}{[]"]
-
-
-@query(f"SELECT event_id, {sql_list(['', 'round', '', 'fences,curly', 'empty', 'round', 'curly'])}[event_id % 7 + 1] AS problems FROM events")
+@query(
+    r"""WITH c AS (SELECT page_id, i, substr(html, CAST(i AS BIGINT), 1) AS c FROM (SELECT page_id, html, unnest(range(1, length(html) + 1)) AS i FROM pages)),
+d AS (SELECT page_id, k, sum(CASE WHEN c = o THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, k ORDER BY i) AS depth, row_number() OVER (PARTITION BY page_id, k ORDER BY i DESC) AS last
+FROM c, (VALUES (1, 'round', '(', ')'), (2, 'square', '[', ']'), (3, 'curly', '{', '}')) AS t(k, name, o, e) WHERE c = o OR c = e),
+b AS (SELECT page_id, k, min(depth) < 0 OR max(depth) FILTER (last = 1) <> 0 AS bad FROM d GROUP BY page_id, k)
+SELECT p.page_id, concat_ws(',', CASE WHEN trim(html, E' \t\r\n') = '' THEN 'empty' END, CASE WHEN len(regexp_extract_all(html, '```')) % 2 = 1 THEN 'fences' END, max(CASE WHEN k = 1 AND bad THEN 'round' END), max(CASE WHEN k = 2 AND bad THEN 'square' END), max(CASE WHEN k = 3 AND bad THEN 'curly' END)) AS problems
+FROM pages p LEFT JOIN b ON b.page_id = p.page_id GROUP BY p.page_id, html"""
+)
 def output_format_checks(spark, sf_dir):
-    return selection.format_checks(table(spark, sf_dir, "events").withColumn("text", pick(ANSWERS, "event_id")), "event_id", "text")
+    return selection.format_checks(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query(
@@ -236,19 +244,25 @@ def config_drift(spark, sf_dir):
     return selection.config_drift(part.filter("p_partkey % 10 <> 0").select("path", F.md5("p_name").alias("hash")), part.filter("p_partkey % 11 <> 0").select("path", F.md5(now).alias("hash")))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'none' ELSE 'known|odd' END AS limits, CASE WHEN event_id % 3 = 2 THEN 'odd' ELSE '' END AS unknown FROM events")
+@query(
+    """WITH w AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: length(x) > 5) AS w FROM part)
+SELECT p_partkey, CASE WHEN len(w) = 0 THEN 'none' ELSE array_to_string(w, '|') END AS limits, array_to_string(list_filter(w, lambda x: x NOT IN ('none', 'widget', 'bracket')), '|') AS unknown FROM w"""
+)
 def claim_limit_backfill(spark, sf_dir):
-    limits = F.when(F.col("event_id") % 3 == 1, F.array().cast("array<string>")).when(F.col("event_id") % 3 == 2, F.array(F.lit("known"), F.lit("odd")))
-    filled = selection.fill_default(table(spark, sf_dir, "events").select("event_id", limits.alias("limits")), "limits", ["none"], ["none", "known"])
-    return filled.select("event_id", F.array_join("limits", "|").alias("limits"), F.array_join("unknown", "|").alias("unknown"))
+    """The long words of a part's name as its limits."""
+    limits = F.filter(F.split("p_name", " "), lambda x: F.length(x) > 5)
+    filled = selection.fill_default(table(spark, sf_dir, "part").select("p_partkey", limits.alias("limits")), "limits", ["none"], ["none", "widget", "bracket"])
+    return filled.select("p_partkey", F.array_join("limits", "|").alias("limits"), F.array_join(F.array_except("unknown", F.array(F.lit("none"))), "|").alias("unknown"))
 
 
-LINES = ["Connection TIMEOUT after 3s", "out of memory", "403 Forbidden", "all is well", "retry: connection timeout, out of memory"]
-
-
-@query(f"SELECT event_id, {sql_list(['TIMEOUT', 'RESOURCE', 'AUTH', 'INFO', 'TIMEOUT'])}[event_id % 5 + 1] AS category, {sql_list(['HIGH', 'CRITICAL', 'MEDIUM', 'LOW', 'HIGH'])}[event_id % 5 + 1] AS severity FROM events")
+@query(
+    r"""WITH l AS (SELECT event_id, event_type || ' after ' || CAST(floor(value) AS BIGINT) || 's: ' || props AS line FROM events),
+c AS (SELECT event_id, CASE WHEN regexp_matches(lower(line), 'error.*"k": 4[0-9]\b') THEN 'AUTH' WHEN regexp_matches(lower(line), 'error|\b9[0-9]s') THEN 'TIMEOUT' WHEN regexp_matches(lower(line), 'purchase') THEN 'RESOURCE' ELSE 'INFO' END AS category FROM l)
+SELECT event_id, category, CASE category WHEN 'AUTH' THEN 'MEDIUM' WHEN 'TIMEOUT' THEN 'HIGH' WHEN 'RESOURCE' THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM c"""
+)
 def log_classification(spark, sf_dir):
-    told = selection.log_class(pick(LINES, "event_id"), [("timeout|timed out", "TIMEOUT", "HIGH"), ("out of memory|oom", "RESOURCE", "CRITICAL"), (r"\b40[13]\b", "AUTH", "MEDIUM")])
+    line = F.concat("event_type", F.lit(" after "), F.floor("value").cast("string"), F.lit("s: "), "props")
+    told = selection.log_class(line, [(r'error.*"k": 4[0-9]\b', "AUTH", "MEDIUM"), (r"error|\b9[0-9]s", "TIMEOUT", "HIGH"), ("purchase", "RESOURCE", "CRITICAL")])
     return table(spark, sf_dir, "events").select("event_id", told.alias("t")).select("event_id", "t.category", "t.severity")
 
 
@@ -363,7 +377,7 @@ SELECT c AS confidence, round(max(least), 9) AS calibrated FROM i GROUP BY c"""
 )
 def calibration_isotonic(spark, sf_dir):
     pairs = table(spark, sf_dir, "events").select(((F.col("event_id") % 19 + 0.5) / 20).alias("confidence"), (F.col("value") > 50).cast("int").alias("correct"))
-    return answers.isotonic(pairs).withColumn("calibrated", F.round("calibrated", 9))
+    return calibration.isotonic(pairs).withColumn("calibrated", F.round("calibrated", 9))
 
 
 @query("WITH h AS (SELECT vec_id, 'kg' || (label % 4) AS kg_id, CAST(vec_id % 100 AS DOUBLE) / 100 AS score FROM embeddings) SELECT vec_id, kg_id, round(CASE WHEN kg_id = 'kg1' THEN score ELSE score * 0.7 END, 6) AS normalized FROM h WHERE kg_id <> 'kg3'")
@@ -380,7 +394,58 @@ SELECT rule, round(max_by(weight, k), 9) AS weight, max(k) AS updates FROM w GRO
 )
 def online_learner(spark, sf_dir):
     corrections = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), (F.col("value") > 50).alias("wrong"), "ts", "event_id")
-    return answers.learned_weights(corrections, ["ts", "event_id"], 0.1, 0.1, 2.0)
+    return folds.rule_weights(corrections, ["ts", "event_id"], 0.1, 0.1, 2.0)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, event_type AS t, value > 50 AS good, ts, event_id FROM events),
+e AS (SELECT f, t, good, row_number() OVER (PARTITION BY f, t ORDER BY ts, event_id) AS k FROM n WHERE f IS NOT NULL),
+w AS (SELECT DISTINCT f, t, CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS weight FROM e UNION ALL SELECT e.f, e.t, e.k, least(10, greatest(0, w.weight + CASE WHEN e.good THEN CAST(0.1 AS DOUBLE) ELSE CAST(-0.05 AS DOUBLE) END)) FROM w JOIN e ON e.f = w.f AND e.t = w.t AND e.k = w.k + 1)
+SELECT f AS from_step, t AS to_step, round(max_by(weight, k), 6) AS weight, max(k) AS n FROM w GROUP BY f, t"""
+)
+def sequence_weights(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return folds.sequence_weights(events, "user_id", ["ts", "event_id"], "event_type", F.col("value") > 50).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT event_id, event_type AS predicted, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END AS corrected, list_distinct(['u' || (user_id % 3), 'v' || (CAST(floor(value) AS BIGINT) % 4)]) AS kinds, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
+u AS (SELECT unnest(kinds) AS kind, corrected AS tool, i, CAST(0.1 AS DOUBLE) AS shift FROM c UNION ALL SELECT unnest(kinds), predicted, i, CAST(-0.1 AS DOUBLE) FROM c WHERE predicted <> corrected),
+e AS (SELECT *, row_number() OVER (PARTITION BY kind, tool ORDER BY i) AS k, i - lag(i) OVER (PARTITION BY kind, tool ORDER BY i) - 1 AS gap FROM u),
+w AS (SELECT kind, tool, k, i, greatest(shift, 0) * 0.99 AS weight FROM e WHERE k = 1
+UNION ALL SELECT e.kind, e.tool, e.k, e.i, CASE WHEN e.shift < 0 THEN greatest(w.weight * pow(CAST(0.99 AS DOUBLE), e.gap) + e.shift, 0) ELSE w.weight * pow(CAST(0.99 AS DOUBLE), e.gap) + e.shift END * 0.99 FROM w JOIN e ON e.kind = w.kind AND e.tool = w.tool AND e.k = w.k + 1)
+SELECT kind, tool, round(max_by(weight, k) * pow(CAST(0.99 AS DOUBLE), (SELECT count(*) FROM c) - 1 - max(i)), 6) AS weight FROM w GROUP BY kind, tool"""
+)
+def kind_weights(spark, sf_dir):
+    kinds = F.array(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")), F.concat(F.lit("v"), (F.floor("value") % 4).cast("string")))
+    corrections = table(spark, sf_dir, "events").select(kinds.alias("kinds"), F.col("event_type").alias("predicted"), F.when(F.col("event_id") % 3 == 0, "view").otherwise(F.col("event_type")).alias("corrected"), "ts", "event_id")
+    return folds.kind_weights(corrections, ["ts", "event_id"], 0.1, 0.99).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT least(greatest(value / 100, 0), 1) AS x, CAST(user_id % 2 AS DOUBLE) * CAST(value > 40 AS INT) AS y FROM events), c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS m FROM p GROUP BY x, y),
+g AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b
+UNION ALL SELECT g.k + 1, any_value(g.a) - 0.01 * (sum(n * x * (1 / (1 + exp(-(g.a * x + g.b))) - y)) / any_value(m) + 0.001 * any_value(g.a)), any_value(g.b) - 0.01 * sum(n * (1 / (1 + exp(-(g.a * x + g.b))) - y)) / any_value(m) FROM g, c WHERE g.k < 500 GROUP BY g.k),
+f AS (SELECT a, b FROM g WHERE k = 500)
+SELECT round(any_value(a), 6) AS a, round(any_value(b), 6) AS b, round(-sum(n * (y * ln(1 / (1 + exp(-(a * x + b)))) + (1 - y) * ln(1 - 1 / (1 + exp(-(a * x + b)))))) / any_value(m), 6) AS loss FROM f, c"""
+)
+def calibration_descent(spark, sf_dir):
+    pairs = table(spark, sf_dir, "events").select(F.col("value").alias("score"), (F.col("user_id") % 2 * (F.col("value") > 40).cast("int")).alias("correct"))
+    return calibration.logistic_descent(pairs, 0.0, 100.0, 0.01, 500, 0.001).select(*[F.round(c, 6).alias(c) for c in ("a", "b", "loss")])
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT ln(((event_id % 19 + 0.5) / 20.0) / (1 - (event_id % 19 + 0.5) / 20.0)) AS x, CAST(value > 50 AS DOUBLE) AS y FROM events), c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY x, y),
+g AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b
+UNION ALL SELECT k + 1, a + (bb * ga - ab * gb) / (aa * bb - ab * ab), b + (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+SELECT g.k, any_value(g.a) AS a, any_value(g.b) AS b, sum(n * (y - q) * x) AS ga, sum(n * (y - q)) AS gb, sum(n * q * (1 - q) * x * x) AS aa, sum(n * q * (1 - q) * x) AS ab, sum(n * q * (1 - q)) AS bb
+FROM (SELECT g.k, g.a, g.b, c.*, 1 / (1 + exp(-(g.a * c.x + g.b))) AS q FROM g, c WHERE g.k < 30) AS g GROUP BY g.k))
+SELECT round(a, 5) + 0.0 AS slope, round(b, 5) + 0.0 AS shift FROM g WHERE k = 30"""
+)
+def calibration_platt(spark, sf_dir):
+    pairs = table(spark, sf_dir, "events").select(((F.col("event_id") % 19 + 0.5) / 20).alias("confidence"), (F.col("value") > 50).cast("int").alias("correct"))
+    slope, shift = answers.platt(pairs)
+    return pairs.limit(1).select((F.round(F.lit(slope), 5) + 0.0).alias("slope"), (F.round(F.lit(shift), 5) + 0.0).alias("shift"))
 
 
 @query(f"WITH {SQL_GEO}, n AS (SELECT src, dst, 'located in!' AS relationship, CAST(2 AS DOUBLE) AS weight FROM geo WHERE src LIKE 'supplier:%' UNION ALL SELECT 'x', 'y', NULL, 3) SELECT src, dst, relationship, weight FROM geo UNION ALL SELECT src, dst, CASE WHEN relationship IS NULL THEN 'RELATED_TO' ELSE 'LOCATED_IN_' END, weight FROM n")

@@ -41,9 +41,15 @@ def module_composite(spark, sf_dir):
     return views.risk_composite(scored, {"CRITICAL": 3.0, "HIGH": 1.5}).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SQL_NODES} SELECT 'graph_size' AS gate, count(*) >= 100 AS ok, TRUE AS fatal FROM nodes UNION ALL SELECT 'cache_exists', TRUE, FALSE UNION ALL SELECT 'no_zero_vectors', TRUE, FALSE UNION ALL SELECT 'cache_up_to_date', FALSE, FALSE")
+@query(
+    f"""WITH {SQL_NODES}, c AS (SELECT count(*) AS cached, count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero FROM embeddings), l AS (SELECT count(*) AS lacking FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))
+SELECT 'graph_size' AS gate, count(*) >= 100 AS ok, TRUE AS fatal FROM nodes UNION ALL SELECT 'cache_exists', cached > 0, FALSE FROM c UNION ALL SELECT 'no_zero_vectors', zero = 0, FALSE FROM c UNION ALL SELECT 'cache_up_to_date', lacking = 0, FALSE FROM l"""
+)
 def health_gates(spark, sf_dir):
-    cache = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("cached"), F.lit(0).alias("zero"), F.count_if(F.col("vec_id") % 7 == 0).alias("lacking"))
+    """The graph, and the vectors as the cache of documents' embeddings."""
+    vectors = table(spark, sf_dir, "embeddings")
+    lacking = table(spark, sf_dir, "documents").join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").agg(F.count("*").alias("lacking"))
+    cache = vectors.agg(F.count("*").alias("cached"), F.count_if(F.forall("embedding", lambda x: x == 0)).alias("zero")).crossJoin(F.broadcast(lacking))
     return views.health_gates(nodes(spark, sf_dir), cache)
 
 

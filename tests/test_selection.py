@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import answers, changes, documents, selection, traverse
+from graphloom.operators import answers, calibration, changes, documents, selection, traverse
 from graphloom.sources import graph_json
 
 
@@ -71,8 +71,8 @@ def test_platt_and_isotonic(spark):
     a, b = answers.platt(pairs)
     assert a == pytest.approx(1, abs=1e-6) and b == pytest.approx(0, abs=1e-6)
     falling = spark.createDataFrame([(0.1, 1), (0.2, 0), (0.3, 1)], "confidence double, correct int")
-    assert rows(answers.isotonic(falling)) == [(0.1, 0.5), (0.2, 0.5), (0.3, 1.0)]
-    assert answers.isotonic(falling.limit(0)).count() == 0
+    assert rows(calibration.isotonic(falling)) == [(0.1, 0.5), (0.2, 0.5), (0.3, 1.0)]
+    assert calibration.isotonic(falling.limit(0)).count() == 0
 
 
 def test_capped_sums_leave_refused_records_out(spark):
