@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, trigrams
 from .linking import cosine
+from .vectors import best_matches
 
 #: Words that say nothing about what a description is about.
 STOP_WORDS = ("the", "a", "an", "is", "in", "to", "of", "and", "for", "it", "on", "with", "as", "at", "by", "this", "that")
@@ -62,17 +63,17 @@ def joined_pairs(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
-def vector_connect(new: DataFrame, nodes: DataFrame, edges: DataFrame, least: float, limit: int = 20, bound: int = 10_000) -> DataFrame:
+def vector_connect(new: DataFrame, nodes: DataFrame, edges: DataFrame, least: float, limit: int = 20) -> DataFrame:
     """(src, dst, similarity): new nodes and others with a cosine of ``least`` or more that no edge joins; the first ``limit``, by new node and then the most similar. Inputs: id, embedding.
 
-    The new nodes are a stated set of at most ``bound``, so they go to every task; of each one's matches ``limit`` are enough.
+    New nodes may be any number: they and the others meet tile by tile. Of each one's matches as many are enough as ``limit`` and its edges.
     """
-    if new.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} new nodes: connect them in several calls")
-    asked = new.select(F.col("id").alias("src"), F.col("embedding").alias("x"))
-    others = nodes.join(new.select("id"), "id", "left_anti").select(F.col("id").alias("dst"), F.col("embedding").alias("y"))
-    near = others.join(F.broadcast(asked), cosine(F.col("x"), F.col("y")) >= least).select("src", "dst", F.round(cosine(F.col("x"), F.col("y")), 4).alias("similarity"))
-    return near.join(joined_pairs(edges), ["src", "dst"], "left_anti").orderBy("src", F.desc("similarity"), "dst").limit(limit)
+    joined = joined_pairs(edges)
+    known = joined.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("known"))
+    asked = new.join(known, "id", "left").select("id", "embedding", (F.lit(limit) + F.coalesce("known", F.lit(0))).alias("most"))
+    others = nodes.join(new.select("id"), "id", "left_anti")
+    near = best_matches(asked, others, limit, least, digits=4).select("src", "dst", "similarity")
+    return near.join(joined, ["src", "dst"], "left_anti").orderBy("src", F.desc("similarity"), "dst").limit(limit)
 
 
 def knowledge_connect(entities: DataFrame, nodes: DataFrame, preferred: list[str], bound: int = 10_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..graphview import SQL_EDGES, SQL_NODES, edges, nodes, table
 from ..operators import retrieval
+from ..streaming import batches
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -208,6 +209,11 @@ def kg_registry(spark, sf_dir):
     return retrieval.smoothed(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value").withColumn("average", F.round("average", 6))
 
 
+@query("SELECT user_id AS member, max(ts) AS last, CASE WHEN max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 'OFFLINE' ELSE 'ACTIVE' END AS status FROM events GROUP BY user_id")
+def kg_registry_status(spark, sf_dir):
+    return batches.registry(table(spark, sf_dir, "events"), "user_id", "ts", "6 HOURS")
+
+
 @query(
     """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice / 500000 AS confidence, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 500000 DESC, o_orderkey) AS option FROM orders),
 g AS (SELECT o_custkey FROM r GROUP BY o_custkey HAVING max(confidence) FILTER (option = 1) - max(confidence) FILTER (option = 2) <= 0.125 AND max(confidence) FILTER (option = 2) >= 0.4)

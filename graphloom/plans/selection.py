@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..graphview import SQL_EDGES, SQL_GEO, SQL_NODES, edges, geo_edges, nodes, table
-from ..operators import answers, calibration, changes, documents, folds, reports, selection
+from ..operators import answers, calibration, changes, documents, folds, reports, selection, vectors
 from .reports import RISK, SQL_RISK, modules
 from .retrieval import SQL_FILES, files
 
@@ -70,6 +70,22 @@ def keyword_auto_connect(spark, sf_dir):
     return documents.keyword_connect(rows.filter("id % 10 = 0"), rows, known)
 
 
+@query(
+    f"""WITH {SQL_NODES}, r AS (SELECT 'n' AS side, id, label || ' ' || entity_type || ' ' || substr(coalesce(description, ''), 1, 200) AS text FROM nodes UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), label || ' ' || text FROM (SELECT item_id, text, (SELECT n_name FROM nation WHERE n_nationkey = item_id % 25) AS label FROM benchmark)),
+p AS (SELECT side, id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM (SELECT side, id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS words FROM r)),
+w AS (SELECT side, id, CAST(CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % 128 AS INT) AS dim, sum(CAST(1 AS DOUBLE) / place) AS w FROM p GROUP BY 1, 2, 3),
+u AS (SELECT side, id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS v FROM w),
+s AS (SELECT q.id AS query, n.id, round(sum(q.v * n.v), 9) AS relevance FROM u q JOIN u n ON q.dim = n.dim AND q.side = 'q' AND n.side = 'n' GROUP BY q.id, n.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevance DESC, id) AS rank FROM s)
+SELECT query, id, round(relevance, 6) AS relevance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"""
+)
+def semantic_search(spark, sf_dir):
+    """Each benchmark text, behind a nation's name, as a query over the whole graph."""
+    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey")).alias("k"), "n_name")
+    asked = table(spark, sf_dir, "benchmark").withColumn("k", F.col("item_id") % 25).join(nation, "k").select(F.col("item_id").cast("string").alias("query"), F.concat_ws(" ", "n_name", "text").alias("text"))
+    return vectors.semantic_search(asked, nodes(spark, sf_dir), 5).withColumn("relevance", F.round("relevance", 6))
+
+
 @query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.id AS src, b.id AS dst, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a, e b WHERE a.id < 20 AND b.id >= 20 AND abs(a.id - b.id) <> 20 AND list_cosine_similarity(a.v, b.v) >= 0.25 ORDER BY src, similarity DESC, dst LIMIT 20")
 def semantic_auto_connect(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

@@ -44,3 +44,8 @@ def append_once(batch: DataFrame, path: str, keys: list[str]) -> None:
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(*keys), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+def store_epoch(batch: DataFrame, epoch: int, path: str) -> None:
+    """Store a micro-batch under its number. For ``foreachBatch``: a batch that comes again after a crash, between its write and the source's commit, takes the place of what it wrote, so nothing is stored twice and no earlier batch is read."""
+    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

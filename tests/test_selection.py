@@ -1,5 +1,7 @@
 """Document links, selection, answers and writes on small tables with nulls, ties and empty input."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,12 +34,16 @@ def test_fuzzy_mentions_against_all_pairs(spark):
     assert rows(documents.fuzzy_mentions(docs, code, 0.6)) == sorted(want, key=repr)
 
 
-def test_vector_connect_refuses_an_unbounded_set(spark):
+def test_vector_connect_takes_any_number_of_new_nodes(spark):
     frame = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "id long, embedding array<float>")
     none = spark.createDataFrame([], "src long, dst long")
     assert [r["dst"] for r in documents.vector_connect(frame.filter("id = 4"), frame, none, 0.9).collect()] == [3, 2]
-    with pytest.raises(ValueError):
-        documents.vector_connect(frame, frame, none, 0.9, bound=3)
+    known = spark.createDataFrame([(4, 3)], "src long, dst long")
+    assert [r["dst"] for r in documents.vector_connect(frame.filter("id = 4"), frame, known, 0.9, limit=1).collect()] == [2]
+    many = spark.range(12_000).select((F.col("id") + 100).alias("id"), F.array(F.lit(1.0), F.cos(F.col("id"))).alias("embedding"))
+    few = frame.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    want = sum((1 + k * c) / math.sqrt((1 + k * k) * (1 + c * c)) >= 0.9 for c in map(math.cos, range(12_000)) for k in range(5))
+    assert documents.vector_connect(many, few, none, 0.9, limit=10**6).count() == want > 5000
 
 
 def test_markdown_sections(spark):
