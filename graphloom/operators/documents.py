@@ -39,7 +39,9 @@ def fuzzy_mentions(docs: DataFrame, code: DataFrame, least: float, most: int = 5
     often = words.groupBy("w").agg(F.count("*").alias("times"))
     placed = words.join(often, "w").withColumn("first", F.row_number().over(Window.partitionBy("side", "who").orderBy("times", "w")) <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
     left, right = (placed.filter(F.col("side") == s).select("w", F.col("who").alias(f"who{s}"), F.col("n").alias(f"n{s}"), F.col("first").alias(f"first{s}")) for s in (0, 1))
-    near = left.join(right, "w").filter(F.when(F.col("n0") <= F.col("n1"), F.col("first0")).otherwise(F.col("first1"))).select("who0", "who1").distinct()
+    # The side with fewer words gives its rare words alone, so a frequent one is no key of the join there.
+    fewer, more = left.filter("first0").join(right, "w").filter("n0 <= n1"), left.join(right.filter("first1"), "w").filter("n0 > n1")
+    near = fewer.select("who0", "who1").union(more.select("who0", "who1")).distinct()
     full = near.join(a.withColumn("who0", F.col("doc_id").cast("string")), "who0").join(b.withColumn("who1", F.col("code_id").cast("string")), "who1")
     scored = full.select("doc_id", "code_id", F.round(F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y")), 6).alias("score")).filter(F.col("score") >= least)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "code_id"))).filter(F.col("place") <= most).drop("place")
@@ -51,10 +53,20 @@ def plain_words(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
 
 
 def keyword_connect(new: DataFrame, nodes: DataFrame, edges: DataFrame, shared: int = 3, limit: int = 20) -> DataFrame:
-    """(src, dst, shared): new nodes and others whose descriptions have ``shared`` words or more in common and that no edge joins; the first ``limit`` in order of ids. Inputs: id, description."""
-    a = new.select(F.col("id").alias("src"), plain_words(F.col("description")).alias("x")).filter(F.size("x") >= 2).select("src", F.explode("x").alias("w"))
-    b = nodes.select(F.col("id").alias("dst"), F.explode(plain_words(F.col("description"))).alias("w"))
-    counted = a.join(b, "w").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("shared")).filter(F.col("shared") >= shared)
+    """(src, dst, shared): new nodes and others whose descriptions have ``shared`` words or more in common and that no edge joins; the first ``limit`` in order of ids. Inputs: id, description.
+
+    Prefix filter: with words from rare to frequent, such a pair shares one of the first ``n - shared + 1`` words of each side, so words that most nodes have make no candidates by themselves.
+    """
+    a = new.select(F.col("id").alias("src"), plain_words(F.col("description")).alias("x")).filter(F.size("x") >= max(2, shared))
+    b = nodes.select(F.col("id").alias("dst"), plain_words(F.col("description")).alias("y")).filter(F.size("y") >= shared)
+    often = b.select(F.explode("y").alias("w")).groupBy("w").agg(F.count("*").alias("times"))
+
+    def rare(side: DataFrame, who: str, words: str) -> DataFrame:
+        each = side.select(who, F.size(words).alias("n"), F.explode(words).alias("w")).join(often, "w", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        return each.withColumn("at", F.row_number().over(Window.partitionBy(who).orderBy("times", "w"))).filter(F.col("at") <= F.col("n") - shared + 1).select(who, "w")
+
+    near = rare(a, "src", "x").join(rare(b, "dst", "y"), "w").filter("src <> dst").select("src", "dst").distinct()
+    counted = near.join(a, "src").join(b, "dst").select("src", "dst", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).filter(F.col("shared") >= shared)
     return counted.join(joined_pairs(edges), ["src", "dst"], "left_anti").orderBy("src", "dst").limit(limit)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..graphview import SQL_GEO, SQL_NODES, geo_edges, nodes, table
-from ..operators import greedy, reports, views
+from ..operators import dedup, greedy, reports, views
 from .reports import RISK, SQL_RISK, modules
 
 QUERIES: dict = {}
@@ -72,6 +72,23 @@ def dedup_pipeline(spark, sf_dir):
     return views.deduplicated(nodes(spark, sf_dir), geo_edges(spark, sf_dir), canonical)[1]
 
 
+@query(
+    """WITH n AS (SELECT 'code:' || p_partkey AS id, p_name AS name, 'code' AS source FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'doc:' || p_partkey, p_name, 'document' FROM part WHERE p_size % 2 = 1),
+g AS (SELECT name, min(id) FILTER (source = 'code') AS code, min(id) FILTER (source = 'document') AS doc FROM n GROUP BY name),
+f AS (SELECT n.id, coalesce(CASE WHEN code IS NULL OR doc IS NULL THEN n.id WHEN contains(n.name, 'red') THEN CASE WHEN source = 'code' THEN code ELSE doc END ELSE code END, n.id) AS keeper FROM n JOIN g USING (name))
+SELECT keeper, count(*) AS merged FROM f GROUP BY keeper"""
+)
+def dedup_decisions(spark, sf_dir):
+    """Parts as entities of two sources that write their names in two ways; what has red in its name was decided to be two things."""
+    part = table(spark, sf_dir, "part").select((F.col("p_size") % 2 == 0).alias("code"), F.col("p_partkey").cast("string").alias("k"), "p_name")
+    label = F.when(F.col("code"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))
+    found = part.select(F.concat(F.when(F.col("code"), "code:").otherwise("doc:"), "k").alias("id"), label.alias("label"), F.when(F.col("code"), "code").otherwise("document").alias("source_type"), F.col("p_name").alias("description"), F.lit(None).cast("string").alias("canonical"))
+    first = found.groupBy("description").agg(F.min(F.when(F.col("source_type") == "code", F.col("id"))).alias("a"), F.min(F.when(F.col("source_type") == "document", F.col("id"))).alias("b"))
+    decisions = first.filter("contains(description, 'red') AND a IS NOT NULL AND b IS NOT NULL").select("a", "b", F.lit(False).alias("accepted"))
+    merged, _, _, _ = dedup.dedup_graph(found, spark.createDataFrame([], "src string, dst string, relationship string"), {"code": 1, "document": 5}, decisions)
+    return merged.select(F.col("id").alias("keeper"), "merged")
+
+
 @query(
     r"""WITH RECURSIVE m AS (SELECT o_custkey, o_orderkey AS o, list_distinct(list_filter(regexp_split_to_array(lower(o_orderstatus || ' ' || o_orderpriority), '\s+'), lambda w: w <> '')) AS w, CAST(o_totalprice AS DOUBLE) / 1e6 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 s AS (SELECT o_custkey, k, [{'o': o, 'w': w, 'c': c}] AS kept FROM m WHERE k = 1
