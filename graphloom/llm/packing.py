@@ -126,7 +126,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length
     while waiting:
         both = left.select("size", F.lit(True).alias("item"), "id").unionByName(gaps.select("size", F.lit(False).alias("item"), F.col("sequence_id").alias("id")))
         order = [F.col("size").desc(), F.col("item").asc(), F.col("id").asc()]
-        swept, swept_path = save(both.repartitionByRange(-(-(waiting + gaps.count()) // part), *order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
+        parts = -(-(waiting + gaps.count()) // part)
+        # What one task may hold is swept in one, without a shuffle.
+        ranged = both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)
+        swept, swept_path = save(ranged.sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
         of = lambda kind: F.col("kind") == kind
         # A row for each part: what it has left, and what it can hand on.
         found = swept.groupBy("part").agg(*(F.count_if(of(k)).alias(f"n{k}") for k in (PLACED, LEFT, HANDED)), F.max(F.when(of(LEFT), F.col("size"))).alias("largest"), F.min(F.when(of(HANDED), F.col("size"))).alias("smallest"), F.sum(F.when(of(LEFT), F.col("size"))).alias("tokens")).collect()
@@ -136,15 +139,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length
         rooms = swept.filter((F.col("kind") == HANDED) | (F.col("kind") == SMALL)).select(F.col("id").alias("sequence_id"), "size", "kind", "part", "rank")
         full = None
         rest = swept.filter(of(LEFT)).select("part", "rank", "id", "size")
-        done.append(here)
-        cleared, opened = [left_path, gaps_path], []
+        settled = [here]
+        cleared, opened = [left_path, gaps_path, swept_path], []
         if placed_now < few * waiting and (flows := handed([(r["part"], r["n1"], r["largest"] or 0, r["n2"], r["smallest"] or 0) for r in found])):
             plan = spark.createDataFrame(flows, "part long, q0 long, q1 long, gap_part long, r1 long, times long")
             asked = rest.join(F.broadcast(plan), "part").filter("rank >= q0 AND rank < q1").selectExpr("id", "size", "gap_part", "r1 - (rank - q0) DIV times AS gap_rank", "rank AS turn")
             free = rooms.filter(of(HANDED)).select("sequence_id", F.col("size").alias("room"), F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"))
             before = Window.partitionBy("gap_part", "gap_rank").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-            across, _ = save(asked.join(free, ["gap_part", "gap_rank"]).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).select("id", "size", "sequence_id", (capacity - F.col("room") + F.col("before")).alias("offset")), "across")
-            done.append(across.select(F.col("id").alias(key), "sequence_id", "offset"))
+            across, across_path = save(asked.join(free, ["gap_part", "gap_rank"]).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).select("id", "size", "sequence_id", (capacity - F.col("room") + F.col("before")).alias("offset")), "across")
+            cleared.append(across_path)
+            settled.append(across.select(F.col("id").alias(key), "sequence_id", "offset"))
             full = across.groupBy("sequence_id").agg(F.sum("size").alias("took"))
             rest = rest.join(F.broadcast(plan.groupBy("part").agg(F.max("q1").alias("upto"))), "part", "left").filter("upto IS NULL OR rank >= upto").drop("upto")
             placed_now += sum(q1 - q0 for _, q0, q1, *_ in flows)
@@ -161,7 +165,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length
             cut = F.broadcast(spark.createDataFrame(cuts, "part long, cut long"))
             marked = rest.join(cut, "part", "left").withColumn("opens", F.coalesce(F.col("rank") < F.col("cut"), F.lit(False)))
             opened = [marked.filter("opens").select("id", "size")]
-            done.append(opened[0].select(F.col("id").alias(key), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+            settled.append(opened[0].select(F.col("id").alias(key), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             rest = marked.filter("NOT opens")
         remaining = rooms.select("sequence_id", "size")
         if full is not None:
@@ -170,6 +174,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, *, key: str = "uid", length
             remaining = remaining.unionByName(new.select(F.col("id").alias("sequence_id"), (capacity - F.col("size")).alias("size")))
         gaps, gaps_path = save(remaining.filter("size > 0"), "gaps")
         left, left_path = save(rest.select("id", "size"), "left")
+        # What the round has placed is one small table, so that the result reads one for each round, whatever it took to get there.
+        every = settled[0]
+        for more in settled[1:]:
+            every = every.unionByName(more)
+        done.append(save(every.coalesce(max(1, -(-waiting // part))), "settled")[0])
         discard(spark, *cleared)
         waiting = left.count()
     out = done[0]
