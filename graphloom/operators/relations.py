@@ -9,10 +9,11 @@ from ..functions.text import tokens
 
 
 def search_page(nodes: DataFrame, query: str, entity_type: str | None, offset: int, limit: int) -> DataFrame:
-    """A page of the nodes whose label, type or description holds the query, whatever the case, in order of id."""
+    """A page of the nodes whose label, type or description holds the query, whatever the case, in order of id; ``total`` is how many there are on all pages."""
     hit = F.lower(F.concat_ws(" ", "label", "entity_type", "description")).contains(query.lower())
     kept = nodes.filter(hit) if entity_type is None else nodes.filter(hit & (F.col("entity_type") == entity_type))
-    return kept.orderBy("id").offset(offset).limit(limit).withColumn("description", F.substring("description", 1, 300))
+    total = kept.agg(F.count("*").alias("total"))
+    return kept.orderBy("id").offset(offset).limit(limit).withColumn("description", F.substring("description", 1, 300)).crossJoin(F.broadcast(total))
 
 
 def type_counts(nodes: DataFrame, samples: int = 5) -> DataFrame:
@@ -163,6 +164,19 @@ def delta(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataF
     return a.join(b, key, "full").select(key, kind.alias("change")).filter("change IS NOT NULL")
 
 
+def graph_changes(old_nodes: DataFrame, new_nodes: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """(kind, id, change) of nodes (by id) and edges (by ends and relationship) that were added, modified or deleted; all other columns that both sides have are compared."""
+
+    def keyed(edges: DataFrame) -> DataFrame:
+        return edges.withColumn("id", F.concat_ws("___", "src", "relationship", "dst")).drop("src", "relationship", "dst")
+
+    def changed(kind: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        columns = [c for c in a.columns if c != "id" and c in b.columns]
+        return delta(a, b, "id", columns).select(F.lit(kind).alias("kind"), "id", "change")
+
+    return changed("node", old_nodes, new_nodes).unionByName(changed("edge", keyed(old_edges), keyed(new_edges)))
+
+
 def merge_maps(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Upsert: rows of ``source`` replace those with their key; others stay."""
     return target.join(source.select(key), key, "left_anti").unionByName(source)

@@ -148,7 +148,7 @@ def type_counts(spark, sf_dir):
     return relations.type_counts(nodes(spark, sf_dir))
 
 
-@query(f"WITH {SQL_NODES} SELECT id, label, entity_type, substr(description, 1, 300) AS description FROM nodes WHERE entity_type = 'CUSTOMER' AND contains(lower(label || ' ' || entity_type || ' ' || description), 'building') ORDER BY id LIMIT 20 OFFSET 10")
+@query(f"WITH {SQL_NODES} SELECT id, label, entity_type, substr(description, 1, 300) AS description, count(*) OVER () AS total FROM nodes WHERE entity_type = 'CUSTOMER' AND contains(lower(label || ' ' || entity_type || ' ' || description), 'building') ORDER BY id LIMIT 20 OFFSET 10")
 def search_nodes_page(spark, sf_dir):
     return relations.search_page(nodes(spark, sf_dir), "BUILDING", "CUSTOMER", 10, 20)
 
@@ -190,6 +190,20 @@ def list_projects(spark, sf_dir):
     return relations.projects(placed(spark, sf_dir))
 
 
+@query(
+    f"""WITH {SQL_GEO}, {SQL_NODES}, n AS (SELECT id, CASE WHEN id LIKE 'customer:%7' THEN label || '!' ELSE label END AS label FROM nodes WHERE NOT id LIKE 'supplier:%3'),
+e AS (SELECT src || '___' || relationship || '___' || dst AS id, src, dst FROM geo), f AS (SELECT id FROM e WHERE NOT src LIKE 'customer:%5' UNION ALL SELECT dst || '___LOCATED_IN___' || src FROM e WHERE src LIKE 'nation:%1')
+SELECT 'node' AS kind, o.id, CASE WHEN n.id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM nodes o LEFT JOIN n ON n.id = o.id WHERE n.id IS NULL OR n.label <> o.label
+UNION ALL SELECT 'edge', id, 'deleted' FROM e WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT 'edge', id, 'added' FROM f WHERE id NOT IN (SELECT id FROM e)"""
+)
+def graph_delta_all(spark, sf_dir):
+    """The graph without some suppliers and links, with renamed customers and links turned round."""
+    old, edges = nodes(spark, sf_dir).select("id", "label"), geo_edges(spark, sf_dir).select("src", "dst", "relationship")
+    new = old.filter("NOT id LIKE 'supplier:%3'").withColumn("label", F.when(F.col("id").like("customer:%7"), F.concat("label", F.lit("!"))).otherwise(F.col("label")))
+    turned = edges.filter("src LIKE 'nation:%1'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("LOCATED_IN").alias("relationship"))
+    return relations.graph_changes(old, new, edges, edges.filter("NOT src LIKE 'customer:%5'").unionByName(turned))
+
+
 @query("WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer), n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_name || '!' ELSE c_name END AS name FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey + 1000000, c_name FROM customer WHERE c_custkey % 100 = 3) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM o FULL OUTER JOIN n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.name <> n.name")
 def graph_delta(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))

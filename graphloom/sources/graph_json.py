@@ -72,3 +72,10 @@ def refuse_shrink(old: DataFrame, new: DataFrame, old_edges: DataFrame | None =
         e, f = old_edges.count(), new_edges.count()
         if e > few_edges and 1 - f / e > most_edge_loss:
             raise ValueError(f"{f} edges would replace {e}")
+
+
+def refuse_loss(old: DataFrame, new: DataFrame, share: float = 0.01, least: int = 50) -> None:
+    """Raise if a stored graph of ``least`` nodes or more would lose over ``share`` of them (one node may always go): for every write over an existing graph."""
+    a, b = old.count(), new.count()
+    if a >= least and b < a - max(1, int(a * share)):
+        raise ValueError(f"{b} nodes would replace {a}")

@@ -54,3 +54,11 @@ def test_first_sight_and_limits_on_a_stream(spark, tmp_path):
     for name, frame in (("first", streams.first_sight(stream, ["k"], "ts", "1 hour")), ("over", streams.over_limit(stream, "k", "ts", "1 hour", "0 seconds", 2)), ("seen", streams.visible(stream.withColumn("kind", F.lit("x")), "k", 0, ["x"]))):
         frame.writeStream.format("memory").queryName(name).outputMode("append" if name != "over" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("first").count() == 2 and spark.table("over").count() == 2 and spark.table("seen").count() == 3
+
+
+def test_refuse_loss(spark):
+    for a, b in ((49, 1), (50, 49), (100, 99), (1000, 990), (50, 60)):
+        graph_json.refuse_loss(spark.range(a), spark.range(b))
+    for a, b in ((50, 48), (1000, 989), (60, 0)):
+        with pytest.raises(ValueError):
+            graph_json.refuse_loss(spark.range(a), spark.range(b))
