@@ -172,8 +172,9 @@ def open_pairs(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFr
     y = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     same = (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.block"))
     apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part"))
-    met = x.join(y, same & apart & possible("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), agreement("x.sig", "y.sig").alias("measure"))
-    return met.filter(F.col("measure") >= AGREE).select("a", "b").distinct()
+    # One expression, as Spark would put a filter after the join before the join's own condition: bins are compared only where the cheap bound leaves a pair.
+    fits = F.when(possible("x", "y"), agreement("x.sig", "y.sig") >= AGREE).otherwise(False)
+    return x.join(y, same & apart & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
