@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import _store
+from .components import _remove, _store, _store_with, connected_components
 from .linking import contradictions, copies, rewire, unify
 
 
@@ -14,42 +14,42 @@ def forbidding_merge(links: DataFrame, forbidden: DataFrame) -> tuple[DataFrame,
 
     ``mapping``: id and root (the group's smallest id) of every end of a link; ``decided``: a, b, confidence and accepted - false where a pair was forbidden; links within a group that earlier ones made are accepted.
 
-    Links are decided in rounds: one that is the first of both its groups' open links finds these groups as the one-by-one order would, whatever happens elsewhere. Such links
-    share no group, so all of a round are decided by one join with the forbidden pairs, and groups are renamed by one join more.
+    Links are decided in rounds, and groups that links have joined go on as one. All open links between two groups that may not meet are refused at once. A group then takes its first
+    open link if each group that it may not meet has none as early: until that link's turn neither has grown, so it is taken whatever happens elsewhere. That holds for all groups
+    without forbidden pairs, so a round joins whole trees of them, and a hub with any number of leaves takes one round.
     """
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence").filter("a < b").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
     known, _ = _store(ends)
     rank = F.struct((-F.col("confidence")).alias("less"), F.col("a").alias("first"), F.col("b").alias("second"))
-    open_, _ = _store(known.select("a", "b", rank.alias("rank")))
-    apart, _ = _store(forbidden.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).filter("x < y").distinct())
-    groups, _ = _store(known.select("a").union(known.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("root")))
+    open_, open_path, found = _store_with(known.select("a", "b", rank.alias("rank")), F.count(F.lit(1)).alias("n"))
+    apart, apart_path = _store(forbidden.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    groups, groups_path = _store(known.select("a").union(known.select("b")).distinct().select(F.col("a").alias("id"), F.col("a").alias("root")))
     refused = None
-    while open_.limit(1).count():
-        best = open_.select(F.col("a").alias("g"), "rank").union(open_.select("b", "rank")).groupBy("g").agg(F.min("rank").alias("best"))
-        mine, _ = _store(open_.join(best.select(F.col("g").alias("a"), F.col("best").alias("ba")), "a").join(best.select(F.col("g").alias("b"), F.col("best").alias("bb")), "b").filter("rank = ba AND rank = bb").select("a", "b", "rank"))
-        held = mine.join(apart.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_semi").select("a", "b", "rank")
-        no, _ = _store(held)
-        refused = no.select("rank") if refused is None else refused.union(no.select("rank"))
-        moves, _ = _store(mine.join(no.select("a", "b"), ["a", "b"], "left_anti").select(F.col("b").alias("old"), F.col("a").alias("new")))
+    while found["n"]:
+        no, _ = _store(open_.join(apart, ["a", "b"], "left_semi").select("rank"))
+        refused = no if refused is None else refused.union(no)
+        left = open_.join(apart, ["a", "b"], "left_anti")
+        first, first_path = _store(left.select(F.col("a").alias("g"), "rank", F.col("b").alias("to")).union(left.select("b", "rank", "a")).groupBy("g").agg(F.min(F.struct("rank", "to")).alias("f")).select("g", "f.rank", "f.to"))
+        pairs = apart.union(apart.select("b", "a")).toDF("g", "other")
+        later = pairs.join(first.select(F.col("g").alias("other"), F.col("rank").alias("theirs")), "other").groupBy("g").agg(F.min("theirs").alias("theirs"))
+        taken = first.join(later, "g", "left").filter("theirs IS NULL OR rank < theirs").select("g", "to")
+        moves, moves_path = _store(connected_components(taken, "g", "to").filter("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new")))
 
         def renamed(df: DataFrame, *columns: str) -> DataFrame:
             for c in columns:
                 df = df.join(moves.withColumnsRenamed({"old": c, "new": "__new"}), c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
             return df
 
-        def ordered(df: DataFrame, x: str, y: str) -> DataFrame:
-            rest = [c for c in df.columns if c not in (x, y)]
-            return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias(x), F.greatest(x, y).alias(y), *rest)
+        def ordered(df: DataFrame) -> DataFrame:
+            rest = [c for c in df.columns if c not in ("a", "b")]
+            return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest)
 
-        # A forbidden pair of groups stays forbidden, so all links between the two go.
-        left = open_.join(no.select("a", "b"), ["a", "b"], "left_anti")
-        gone = open_.join(no.select("a", "b"), ["a", "b"], "left_semi").join(no.select("rank"), "rank", "left_anti").select("rank")
-        refused = refused.union(gone)
-        open_, _ = _store(ordered(renamed(left, "a", "b"), "a", "b"))
-        apart, _ = _store(ordered(renamed(apart, "x", "y"), "x", "y").distinct())
-        groups, _ = _store(renamed(groups, "root"))
-        refused, _ = _store(refused)
-    out = known.withColumn("accepted", F.lit(True)) if refused is None else known.withColumn("rank", rank).join(refused.distinct().withColumn("no", F.lit(True)), "rank", "left").select("a", "b", "confidence", F.col("no").isNull().alias("accepted"))
+        gone = (open_path, apart_path, groups_path, first_path, moves_path)
+        open_, open_path, found = _store_with(ordered(renamed(left, "a", "b")), F.count(F.lit(1)).alias("n"))
+        apart, apart_path = _store(ordered(renamed(apart, "a", "b")).distinct())
+        groups, groups_path = _store(renamed(groups, "root"))
+        _remove(known, *gone)
+    out = known.withColumn("accepted", F.lit(True)) if refused is None else known.withColumn("rank", rank).join(refused.withColumn("no", F.lit(True)), "rank", "left").select("a", "b", "confidence", F.col("no").isNull().alias("accepted"))
     return groups, out
 
 

@@ -46,6 +46,24 @@ def test_merging_equals_one_by_one(spark, seed, n, m, k):
     assert got == want
 
 
+@pytest.mark.parametrize("seed, n, m, k", [(11, 30, 80, 60), (12, 60, 50, 200), (13, 20, 100, 15), (14, 8, 28, 12)])
+def test_merging_with_many_forbidden_pairs(spark, seed, n, m, k):
+    test_merging_equals_one_by_one(spark, seed, n, m, k)
+
+
+def test_a_hub_with_many_leaves_takes_few_rounds(spark, monkeypatch):
+    stored = []
+    plain = dedup._store
+    monkeypatch.setattr(dedup, "_store", lambda df: stored.append(0) or plain(df))
+    links = [(0, x, 0.95 - x / 10000) for x in range(1, 400)] + [(x, 1000 + x, 0.9) for x in range(1, 400, 2)]
+    forbidden = [(x, x + 1) for x in range(1, 399, 2)]
+    mapping, decided = dedup.forbidding_merge(spark.createDataFrame(links, "a long, b long, confidence double"), spark.createDataFrame(forbidden, "a long, b long"))
+    root, want = one_by_one(links, forbidden)
+    assert {r.id: r.root for r in mapping.collect()} == root
+    assert {(r.a, r.b): r.accepted for r in decided.collect()} == want
+    assert len(stored) < 40
+
+
 def test_layers_together(spark):
     nodes = [("f1", "getUser", "code", "short", "c1"), ("f2", "getUser", "code", "a longer text", "c1"), ("d1", "get_user", "document", None, None), ("d2", "get user", "user_knowledge", "x", None), ("o", "other", "code", None, None), ("p", "other", "document", "y", None)]
     edges = [("d1", "o", "R"), ("f1", "d1", "R"), ("f2", "p", "S")]
