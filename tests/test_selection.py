@@ -1,6 +1,7 @@
 """Document links, selection, answers and writes on small tables with nulls, ties and empty input."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,34 @@ def test_pagerank_against_plain_and_its_plan(spark):
     assert joins[0] == joins[1]
 
 
+def test_neighborhoods_of_twins_and_hubs(spark):
+    rng = random.Random(5)
+    pairs = [("h", f"l{k}") for k in range(60)] + [("h", "r"), ("r", "r"), ("s", "s"), ("t", "s")] + [(f"v{rng.randrange(25)}", f"v{rng.randrange(25)}") for _ in range(30)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for hops in (1, 2, 3):
+        want = {}
+        for x in near:
+            seen = at = near[x]
+            for _ in range(hops - 1):
+                at = {z for y in at for z in near[y]}
+                seen = seen | at
+            if seen - {x}:
+                want[x] = sorted(seen - {x})
+        for light in (1, 16):
+            assert {r.id: r.members for r in traverse.neighborhoods(edges, hops, light).collect()} == want
+            assert dict(rows(traverse.neighborhood_sizes(edges, hops, light))) == {k: len(v) for k, v in want.items()}
+
+
+def test_counting_the_leaves_of_a_hub_lists_no_pairs(spark):
+    edges = spark.range(200_000).select(F.concat(F.lit("l"), "id").alias("src"), F.lit("h").alias("dst"))
+    found = traverse.neighborhood_sizes(edges, 2).groupBy("n").count().collect()
+    assert [tuple(r) for r in found] == [(200_000, 200_001)]
+
+
 def test_shortest_path_names_nodes_and_relations(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "S"), ("a", "x", "R"), ("x", "c", "Q"), ("c", "d", "T"), ("c", "d", "A")], "src string, dst string, relationship string")
     assert [tuple(r) for r in traverse.shortest_path(edges, "a", "d", 6).collect()] == [(["a", "b", "c", "d"], ["R", "S", "A"], 3)]
