@@ -17,8 +17,8 @@ def confident(messages: DataFrame, least: float) -> DataFrame:
 
 
 def most_confident(messages: DataFrame, key: str) -> DataFrame:
-    """(key, node, content): the message with the highest confidence, of several that of the smallest node."""
-    best = F.struct(-F.col("confidence"), F.col("node"))
+    """(key, node, content): the message with the highest confidence, of several that of the smallest node, of its own the smallest content. Missing values come last."""
+    best = F.struct(*[x for c, v in (("confidence", -F.col("confidence")), ("node", F.col("node")), ("content", F.col("content"))) for x in (F.col(c).isNull(), v)])
     return messages.groupBy(key).agg(F.min_by(F.struct("node", "content"), best).alias("b")).select(key, "b.node", "b.content")
 
 

@@ -146,6 +146,11 @@ def test_counting_the_leaves_of_a_hub_lists_no_pairs(spark):
     assert [tuple(r) for r in found] == [(200_000, 200_001)]
 
 
+def test_equal_confidence_goes_by_node_then_content(spark):
+    said = spark.createDataFrame([("t", "n", 0.9, "b"), ("t", "n", 0.9, "a"), ("t", "m", None, "c"), ("t", "o", 0.9, "A"), ("u", None, 0.5, "x"), ("u", "z", 0.5, "y")], "topic string, node string, confidence double, content string")
+    assert rows(answers.most_confident(said.repartition(3), "topic")) == [("t", "n", "a"), ("u", "z", "y")]
+
+
 def test_shortest_path_names_nodes_and_relations(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "S"), ("a", "x", "R"), ("x", "c", "Q"), ("c", "d", "T"), ("c", "d", "A")], "src string, dst string, relationship string")
     assert [tuple(r) for r in traverse.shortest_path(edges, "a", "d", 6).collect()] == [(["a", "b", "c", "d"], ["R", "S", "A"], 3)]
