@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import plans
 from graphloom.operators import answers, calibration, changes, documents, selection, traverse
 from graphloom.sources import graph_json
 
@@ -151,6 +152,12 @@ def test_equal_confidence_goes_by_node_then_content(spark):
     assert rows(answers.most_confident(said.repartition(3), "topic")) == [("t", "n", "a"), ("u", "z", "y")]
 
 
+def test_committed_batch_takes_ids_below_a_million(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (0, 3, 999_999, 1_000_002, 10**9 + 2)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = plans.queries()["committed_batch"](spark, str(tmp_path))
+    assert sorted(r.record for r in got.collect() if r.batch == "b2") == [0, 3, 999_999]
+
+
 def test_shortest_path_names_nodes_and_relations(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("c", "b", "S"), ("a", "x", "R"), ("x", "c", "Q"), ("c", "d", "T"), ("c", "d", "A")], "src string, dst string, relationship string")
     assert [tuple(r) for r in traverse.shortest_path(edges, "a", "d", 6).collect()] == [(["a", "b", "c", "d"], ["R", "S", "A"], 3)]
