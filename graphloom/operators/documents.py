@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, trigrams
+from .components import bounded_batches
 from .linking import cosine
 from .vectors import best_matches
 
@@ -130,39 +134,56 @@ def extracted_entities(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f, F.array().cast("array<string>")) for f in found]))).alias("entities"))
 
 
+#: Characters of sections that are handed on together.
+SECTIONS = 4 << 20
+
+
 def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, seq, level, title, path, body): sections by their # headings, outside of fenced code; what stands before the first heading has level 0 and no title.
 
-    ``path`` lists the titles of the headings above and the section's own. One pass over each text's lines.
+    ``path`` lists the titles of the headings above and the section's own. One pass over each text's lines; a worker holds a batch of bounded bytes, and hands sections on as it goes.
     """
     import re
-    from collections.abc import Iterable, Iterator
-
-    import pandas as pd
 
     heading = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, value in zip(frame[key], frame[text]):
-                above: list[tuple[int, str]] = []
-                level, title, body, seq, fenced = 0, None, [], 0, False
-                for line in [*(value or "").split("\n"), None]:
-                    found = heading.match(line) if line is not None and not fenced else None
-                    if line is not None and line.lstrip().startswith("```"):
-                        fenced = not fenced
-                    if line is not None and not found:
-                        body.append(line)
-                        continue
-                    content = "\n".join(body).strip()
-                    if title is not None or content:
-                        rows.append((name, seq, level, title, [t for _, t in above], content))
-                        seq += 1
-                    if found:
-                        level, title, body = len(found[1]), found[2], []
-                        above = [(n, t) for n, t in above if n < level] + [(level, title)]
-            yield pd.DataFrame(rows, columns=[key, "seq", "level", "title", "path", "body"])
-
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, seq int, level int, title string, path array<string>, body string")
+    fields = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
+
+    def sections(value: str | None) -> Iterator[tuple]:
+        above: list[tuple[int, str]] = []
+        level, title, body, seq, fenced = 0, None, [], 0, False
+        for line in [*(value or "").split("\n"), None]:
+            found = heading.match(line) if line is not None and not fenced else None
+            if line is not None and line.lstrip().startswith("```"):
+                fenced = not fenced
+            if line is not None and not found:
+                body.append(line)
+                continue
+            content = "\n".join(body).strip()
+            if title is not None or content:
+                yield seq, level, title, [t for _, t in above], content
+                seq += 1
+            if found:
+                level, title, body = len(found[1]), found[2], []
+                above = [(n, t) for n, t in above if n < level] + [(level, title)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of, size = [], [], 0
+            for k in range(batch.num_rows):
+                for row in sections(batch.column(text)[k].as_py()):
+                    rows.append(row)
+                    of.append(k)
+                    size += len(row[-1]) + 200
+                    if size > SECTIONS:
+                        yield table(batch, of, rows)
+                        rows, of, size = [], [], 0
+            if rows:
+                yield table(batch, of, rows)
+
+    def table(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), fields)]
+        return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), *columns], names=[key, "seq", "level", "title", "path", "body"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, seq int, level int, title string, path array<string>, body string")

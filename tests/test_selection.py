@@ -119,6 +119,13 @@ def test_pagerank_against_plain_and_its_plan(spark):
     assert joins[0] == joins[1]
 
 
+def test_markdown_batches_are_bounded_by_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(3).select(F.col("id").alias("k"), F.lit("# a\nx\n## b\ny").alias("text"))
+    assert documents.markdown_sections(docs, "k", "text").count() == 6
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20
+
+
 def test_neighborhoods_of_twins_and_hubs(spark):
     rng = random.Random(5)
     pairs = [("h", f"l{k}") for k in range(60)] + [("h", "r"), ("r", "r"), ("s", "s"), ("t", "s")] + [(f"v{rng.randrange(25)}", f"v{rng.randrange(25)}") for _ in range(30)]
