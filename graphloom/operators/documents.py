@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,17 +18,78 @@ from .vectors import best_matches
 STOP_WORDS = ("the", "a", "an", "is", "in", "to", "of", "and", "for", "it", "on", "with", "as", "at", "by", "this", "that")
 
 
-def mentions(docs: DataFrame, code: DataFrame, least: int = 3) -> DataFrame:
+#: Terms that a task looks for at once; more are found by joins.
+TERMS = 50_000
+
+
+def _starts(terms: list[str]) -> Callable[[np.ndarray, bytes], Iterator[tuple[int, int]]]:
+    """A function that finds (place, term) of all terms in bytes: eight bytes - or as many as the shortest short term has - are looked up at every place, whole terms where they fit."""
+    words = [x.encode() for x in terms]
+    groups = []
+    for some in ([k for k, w in enumerate(words) if len(w) >= 8], [k for k, w in enumerate(words) if len(w) < 8]):
+        if some:
+            width = min(8, *(len(words[k]) for k in some), 8)
+            codes = np.array([int.from_bytes(words[k][:width], "little") for k in some], np.uint64)
+            order = np.argsort(codes, kind="stable")
+            groups.append((np.uint64((1 << 8 * width) - 1), codes[order], np.array(some)[order]))
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+
+    def find(data: np.ndarray, raw: bytes) -> Iterator[tuple[int, int]]:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        for mask, codes, which in groups:
+            known = np.zeros(1 << 20, bool)
+            known[codes * mix >> shift] = True
+            for at in range(0, len(data), 1 << 20):
+                n = min(1 << 20, len(data) - at)
+                here = np.ndarray((n,), "<u8", padded, at, (1,)) & mask
+                hits = np.flatnonzero(known[here * mix >> shift])
+                low, high = (np.searchsorted(codes, here[hits], side) for side in ("left", "right"))
+                for p, lo, hi in zip((hits + at).tolist(), low.tolist(), high.tolist()):
+                    for k in which[lo:hi].tolist():
+                        if raw.startswith(words[k], p):
+                            yield p, k
+
+    return find
+
+
+def _standing(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, term) of the terms that stand in the texts (doc_id, low), in one pass over their bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ends = _starts(terms), [len(x.encode()) for x in terms]
+        for batch in batches:
+            low = pa.concat_arrays([batch.column("low")])
+            bounds = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+            if not len(low) or bounds[-1] == bounds[0]:
+                continue
+            data = np.frombuffer(low.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            found = list(find(data, data.tobytes()))
+            places = np.array([p for p, _ in found], np.int64)
+            docs = np.searchsorted(bounds, places, "right") - 1
+            pairs = sorted({(d, k) for d, (p, k) in zip(docs.tolist(), found) if p + ends[k] <= bounds[d + 1]})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([terms[k] for _, k in pairs], pa.string())], names=["doc_id", "term"])
+
+    bounded_batches(texts.sparkSession)
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, term string")
+
+
+def mentions(docs: DataFrame, code: DataFrame, least: int = 3, terms: int = TERMS) -> DataFrame:
     """(doc_id, code_id, how): nodes whose id, or else label, stands in the text, whatever the case. Inputs: doc_id, text; id, label.
 
-    Substrings without a cross join: a term can only stand in texts that have its rarest run of three characters. Terms of fewer than ``least`` characters take no part.
+    Substrings without a cross join: up to ``terms`` terms are looked for in one pass over the texts. More are joined: a term can only stand in texts that have its rarest run
+    of three characters. Terms of fewer than ``least`` characters take no part.
     """
     named = code.select("id", F.explode(F.array(F.struct(F.lit(0).alias("how"), F.lower("id").alias("term")), F.struct(F.lit(1).alias("how"), F.lower("label").alias("term")))).alias("t")).select("id", "t.how", "t.term").filter(F.length("term") >= max(3, least))
-    parts = named.select("term").distinct().select("term", F.explode(trigrams(F.col("term"))).alias("g"))
     texts = docs.select("doc_id", F.lower("text").alias("low")).filter(F.length("low") >= 3)
-    held = texts.select("doc_id", F.explode(trigrams(F.col("low"))).alias("g")).join(parts.select("g").distinct(), "g", "left_semi")
-    rarest = parts.join(held.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("term").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    near = rarest.join(held, "g").select("doc_id", "term").distinct().join(texts, "doc_id").filter(F.contains("low", F.col("term"))).select("doc_id", "term")
+    wanted = [r["term"] for r in named.select("term").distinct().limit(terms + 1).collect()]
+    if len(wanted) <= terms:
+        near = _standing(texts, wanted)
+    else:
+        parts = named.select("term").distinct().select("term", F.explode(trigrams(F.col("term"))).alias("g"))
+        held = texts.select("doc_id", F.explode(trigrams(F.col("low"))).alias("g")).join(parts.select("g").distinct(), "g", "left_semi")
+        rarest = parts.join(held.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("term").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+        near = rarest.join(held, "g").select("doc_id", "term").distinct().join(texts, "doc_id").filter(F.contains("low", F.col("term"))).select("doc_id", "term")
     return near.join(named, "term").groupBy("doc_id", F.col("id").alias("code_id")).agg(F.when(F.min("how") == 0, "id").otherwise("label").alias("how"))
 
 

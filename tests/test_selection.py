@@ -119,6 +119,16 @@ def test_pagerank_against_plain_and_its_plan(spark):
     assert joins[0] == joins[1]
 
 
+def test_mentions_in_one_pass_equal_those_by_joins(spark):
+    rng = random.Random(3)
+    texts = [(k, "".join(rng.choice("abAB é\u0130ñ_1") for _ in range(rng.randrange(0, 400)))) for k in range(60)] + [(60, None), (61, "abc"), (62, "")]
+    named = [(f"{''.join(rng.choice('abé') for _ in range(rng.randrange(2, 5)))}{k % 3}", "".join(rng.choice("ab ñ") for _ in range(rng.randrange(1, 11)))) for k in range(80)] + [("zzz", "abc"), ("abc", None)]
+    docs, code = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(named, "id string, label string")
+    got = rows(documents.mentions(docs, code))
+    assert got and got == rows(documents.mentions(docs, code, terms=5))
+    assert documents.mentions(docs, code)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_markdown_batches_are_bounded_by_bytes(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     docs = spark.range(3).select(F.col("id").alias("k"), F.lit("# a\nx\n## b\ny").alias("text"))
