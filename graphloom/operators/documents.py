@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, trigrams
-from .components import bounded_batches
+from .components import _store, bounded_batches
 from .linking import cosine
 from .vectors import best_matches
 
@@ -96,20 +96,26 @@ def mentions(docs: DataFrame, code: DataFrame, least: int = 3, terms: int = TERM
 def fuzzy_mentions(docs: DataFrame, code: DataFrame, least: float, most: int = 50) -> DataFrame:
     """(doc_id, code_id, score): words in common by the number of words of the side with fewer, ``least`` or more; the ``most`` best of each document. Inputs: doc_id, text; id, label.
 
-    Prefix filter: with words from rare to frequent, a pair that reaches the threshold shares one of the first ``n - ceil(least * n) + 1`` of the side with fewer
-    words, so a word that most documents have makes no candidates by itself.
+    Of a text only the number of its words and those that some label has are kept. Prefix filter: with words from rare to frequent, a pair that reaches the threshold shares one of the
+    first ``n - ceil(least * n) + 1`` of the side with fewer words, so a word that most documents have makes no candidates by itself. Words that no label has come before all others.
     """
-    a = docs.select("doc_id", tokens(F.col("text")).alias("x")).filter(F.size("x") > 0)
-    b = code.select(F.col("id").alias("code_id"), tokens(F.col("label")).alias("y")).filter(F.size("y") > 0)
-    words = a.select(F.lit(0).alias("side"), F.col("doc_id").cast("string").alias("who"), F.size("x").alias("n"), F.explode("x").alias("w")).unionByName(b.select(F.lit(1).alias("side"), F.col("code_id").cast("string").alias("who"), F.size("y").alias("n"), F.explode("y").alias("w")))
-    often = words.groupBy("w").agg(F.count("*").alias("times"))
-    placed = words.join(often, "w").withColumn("first", F.row_number().over(Window.partitionBy("side", "who").orderBy("times", "w")) <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    left, right = (placed.filter(F.col("side") == s).select("w", F.col("who").alias(f"who{s}"), F.col("n").alias(f"n{s}"), F.col("first").alias(f"first{s}")) for s in (0, 1))
-    # The side with fewer words gives its rare words alone, so a frequent one is no key of the join there.
-    fewer, more = left.filter("first0").join(right, "w").filter("n0 <= n1"), left.join(right.filter("first1"), "w").filter("n0 > n1")
-    near = fewer.select("who0", "who1").union(more.select("who0", "who1")).distinct()
-    full = near.join(a.withColumn("who0", F.col("doc_id").cast("string")), "who0").join(b.withColumn("who1", F.col("code_id").cast("string")), "who1")
-    scored = full.select("doc_id", "code_id", F.round(F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y")), 6).alias("score")).filter(F.col("score") >= least)
+    first = lambda n: n - F.ceil(F.lit(least - 1e-6) * n) + 1
+    b, _ = _store(code.select(F.col("id").alias("code_id"), tokens(F.col("label")).alias("y")).filter(F.size("y") > 0).withColumn("n1", F.size("y")))
+    spoken = b.select("code_id", "n1", F.explode("y").alias("w"))
+    a = docs.select("doc_id", tokens(F.col("text")).alias("x")).filter(F.size("x") > 0).withColumn("row", F.monotonically_increasing_id())
+    words = a.select("row", "doc_id", F.size("x").alias("n0"), F.explode("x").alias("w")).join(spoken.select("w").distinct(), "w")
+    # A row's words follow each other, so they meet again without much of a shuffle.
+    held, _ = _store(words.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n0").alias("n0"), F.collect_list("w").alias("x")))
+    often, _ = _store(held.select(F.explode("x").alias("w")).groupBy("w").agg(F.count("*").alias("times")))
+    rank = lambda who: F.row_number().over(Window.partitionBy(who).orderBy("times", "w"))
+    rare = spoken.join(often, "w").withColumn("at", rank("code_id") + F.col("n1") - F.count("*").over(Window.partitionBy("code_id"))).filter(F.col("at") <= first(F.col("n1"))).select("w", "code_id", "n1")
+    fewer_labels = held.select("row", "n0", F.explode("x").alias("w")).join(rare, "w").filter("n1 <= n0").select("row", "code_id")
+    longest = b.agg(F.max("n1").alias("longest"))
+    short = held.join(F.broadcast(longest), F.col("n0") < F.col("longest")).select("row", "n0", F.size("x").alias("h"), F.explode("x").alias("w")).join(often, "w")
+    scarce = short.withColumn("at", rank("row") + F.col("n0") - F.col("h")).filter(F.col("at") <= first(F.col("n0")))
+    fewer_words = scarce.join(spoken, "w").filter("n0 < n1").select("row", "code_id")
+    full = fewer_labels.union(fewer_words).distinct().join(held, "row").join(b, "code_id")
+    scored = full.select("doc_id", "code_id", F.round(F.size(F.array_intersect("x", "y")) / F.least("n0", "n1"), 6).alias("score")).filter(F.col("score") >= least)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "code_id"))).filter(F.col("place") <= most).drop("place")
 
 

@@ -129,6 +129,25 @@ def test_mentions_in_one_pass_equal_those_by_joins(spark):
     assert documents.mentions(docs, code)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
+def test_fuzzy_mentions_with_frequent_words_against_plain(spark):
+    rng = random.Random(4)
+    vocabulary = ["the"] * 20 + [f"w{k}" for k in range(30)]
+    texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((1, 2, 3, 8, 40))))) for k in range(60)] + [(7, "the w1 w2"), (90, None)]
+    named = [(f"n{k}", " ".join(rng.choice([*vocabulary, f"own{k}"]) for _ in range(rng.randrange(1, 7)))) for k in range(40)]
+    want = []
+    for d in {d for d, _ in texts}:
+        best = []
+        for x in (set(t.split()) for i, t in texts if i == d and t):
+            for c, label in named:
+                y = set(label.split())
+                score = round(len(x & y) / min(len(x), len(y)), 6)
+                if score >= 0.6:
+                    best.append((-score, c))
+        want += [(d, c, -s) for s, c in sorted(best)[:50]]
+    got = documents.fuzzy_mentions(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(named, "id string, label string"), 0.6)
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_markdown_batches_are_bounded_by_bytes(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     docs = spark.range(3).select(F.col("id").alias("k"), F.lit("# a\nx\n## b\ny").alias("text"))
