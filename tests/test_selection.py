@@ -206,3 +206,23 @@ def test_message_fanout_keeps_the_best(spark):
     edges = spark.createDataFrame([("a", "c"), ("c", "b"), ("b", "b")], "src string, dst string")
     scores = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "id string, score double")
     assert rows(traverse.message_fanout(messages, edges, scores, 2, 1), "receiver", "node", "place") == [("b", "b", 1), ("c", "b", 1)]
+
+
+def test_shortest_path_is_the_smallest_of_all(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        pairs = [(f"n{rng.randrange(16)}", f"n{rng.randrange(16)}", rng.choice(["R", "S", None])) for _ in range(28)]
+        near = {}
+        for a, b, _r in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        paths, seen = [["n0"]], {"n0"}
+        while paths and not any(p[-1] == "n1" for p in paths):
+            paths = [[*p, y] for p in paths for y in near.get(p[-1], ()) if y not in seen]
+            seen |= {p[-1] for p in paths}
+        want = [min(p for p in paths if p[-1] == "n1")] if paths else []
+        got = traverse.shortest_path(spark.createDataFrame(pairs, "src string, dst string, relationship string"), "n0", "n1", 12).collect()
+        assert [r.nodes for r in got] == want
+        for r in got:
+            for a, b, kind in zip(r.nodes, r.nodes[1:], r.relations):
+                assert kind == min((k for x, y, k in pairs if {x, y} == {a, b} and k), default=None)
