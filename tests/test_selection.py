@@ -208,6 +208,14 @@ def test_message_fanout_keeps_the_best(spark):
     assert rows(traverse.message_fanout(messages, edges, scores, 2, 1), "receiver", "node", "place") == [("b", "b", 1), ("c", "b", 1)]
 
 
+def test_pagerank_rounds_leave_out_nodes_that_nobody_points_at(spark):
+    edges = spark.range(5000).select(F.concat(F.lit("l"), "id").alias("src"), F.concat(F.lit("h"), F.col("id") % 3).alias("dst")).union(spark.createDataFrame([("h0", "h1"), ("l0", "h1"), ("l1", "gone")], "src string, dst string"))
+    ids = [f"l{k}" for k in range(60)] + ["h0", "h1", "h2"]
+    few = edges.filter("src LIKE 'h%' OR CAST(substr(src, 2) AS INT) < 60")
+    got = dict(rows(traverse.pagerank(spark.createDataFrame([(i,) for i in ids], "id string"), few, rounds=6)))
+    assert got == pytest.approx(plain_pagerank(ids, [tuple(r) for r in few.collect()], 6))
+
+
 def test_shortest_path_is_the_smallest_of_all(spark):
     rng = random.Random(8)
     for _ in range(3):
