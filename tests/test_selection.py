@@ -234,3 +234,7 @@ def test_shortest_path_is_the_smallest_of_all(spark):
         for r in got:
             for a, b, kind in zip(r.nodes, r.nodes[1:], r.relations):
                 assert kind == min((k for x, y, k in pairs if {x, y} == {a, b} and k), default=None)
+
+
+def test_entry_has_its_query(spark):
+    assert "blast_radius" in plans.queries()
