@@ -228,12 +228,20 @@ def fingerprint(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.agg(F.count("*").alias("n"), F.sum(hashed).cast("string").alias("digest"))
 
 
+def words(text: Column) -> Column:
+    """Lower-case words between white space."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def component(word: Column, dim: int) -> Column:
+    """The component of a hashed vector that a word counts in."""
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dim).cast("int")
+
+
 def bag_vectors(records: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
     """(key, dim, value): hashed words weighted by one over their place, scaled to length one; zero components have no row."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    placed = records.select(key, F.posexplode(words).alias("at", "word"))
-    component = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sums = placed.groupBy(key, component.alias("dim")).agg(F.sum(1.0 / (F.col("at") + 1)).alias("w"))
+    placed = records.select(key, F.posexplode(words(F.col(text))).alias("at", "word"))
+    sums = placed.groupBy(key, component(F.col("word"), dim).alias("dim")).agg(F.sum(1.0 / (F.col("at") + 1)).alias("w"))
     return sums.select(key, "dim", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("value"))
 
 
