@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches
+from .common import blocks, bounded_batches, held_by
 
 #: Fixed value: the public pattern that parts a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -220,13 +220,11 @@ class PrefixBPE:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, PrefixBPE] = {}
-
-
 def coder(path: str) -> PrefixBPE:
-    if path not in _CODERS:
-        _CODERS[path] = PrefixBPE(path)
-    return _CODERS[path]
+    held = held_by("bpe")
+    if path not in held:
+        held[path] = PrefixBPE(path)
+    return held[path]
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -73,6 +73,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What operators remember in this Python worker, by operator.
+_HELD: dict[str, dict] = {}
+
+
+def held_by(owner: str) -> dict:
+    """What an operator remembers in this Python worker. Workers are used again by whatever comes next, so what other operators have left is dropped when one begins."""
+    for name in [n for n in _HELD if n != owner]:
+        del _HELD[name]
+    return _HELD.setdefault(owner, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bounded_batches, held_out
+from .common import blocks, bounded_batches, held_by, held_out
 
 UNKNOWN = "und"
 #: Bounds of the fit: documents of each language, and of all.
@@ -224,9 +224,6 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, documents: int = D
     return LanguageModel(whole.toArrow())
 
 
-_PREDICTORS: dict[str, Predictor] = {}
-
-
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (columns of these names are replaced)."""
     bounded_batches(docs.sparkSession)
@@ -236,11 +233,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        if model.name not in _PREDICTORS:
-            _PREDICTORS.clear()
-            _PREDICTORS[model.name] = Predictor(model)
+        held = held_by("langid")
+        if model.name not in held:
+            held.clear()
+            held[model.name] = Predictor(model)
+        predictor = held[model.name]
         for block in blocks(batches):
-            names, scores = _PREDICTORS[model.name].predict(block.column("text").to_pylist())
+            names, scores = predictor.predict(block.column("text").to_pylist())
             yield from block.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64())).combine_chunks().to_batches()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, discard, save
+from .common import blocks, bounded_batches, discard, held_by, save
 from .quality import let
 
 #: Words of a gram; runs of twice as many are found without fail and deleted.
@@ -137,6 +137,7 @@ def deletions(docs: DataFrame, gram: int = GRAM) -> DataFrame:
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, pa.int64() if x == "h" else pa.int32()) for x, c in zip(names, columns)], names=names))
 
     def hashed(batches):
+        held_by("linededup")
         for block in blocks(batches):
             got = [line_hashes(t) for t in block.column("text").to_pylist()]
             marks = pa.array([[{"g": g, "at": i, "n": n} for g, i, n in select(h, w, gram)] for h, w in got], marked)

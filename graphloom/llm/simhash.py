@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import blocks, bounded_batches, save
+from .common import blocks, bounded_batches, held_by, save
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -414,6 +414,7 @@ def similar_rows(rows: DataFrame, pivots: int = PIVOTS, max_bits: int = MAX_BITS
     schema = "key long, doc_id long, c1 long, c2 long, fp long, bands array<long>"
 
     def sign(batches):
+        held_by("simhash")
         for block in blocks(batches):
             sets = [shingles(t) for t in block.column("text").to_pylist()]
             classes = np.array([list(xxhash.xxh128_digest(s.tobytes())) for s in sets], np.uint8).reshape(-1, 16).view(np.int64)
@@ -423,6 +424,7 @@ def similar_rows(rows: DataFrame, pivots: int = PIVOTS, max_bits: int = MAX_BITS
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "c1", "c2", "fp", "bands"])
 
     def spell(batches):
+        held_by("simhash")
         for block in blocks(batches):
             # The upper halves of hashes tell the shingles of two documents apart.
             sets = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in block.column("text").to_pylist()]

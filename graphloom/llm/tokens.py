@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held_by
+
 #: Distinct chunks a worker remembers before it starts afresh (about 150 bytes each).
 REMEMBERED = 1_000_000
 #: Bytes of text encoded together: more of them repeat their words.
@@ -85,14 +87,12 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], ends])[bounds]
 
 
-_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
-
-
 def encoder(path: str, remembered: int = REMEMBERED) -> ChunkEncoder:
     """One encoder for each vocabulary in a Python worker."""
-    if (path, remembered) not in _ENCODERS:
-        _ENCODERS[path, remembered] = ChunkEncoder(path, remembered)
-    return _ENCODERS[path, remembered]
+    held = held_by("tokens")
+    if (path, remembered) not in held:
+        held[path, remembered] = ChunkEncoder(path, remembered)
+    return held[path, remembered]
 
 
 def vocabulary_path(name: str) -> str:

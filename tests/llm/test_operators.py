@@ -786,3 +786,13 @@ def test_bit_packing_round_trip(width):
     assert np.array_equal(segment.tokens(0, 9001), ids) and np.array_equal(segment.tokens(777, 5001), ids[777:5001])
     assert [d for d, _, _ in segment.documents()] == [3, 9]
     assert len(segment.payload) <= 9001 * width // 8 + 36
+
+
+def test_a_worker_holds_what_one_operator_remembers():
+    from graphloom.llm import common, tokens
+
+    common.held_by("langid")["model"] = object()
+    first = tokens.encoder(tokens.vocabulary_path("word_bpe_49k.json"))
+    assert set(common._HELD) == {"tokens"} and tokens.encoder(tokens.vocabulary_path("word_bpe_49k.json")) is first
+    common.held_by("simhash")
+    assert set(common._HELD) == {"simhash"}
