@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -344,62 +344,59 @@ def possible(x: str, y: str) -> Column:
     return alike(F.least(most, F.col(f"{x}.nb"), F.col(f"{y}.nb")), F.col(f"{x}.nb"), F.col(f"{y}.nb"))
 
 
-def with_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the component of each ``rep`` by ``links``."""
-    joined = connected_components(links)
-    return members.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+def grown(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more ``links`` (a, b): those known so far go in as stars, so that few rounds are left, and none if there is no new link."""
+    if links.isEmpty():
+        return known
+    return save(connected_components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links)), "known")[0]
 
 
-def similar_links(members: DataFrame, sets: DataFrame, candidates: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """Links (a, b) that join the members of each bucket into the components that comparing all its pairs would give, and ``candidates`` (a, b) that are alike.
+def similar_components(members: DataFrame, sets: DataFrame, candidates: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """node and component, as comparing all pairs of each bucket and ``candidates`` (a, b) would give; a row that is like no other is left out.
 
-    ``members``: bucket ``h`` and ``rep``; ``sets``: ``rep`` and its shingles. The members of a bucket are compared with its pivot, the one that
+    ``members``: bucket ``h``, ``rep`` and the bucket's ``size``; ``sets``: ``rep`` and its shingles. The members of a bucket are compared with its pivot, the one that
     meets most others in all its buckets; then those outside the bucket's largest component with the next pivots of that component. Pairs
     that are in one component by now need no comparison. The rest is exact: members outside the largest component meet
     all others of the bucket, and a pair is compared unless the sketches rule out that it is alike. So a large group of near copies takes a few comparisons a member.
+    What grows with the members is joined by merging: the driver gathers none of it.
     """
-    sizes = members.groupBy("h").agg(F.count("*").alias("size"))
-    sized, _ = save(members.join(sizes, "h"), "sized")
-    central = sized.groupBy("rep").agg(F.sum("size").alias("meets"))
-    placed, _ = save(sized.join(central, "rep").select("h", "rep", "meets"), "buckets")
+    central = members.groupBy("rep").agg(F.sum("size").alias("meets"))
+    placed, _ = save(members.join(central.hint("merge"), "rep").select("h", "rep", "meets"), "buckets")
     order = F.struct(-F.col("meets"), "rep")
     pivot = placed.groupBy("h").agg(F.min_by("rep", order).alias("pivot"))
-    around, _ = save(placed.join(pivot, "h"), "around")
-    first = around.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    around, _ = save(placed.join(pivot.hint("merge"), "h"), "around")
+    first, _ = save(around.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first")
     measured, _ = save(overlap(first, sets, sketched=True), "measured")
-    near = overlap(candidates.join(first, ["a", "b"], "left_anti"), sets).filter(alike()).select("a", "b")
-    links, _ = save(measured.filter(alike()).select("a", "b").unionByName(near), "similar")
+    near = overlap(candidates.join(first.hint("merge"), ["a", "b"], "left_anti"), sets).filter(alike()).select("a", "b")
+    known, _ = save(connected_components(measured.filter(alike()).select("a", "b").unionByName(near)), "known")
 
-    def unsettled(found: DataFrame) -> DataFrame:
+    def unsettled() -> DataFrame:
         """Members of buckets with more than one component, and the largest component of the bucket (by members, then the smallest)."""
-        parts = with_components(around, found)
+        parts = around.join(known.select(F.col("node").alias("rep"), F.col("component").alias("part")).hint("merge"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
         counted = parts.groupBy("h", "part").agg(F.count("*").alias("n"))
         largest = counted.groupBy("h").agg(F.count("*").alias("parts"), F.min_by("part", F.struct(-F.col("n"), "part")).alias("main")).filter("parts > 1")
-        return save(parts.join(largest.select("h", "main"), "h"), "unsettled")[0]
-
-    rest = unsettled(links)
-    # The next pivots, each the one of the largest component that meets most others beyond those before it.
-    next_ = rest.filter("part = main AND rep <> pivot")
-    asked = []
-    for _ in range(pivots - 1):
-        chosen = next_.groupBy("h").agg(F.min_by("rep", order).alias("next"))
-        asked.append(rest.filter("part <> main").join(chosen, "h").select(F.col("next").alias("a"), F.col("rep").alias("b")))
-        next_ = next_.join(chosen, "h").filter("rep <> next").drop("next")
-    more = asked[0]
-    for other in asked[1:]:
-        more = more.unionByName(other)
-    more, _ = save(overlap(more.distinct().join(first, ["a", "b"], "left_anti"), sets).filter(alike()).select("a", "b"), "similar")
-    links = links.unionByName(more)
-
-    rest = unsettled(links)
-    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), *[c for c in measured.columns if c not in "ab"])
+        return save(parts.join(largest.select("h", "main").hint("merge"), "h"), "unsettled")[0]
+
+    rest = unsettled()
+    # The next pivots, those of the largest component that meet most others. Each task hands on no more than are asked for.
+    place = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("meets"), "rep"))
+    chosen = rest.filter("part = main AND rep <> pivot").select("h", F.col("rep").alias("next"), place.alias("place")).filter(F.col("place") < pivots)
+    asked = rest.filter("part <> main").join(chosen.hint("merge"), "h").select(F.col("next").alias("a"), F.col("rep").alias("b"))
+    asked, _ = save(asked.distinct().join(first.hint("merge"), ["a", "b"], "left_anti"), "asked")
+    more, _ = save(overlap(asked, sets).filter(alike()).select("a", "b"), "similar")
+    if not more.isEmpty():
+        known = grown(known, more)
+        rest = unsettled()
+
+    by_pivot = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), *[c for c in measured.columns if c not in "ab"])
     # The pivot itself lacks nothing; pairs with it have been compared.
-    sketched, _ = save(rest.filter("rep <> pivot").join(known, ["pivot", "rep"]), "sketched")
+    sketched, _ = save(rest.filter("rep <> pivot").join(by_pivot.hint("merge"), ["pivot", "rep"]), "sketched")
     some, every = sketched.filter("part <> main").alias("x"), sketched.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
     pairs = some.join(every, (F.col("x.h") == F.col("y.h")) & apart & possible("x", "y")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     pairs, _ = save(pairs.distinct(), "asked")
-    return save(links.unionByName(overlap(pairs, sets).filter(alike()).select("a", "b")).distinct(), "similar")[0]
+    last, _ = save(overlap(pairs, sets).filter(alike()).select("a", "b"), "similar")
+    return grown(known, last)
 
 
 def similar_rows(rows: DataFrame, pivots: int = PIVOTS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -432,18 +429,18 @@ def similar_rows(rows: DataFrame, pivots: int = PIVOTS, max_bits: int = MAX_BITS
 
     prints, _ = save(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema), "signatures")
     classes, _ = save(prints.groupBy("c1", "c2").agg(F.min("key").alias("rep")), "signature-classes")
-    own = prints.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").filter(F.size("bands") > 0)
+    own = prints.join(classes.select(F.col("rep").alias("key")).hint("merge"), "key", "left_semi").filter(F.size("bands") > 0)
     candidates, _ = save(hamming_links(own.select("fp", F.col("key").alias("rep")), max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     posted = own.select(F.col("key").alias("rep"), F.explode("bands").alias("h"))
-    shared = posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h")
-    members, _ = save(posted.join(shared, "h"), "members")
+    shared = posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    members, _ = save(posted.join(shared.hint("merge"), "h"), "members")
     # Only classes that meet another one are spelled out.
     asked = members.select("rep").union(candidates.select("a")).union(candidates.select("b")).distinct().withColumnRenamed("rep", "key")
     # Their keys grow with the input, so they are not broadcast at any size.
     sets, _ = save(rows.select("key", "text").join(asked.hint("merge"), "key", "left_semi").mapInArrow(spell, "rep long, set array<int>"), "shingles")
-    joined = connected_components(similar_links(members, sets, candidates, pivots))
-    roots = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    return prints.join(roots, ["c1", "c2"]).select("key", "doc_id", "component")
+    joined = similar_components(members, sets, candidates, pivots)
+    roots = classes.join(joined.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    return prints.join(roots.hint("merge"), ["c1", "c2"]).select("key", "doc_id", "component")
 
 
 def similar_documents(docs: DataFrame, pivots: int = PIVOTS) -> DataFrame:
